@@ -71,3 +71,43 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def worker_cache(name: str, make):
+    """An object of this Python worker process, made once and kept for later tasks."""
+    import builtins
+
+    held = builtins.__dict__.setdefault("_quire_worker_cache", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+class Memo(dict):
+    """A dictionary that computes what it lacks, of bounded size: the older half goes when ``most`` entries are held twice over."""
+
+    def __init__(self, compute, most: int = 200_000):
+        super().__init__()
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def row_slices(sizes, most: int):
+    """(start, stop) runs of rows whose sizes add up to ``most`` or, for one row, more."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -7,14 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality, sharding
+from . import byte_bpe, exact_dedup, packing, quality, sharding
 from .common import documents
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "kept")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.decode_ids(byte_bpe.encode_texts(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(F.col("id").alias("doc_id"), F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     text = F.col("text")
@@ -55,7 +74,9 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_sharding": op6_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
