@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard, langid, packing, quality, sharding
+from . import byte_bpe, chat, exact_dedup, jaccard, langid, packing, quality, sharding
 from .common import documents
 
 
@@ -54,6 +54,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op9_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.reply_order(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return out.select(F.col("conv").alias("conv_id"), "turn", "role", "body", "parent_turn", "root_turn", "depth", "position")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup.mark_duplicates(documents(spark, sf_dir))
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -87,6 +92,26 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = w.doc_id
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS r, conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT r, conv_id, turn, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM m),
+k AS (SELECT r, conv_id, turn, i, x, regexp_extract(x, '^[ \t]*(?:>[ \t]*)+') AS mark FROM l),
+p AS (SELECT r, conv_id, turn, i, CASE WHEN NOT regexp_matches(x, '[^\x20\x09-\x0D]') THEN -1 ELSE length(regexp_replace(mark, '[^>]', '', 'g')) END AS level, substr(x, length(mark) + 1) AS content FROM k),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS island FROM p),
+runs AS (SELECT r, conv_id, turn, level, string_agg(content, ' ' ORDER BY i) AS s FROM g WHERE level >= 0 GROUP BY r, conv_id, turn, level, island),
+own AS (SELECT r, conv_id, turn, trim(string_agg(content, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM p WHERE level <= 0 GROUP BY r, conv_id, turn),
+said AS (SELECT conv_id, turn, r, s FROM runs WHERE level = 0 UNION ALL SELECT conv_id, turn, r, content FROM p WHERE level = 0 UNION ALL SELECT conv_id, turn, r, body FROM own),
+held AS (SELECT conv_id, s, min(turn) AS origin FROM (SELECT conv_id, turn, trim(lower(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'))) AS s FROM said) WHERE s <> '' GROUP BY conv_id, s),
+quoted AS (SELECT r, conv_id, turn, level, trim(lower(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'))) AS s FROM runs WHERE level > 0),
+par AS (SELECT r, origin FROM (SELECT r, origin, row_number() OVER (PARTITION BY r ORDER BY level, origin DESC) AS nth FROM quoted JOIN held USING (conv_id, s) WHERE origin < turn) WHERE nth = 1),
+msg AS (SELECT m.*, par.origin AS parent_turn FROM m LEFT JOIN par ON par.r = m.r),
+tree AS (SELECT r, conv_id, turn, turn AS root_turn, 0 AS depth FROM msg WHERE parent_turn IS NULL
+  UNION ALL SELECT c.r, c.conv_id, c.turn, t.root_turn, t.depth + 1 FROM msg c JOIN tree t ON c.conv_id = t.conv_id AND c.parent_turn = t.turn)
+SELECT msg.conv_id, msg.turn, role, coalesce(body, '') AS body, parent_turn, root_turn, depth::BIGINT AS depth,
+  row_number() OVER (PARTITION BY msg.conv_id ORDER BY root_turn, depth, msg.turn) - 1 AS position
+FROM msg JOIN tree ON tree.r = msg.r LEFT JOIN own ON own.r = msg.r
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
@@ -100,7 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_chat_quotations": op9_chat_quotations,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_chat_quotations": OP9_SQL, "op10_exact_dedup": OP10_SQL}
