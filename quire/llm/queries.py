@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, jaccard, langid, linededup, packing, quality, sharding
+from . import byte_bpe, chat, exact_dedup, jaccard, langid, linededup, maxent, packing, quality, sharding
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("failed").alias("base_failed"), "kept")
 
 
+def op3_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_classes(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "line_no", F.col("class_id").alias("class_doc_id"), "class_line", "kept")
@@ -126,6 +130,7 @@ FROM d WINDOW g AS (PARTITION BY t)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_maxent_scores": op3_maxent_scores,
     "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_sharding": op6_sharding,
