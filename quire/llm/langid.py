@@ -227,17 +227,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return models
 
 
-def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score (0 to 1), rejected: one row per input row, from the whole text alone.
-
-    ``und`` with score 0, and rejected, if the text is null, empty or has no
-    letter. Otherwise a learned language, ``rejected`` if its entropy is
-    beyond the calibrated limit. Repeated rows and null ids: row by row.
-    """
+def _decider(rows: DataFrame, models: CharModels, carried: list[str]):
+    """A function over Arrow batches with a column ``text``: lang_pred, score, rejected, and the carried columns as they are."""
     import uuid
 
-    spark = docs.sparkSession
-    sent, name = spark.sparkContext.broadcast(models), f"langid:{uuid.uuid4().hex}"
+    sent, name = rows.sparkSession.sparkContext.broadcast(models), f"langid:{uuid.uuid4().hex}"
 
     def run(batches):
         import pyarrow as pa
@@ -245,16 +239,38 @@ def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_c
 
         for batch in batches:
             memo = worker_cache(name, lambda: sent.value.memo())
-            texts = batch.column(1)
+            texts = batch.column("text")
             for a, b in row_slices(pc.binary_length(texts).to_pylist(), 8 << 20):
                 langs, scores, rejected = sent.value.decide(texts.slice(a, b - a), memo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_()), batch.column(2).slice(a, b - a)], names=["id", "lang_pred", "score", "rejected", "letters"])
+                kept = [batch.column(c).slice(a, b - a) for c in carried]
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_()), *kept], names=["lang_pred", "score", "rejected", *carried])
+
+    return run
+
 
+def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score (0 to 1), rejected: one row per input row, from the whole text alone.
+
+    ``und`` with score 0, and rejected, if the text is null, empty or has no
+    letter. Otherwise a learned language, ``rejected`` if its entropy is
+    beyond the calibrated limit. Repeated rows and null ids: row by row.
+    """
     text = text_or_empty(F.col(text_col))
-    found = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(run, "id long, lang_pred string, score double, rejected boolean, letters boolean")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
+    found = found.mapInArrow(_decider(found, models, ["id", "letters"]), "lang_pred string, score double, rejected boolean, id long, letters boolean")
     return found.select(
         "id",
         F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"),
         (F.col("rejected") | ~F.col("letters")).alias("rejected"),
     )
+
+
+def keep_identified(docs: DataFrame, models: CharModels, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns: the records travel with their texts, so nothing is joined. Rows without letters are rejected."""
+    text = text_or_empty(F.col(f"`{text_col}`"))
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(record.alias("record"), text.alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    kind = rows.schema["record"].dataType.simpleString()
+    found = rows.mapInArrow(_decider(rows, models, ["record"]), f"lang_pred string, score double, rejected boolean, record {kind}")
+    return found.where("NOT rejected").select("record.*")
