@@ -1,13 +1,69 @@
-"""Corpus pipeline: documents in, packed training sequences out."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+Quality rules, language identification, exact deduplication, near-duplicate
+removal and packing, each over all that its predecessor kept. Every stage but
+the last returns the columns of ``documents``. Rows whose doc_id is null pass
+the filters and the exact deduplication like any other row; the near-duplicate
+stage, whose decisions are by id, keeps them all. Empty input: no rows.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import exact_dedup, jaccard, langid, packing, quality
+from quire.llm.common import shared_table
+from quire.llm.queries import tokenizer_path
+
+#: Ids of documents that go, up to which they are broadcast (8 bytes each); beyond, they are joined by a shuffle.
+IDS_BROADCAST = 2_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``gone`` (gone_id). The texts only move if more ids go than can be broadcast."""
+    gone = shared_table(gone.where("gone_id IS NOT NULL").distinct(), "gone")
+    few = gone.count() <= IDS_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.judge(docs, carry=True).where("kept").select("record.*")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = jaccard.similar_documents(docs)
+    return _without(docs, classes.where("id <> component_id").select(F.col("id").alias("gone_id")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    packed = packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("language ID", language_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("packing", packing_stage),
+]
+
+#: Language models and the tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over all documents; each stage's result is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
