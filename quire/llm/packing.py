@@ -18,6 +18,10 @@ from .common import Memo, row_slices, shared_table, text_or_empty, worker_cache
 
 WINDOW = 2048
 END = 1
+#: Marks that may end a word.
+MARKS = ".,!?;:"
+#: Words held by a Python worker (and as many of the generation before).
+CACHED = 300_000
 #: Windows whose pieces one merging task takes.
 MERGE_WINDOWS = 4096
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
@@ -57,27 +61,48 @@ class Windows:
 def word_ids(path: str):
     """A memo from a white-space separated word to its ids, as bytes (little-endian unsigned 32-bit)."""
     import os
+    import struct
+    import unicodedata
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
     from tokenizers import Tokenizer
 
     encoder = Tokenizer.from_file(path)
+    model = encoder.model
+    # A word of lower-case composed letters alone is one match of the splitting pattern and
+    # normalised as it is: the model can have it at once, its bytes as the byte-level alphabet has them.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_chars = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def is_run(w: str) -> bool:
+        return w.isalpha() and w.islower() and w == w.lower() and (w.isascii() or all(c < "\u0250" for c in w) and unicodedata.is_normalized("NFC", w))
+
+    def packed(tokens) -> bytes:
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     class Words(Memo):
         def all(self, found: list[str]) -> list[bytes]:
             """The ids of many words; what is new is encoded in one call."""
             new = [w for w in found if w not in self and w not in self.old]
-            if len(self) + len(new) > self.most:
+            if len(self) + 2 * len(new) > self.most:
                 self.old = dict(self)
                 self.clear()
                 new = [w for w in found if w not in self and w not in self.old]
-            fresh = {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(new, encoder.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+            # a run of marks after a letter or digit is encoded apart from what it follows
+            ends = {w: (core, w[len(core) :]) for w in new if (core := w.rstrip(MARKS)) != w and core and (is_run(core) or core.isascii() and core[-1].isalnum())}
+            plain = dict.fromkeys(w for w in new if w not in ends)
+            plain.update(dict.fromkeys(x for pair in ends.values() for x in pair if x not in self and x not in self.old))
+            fresh = {w: packed(model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(byte_chars))) for w in plain if is_run(w)}
+            mixed = [w for w in plain if w not in fresh]
+            fresh.update({w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(mixed, encoder.encode_batch_fast(mixed, add_special_tokens=False), strict=True)})
+            known = lambda w: fresh[w] if w in fresh else self[w] if w in self else self.old[w]
+            fresh.update({w: known(core) + known(tail) for w, (core, tail) in ends.items()})
             out = [fresh[w] if w in fresh else self[w] if w in self else self.old[w] for w in found]
             self.update(fresh)
             return out
 
-    return Words(lambda w: np.asarray(encoder.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    return Words(None, CACHED)
 
 
 def token_arrays(texts, memo):
@@ -89,7 +114,7 @@ def token_arrays(texts, memo):
     import numpy as np
     import pyarrow.compute as pc
 
-    split = pc.ascii_split_whitespace(texts)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the tokenizer lower-cases too
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     parts = memo.all(coded.dictionary.to_pylist()) + [np.asarray([END], dtype="<u4").tobytes()]
