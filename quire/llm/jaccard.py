@@ -23,12 +23,14 @@ from .common import row_slices, shared_table, text_or_empty
 from .graph import components
 
 SHINGLE = 5
-#: A token is very frequent from this share of the sampled documents on (and from four of them); one of SAMPLE documents is sampled. This only orders tokens.
-FREQUENT, SAMPLE, MOST_FREQUENT = 0.002, 32, 500_000
+#: A token is frequent if FREQUENT of the sampled documents hold it, one of SAMPLE being sampled; at most MOST_FREQUENT tokens are. This only orders tokens.
+FREQUENT, SAMPLE, MOST_FREQUENT = 4, 16, 500_000
 #: Documents that share a token: up to so many, all their pairs; beyond, a star.
-ALL_PAIRS = 32
+ALL_PAIRS = 96
 #: Documents of one verification task's side.
 BLOCK = 256
+#: Ratio of a band of set sizes, a little above that of the sizes of linked sets.
+BAND = 1.34
 #: Candidate ids up to which they are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 IDS_BROADCAST = 2_000_000
 #: Bytes of packed postings for one task.
@@ -114,7 +116,7 @@ def _sets(batches):
 
 
 def frequent_tokens(rows: DataFrame):
-    """Sorted array of the tokens in at least FREQUENT of the sampled documents."""
+    """Sorted array of the tokens that FREQUENT or more of the sampled documents hold, the most frequent of them."""
     import numpy as np
 
     def run(batches):
@@ -124,8 +126,7 @@ def frequent_tokens(rows: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["token"])
 
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "id", F.length("text")), F.lit(SAMPLE)) == 0)
-    least = max(4, int(FREQUENT * sample.count()))
-    counted = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counted = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
     found = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     return np.sort(found.view(np.uint64))
 
@@ -299,13 +300,31 @@ def _links(nodes, sets, left, right):
 
 
 def verified_links(sets: DataFrame, families: DataFrame, tasks: int) -> DataFrame:
-    """Links (a, b) within families (node, component), every pair tested on whole sets, in blocks of at most about BLOCK sets against BLOCK."""
-    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = families.join(sizes, "component").select(F.col("node").alias("member"), "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("member", "component", "own", other.alias("other")).select("member", "component", F.col("own").alias("side"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    joined = sets.join(placed, F.col("node") == F.col("member")).select("node", "tokens", "side", "component", "i", "j", F.pmod(F.xxhash64("component", "i", "j"), F.lit(tasks)).cast("int").alias("task"))
+    """Links (a, b) within families (node, component), every pair of near enough sizes tested on whole sets, in blocks of about BLOCK sets against BLOCK.
+
+    Families above BLOCK are parted into bands of sizes; sets at 3/4 are in
+    one band or in neighbours.
+    """
+    sized = sets.select("node", F.floor(F.log(F.octet_length("tokens") / 8.0) / F.log(F.lit(BAND))).cast("int").alias("band")).join(families.withColumnRenamed("node", "member"), F.col("node") == F.col("member")).drop("member")
+    whole = sized.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = sized.join(whole, "component").select("node", "component", F.when(F.col("size") > BLOCK, F.col("band")).otherwise(0).alias("band"))
+    sized = shared_table(sized, "family-bands")
+    cells = sized.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # a cell meets itself and the next band; each of its blocks meets each block of either
+    meets = cells.select("component", F.col("band").alias("low"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("high"), F.col("blocks").alias("low_blocks"))
+    upper = cells.select(F.col("component").alias("u_component"), F.col("band").alias("u_band"), F.col("blocks").alias("high_blocks"))
+    meets = meets.join(upper, (F.col("component") == F.col("u_component")) & (F.col("high") == F.col("u_band"))).drop("u_component", "u_band")
+    one = meets.select(F.col("component").alias("m_component"), F.col("low").alias("m_band"), F.lit(0).alias("side"), "low", "high", F.col("low_blocks").alias("own_blocks"), F.col("high_blocks").alias("blocks"))
+    two = meets.where("low <> high").select(F.col("component").alias("m_component"), F.col("high").alias("m_band"), F.lit(1).alias("side"), "low", "high", F.col("high_blocks").alias("own_blocks"), F.col("low_blocks").alias("blocks"))
+    placed = sized.join(one.unionByName(two), (F.col("component") == F.col("m_component")) & (F.col("band") == F.col("m_band")))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("own_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    same = F.col("low") == F.col("high")
+    i = F.when(same, F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    j = F.when(same, F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    side = F.when(same, F.col("own")).otherwise(F.when(F.col("side") == 0, F.lit(-1)).otherwise(F.lit(-2)))
+    placed = placed.select(F.col("node").alias("member"), F.struct("component", "low", "high", i.alias("i"), j.alias("j")).alias("group"), side.alias("side"))
+    task = F.pmod(F.xxhash64("group"), F.lit(tasks)).cast("int").alias("task")
+    joined = sets.join(placed, F.col("node") == F.col("member")).select("node", "tokens", "side", "group.*", task)
 
     def verify(table):
         import numpy as np
@@ -314,14 +333,15 @@ def verified_links(sets: DataFrame, families: DataFrame, tasks: int) -> DataFram
         nodes = table.column("node").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
         groups: dict[tuple, list[int]] = {}
-        for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("component", "i", "j")), strict=True)):
+        for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("component", "low", "high", "i", "j")), strict=True)):
             groups.setdefault(key, []).append(k)
         side, out = table.column("side").to_pylist(), []
-        for (_, i, j), members in groups.items():
-            if i == j:
+        for (_, low, high, i, j), members in groups.items():
+            if low == high and i == j:
                 out += _links(nodes, sets, members, members)
             else:
-                out += _links(nodes, sets, [k for k in members if side[k] == i], [k for k in members if side[k] == j])
+                first, second = (i, j) if low == high else (-1, -2)
+                out += _links(nodes, sets, [k for k in members if side[k] == first], [k for k in members if side[k] == second])
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return joined.repartition(tasks, "task").groupBy("task").applyInArrow(verify, "a long, b long")
