@@ -231,4 +231,4 @@ def normal(x, attrs: Column | None = None, missing: str = "skip") -> Column:
     out = quotes(let(col(x), special_characters))
     if attrs is not None:
         out = let(out, lambda t: attributes(t, attrs, missing))
-    return let(macros(replacements(out)), post_replacements)
+    return let(macros(replacements(out)), lambda t: post_replacements(t))
