@@ -1,8 +1,9 @@
-"""HTML of node tables: a template per kind of node, joined from the leaves up.
+"""HTML of node tables: a template per kind of node, put together in one aggregate per document.
 
-Each depth is one aggregate keyed by (doc_id, parent): children are joined in
-order and handed to their parent's template. Text passes are Column
-expressions.
+A template is what stands before and after a node's children. Sorted by path,
+with each node's end as the last of its children, these parts are the
+document; so one shuffle by document joins a tree of any depth. Text passes
+are Column expressions, computed once per node.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 from quire.functions import inline
 from quire.functions.text import let, special_characters
 
-DEEPEST = 12
+#: Stands where a node's children go.
+HERE = "\x00"
+#: Greater than any child's number.
+LAST = 2**31 - 1
 
 
 def _title(tag: str = "div") -> Column:
-    return F.when(F.col("title").isNotNull(), F.concat(F.lit(f'<{tag} class="title">'), inline.normal("title"), F.lit(f"</{tag}>\n"))).otherwise("")
+    return F.when(F.col("title").isNotNull(), F.concat(F.lit(f'<{tag} class="title">'), F.col("title_html"), F.lit(f"</{tag}>\n"))).otherwise("")
 
 
 def _classes(*names) -> Column:
@@ -26,17 +30,16 @@ def _classes(*names) -> Column:
 
 def html(inside: Column) -> Column:
     """The node's HTML around that of its children."""
-    text = let(F.coalesce("source", F.lit("")), lambda t: inline.normal(t))
-    raw = let(F.coalesce("source", F.lit("")), special_characters)
+    text, raw = F.col("text"), F.col("raw")
     content = F.when(F.col("source").isNotNull(), F.concat(text, F.lit("\n"), inside)).otherwise(inside)
     level = F.col("level")
-    heading = F.concat(F.lit("<h"), (level + 1).cast("string"), F.when(F.col("id").isNotNull(), F.concat(F.lit(' id="'), "id", F.lit('"'))).otherwise(""), F.lit(">"), inline.normal("title"), F.lit("</h"), (level + 1).cast("string"), F.lit(">\n"))
+    heading = F.concat(F.lit("<h"), (level + 1).cast("string"), F.when(F.col("id").isNotNull(), F.concat(F.lit(' id="'), "id", F.lit('"'))).otherwise(""), F.lit(">"), F.col("title_html"), F.lit("</h"), (level + 1).cast("string"), F.lit(">\n"))
     box = lambda name: F.concat(_classes(F.lit(name)), _title(), F.lit('<div class="content">\n'), content, F.lit("</div>\n</div>\n"))
     c = F.col("context")
     checked = F.when(F.map_contains_key("attrs", F.lit("checked")), "&#10003; ").when(F.map_contains_key("attrs", F.lit("checkbox")), "&#10063; ").otherwise("")
     return (
-        F.when(c == "document", F.concat(F.when(F.col("title").isNotNull(), F.concat(F.lit("<h1>"), inline.normal("title"), F.lit("</h1>\n"))).otherwise(""), inside))
-        .when((c == "section") & (level == 0), F.concat(F.lit('<h1 class="sect0">'), inline.normal("title"), F.lit("</h1>\n"), inside))
+        F.when(c == "document", F.concat(F.when(F.col("title").isNotNull(), F.concat(F.lit("<h1>"), F.col("title_html"), F.lit("</h1>\n"))).otherwise(""), inside))
+        .when((c == "section") & (level == 0), F.concat(F.lit('<h1 class="sect0">'), F.col("title_html"), F.lit("</h1>\n"), inside))
         .when((c == "section") & (level == 1), F.concat(F.lit('<div class="sect1">\n'), heading, F.lit('<div class="sectionbody">\n'), inside, F.lit("</div>\n</div>\n")))
         .when(c == "section", F.concat(F.lit('<div class="sect'), level.cast("string"), F.lit('">\n'), heading, inside, F.lit("</div>\n")))
         .when(c == "floating_title", heading)
@@ -69,16 +72,11 @@ def html(inside: Column) -> Column:
 
 def to_html(nodes: DataFrame) -> DataFrame:
     """doc_id, html: the embedded HTML of each document."""
-    done = None
-    for depth in range(DEEPEST, -1, -1):
-        level = nodes.where(F.col("depth") == depth)
-        if done is not None:
-            level = level.join(done, (F.col("doc_id") == F.col("i_doc")) & (F.col("node_id") == F.col("i_node")), "left")
-        else:
-            level = level.withColumns({"i_doc": F.lit(None).cast("string"), "inside": F.lit(None).cast("string")})
-        out = level.select("doc_id", "parent_id", "ord", html(F.coalesce("inside", F.lit(""))).alias("html"))
-        if depth == 0:
-            return out.select("doc_id", "html")
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "html"))), lambda r: r["html"]), "")
-        done = out.groupBy(F.col("doc_id").alias("i_doc"), F.col("parent_id").alias("i_node")).agg(joined.alias("inside"))
-    return done
+    source = F.replace(F.coalesce("source", F.lit("")), F.lit(HERE), F.lit(""))
+    ready = nodes.withColumns({"text": inline.normal(source), "raw": let(source, special_characters), "title_html": inline.normal("title")})
+    parts = ready.select("doc_id", "ord", F.split(html(F.lit(HERE)), HERE).alias("parts"))
+    begin = F.struct(F.col("ord").alias("place"), F.get("parts", F.lit(0)).alias("html"))
+    end = F.struct(F.array_append("ord", F.lit(LAST)).alias("place"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("html"))
+    events = parts.select("doc_id", F.explode(F.array(begin, end)).alias("event"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("event")), lambda r: r["html"]), "")
+    return events.groupBy("doc_id").agg(joined.alias("html"))
