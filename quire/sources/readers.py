@@ -30,7 +30,7 @@ def decode(content: Column) -> Column:
         F.when(head == "EFBBBF", F.decode(rest(3), "UTF-8"))
         .when(head.startswith("FFFE"), F.decode(rest(2), "UTF-16LE"))
         .when(head.startswith("FEFF"), F.decode(rest(2), "UTF-16BE"))
-        .otherwise(F.decode(content, "UTF-8"))
+        .otherwise(F.make_valid_utf8(content.cast("string")))
     )
 
 
