@@ -70,13 +70,17 @@ def html(inside: Column) -> Column:
     )
 
 
+def assemble(made: DataFrame, name: str) -> DataFrame:
+    """doc_id and the whole document from (doc_id, ord, made), in which HERE stands where children go."""
+    parts = made.select("doc_id", "ord", F.split("made", HERE).alias("parts"))
+    begin = F.struct(F.col("ord").alias("place"), F.get("parts", F.lit(0)).alias("piece"))
+    end = F.struct(F.array_append("ord", F.lit(LAST)).alias("place"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("piece"))
+    events = parts.select("doc_id", F.explode(F.array(begin, end)).alias("event"))
+    return events.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event")), lambda r: r["piece"]), "").alias(name))
+
+
 def to_html(nodes: DataFrame) -> DataFrame:
     """doc_id, html: the embedded HTML of each document."""
     source = F.replace(F.coalesce("source", F.lit("")), F.lit(HERE), F.lit(""))
     ready = nodes.withColumns({"text": inline.normal(source), "raw": let(source, special_characters), "title_html": inline.normal("title")})
-    parts = ready.select("doc_id", "ord", F.split(html(F.lit(HERE)), HERE).alias("parts"))
-    begin = F.struct(F.col("ord").alias("place"), F.get("parts", F.lit(0)).alias("html"))
-    end = F.struct(F.array_append("ord", F.lit(LAST)).alias("place"), F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("html"))
-    events = parts.select("doc_id", F.explode(F.array(begin, end)).alias("event"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list("event")), lambda r: r["html"]), "")
-    return events.groupBy("doc_id").agg(joined.alias("html"))
+    return assemble(ready.select("doc_id", "ord", html(F.lit(HERE)).alias("made")), "html")

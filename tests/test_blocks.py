@@ -1,5 +1,5 @@
 from quire.operators import blocks, select
-from quire.plans import render
+from quire.plans import docbook, render
 
 TEXT = """= Title
 Ann B. Lee <a@x.org>
@@ -91,6 +91,15 @@ def test_selection_and_html(spark):
     assert "<p>Intro <strong>bold</strong>.</p>" in html["d"] and "if a &lt; b:" in html["d"] and '<div class="sect2">' in html["d"] and html["d"].index("One") < html["d"].index("Two")
 
 
+def test_docbook(spark):
+    docs = spark.createDataFrame([("d", TEXT)], "doc_id string, text string")
+    xml = docbook.to_docbook(blocks.parse(docs)).head().xml
+    assert '<section>\n<title>One</title>' in xml and '<emphasis role="strong">bold</emphasis>' in xml and "<programlisting" in xml and xml.count("<section>") == xml.count("</section>") == 3
+    import xml.etree.ElementTree as tree
+
+    tree.fromstring(f"<article xmlns:xml='http://www.w3.org/XML/1998/namespace'>{xml}</article>")
+
+
 def test_lone_delimiters_and_long_texts():
     assert [n["context"] for n in blocks.parse_text("----\nopen")] == ["document", "listing"]
     assert len(blocks.parse_text("a\n\n" * 5000)) == 5001
