@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_slices, shared_table, text_or_empty
-from .graph import components
+from .graph import components, labels
 
 SHINGLE = 5
 #: A token is frequent if FREQUENT of the sampled documents hold it, one of SAMPLE being sampled; at most MOST_FREQUENT tokens are. This only orders tokens.
@@ -34,7 +34,7 @@ BAND = 1.34
 #: Candidate ids up to which they are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 IDS_BROADCAST = 2_000_000
 #: Bytes of packed postings for one task.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 
 
 def prefix_size(n):
@@ -148,7 +148,7 @@ def document_nodes(rows: DataFrame, frequent) -> DataFrame:
 class _Packer:
     """Postings, packed by ranges of tokens into binary columns."""
 
-    def __init__(self, parts: int, most: int = 1 << 20):
+    def __init__(self, parts: int, most: int = 1 << 19):
         self.parts, self.most, self.held, self.size = parts, most, [], 0
 
     def add(self, tokens, node: int, n: int):
@@ -300,7 +300,7 @@ def _links(nodes, sets, left, right):
 
 
 def verified_links(sets: DataFrame, families: DataFrame, tasks: int) -> DataFrame:
-    """Links (a, b) within families (node, component), every pair of near enough sizes tested on whole sets, in blocks of about BLOCK sets against BLOCK.
+    """Edges (a, b) that connect what links within families (node, component), every pair of near enough sizes tested on whole sets, in blocks of about BLOCK sets against BLOCK.
 
     Families above BLOCK are parted into bands of sizes; sets at 3/4 are in
     one band or in neighbours.
@@ -335,14 +335,18 @@ def verified_links(sets: DataFrame, families: DataFrame, tasks: int) -> DataFram
         groups: dict[tuple, list[int]] = {}
         for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("component", "low", "high", "i", "j")), strict=True)):
             groups.setdefault(key, []).append(k)
-        side, out = table.column("side").to_pylist(), []
+        side, stars = table.column("side").to_pylist(), []
         for (_, low, high, i, j), members in groups.items():
             if low == high and i == j:
-                out += _links(nodes, sets, members, members)
+                links = _links(nodes, sets, members, members)
             else:
                 first, second = (i, j) if low == high else (-1, -2)
-                out += _links(nodes, sets, [k for k in members if side[k] == first], [k for k in members if side[k] == second])
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+                links = _links(nodes, sets, [k for k in members if side[k] == first], [k for k in members if side[k] == second])
+            if links:  # components are asked for: what connects the linked nodes is enough
+                found, least = labels(*np.asarray(links, np.int64).T)
+                stars.append(np.stack([found, least], 1)[found != least])
+        out = np.concatenate(stars) if stars else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
     return joined.repartition(tasks, "task").groupBy("task").applyInArrow(verify, "a long, b long")
 
