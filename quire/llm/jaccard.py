@@ -214,10 +214,23 @@ def shared_counts(rows: DataFrame, frequent, parts: int) -> DataFrame:
 
         _, nodes, _, starts, runs = _unpacked(table)
         found, times = np.unique(nodes[np.repeat(runs > 1, runs)], return_counts=True)
-        return pa.table({"node": pa.array(found, pa.int64()), "shared": pa.array(times, pa.int64())})
+        bucket = found.view(np.uint64) % np.uint64(parts)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(parts + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cuts))
+        cut = lambda x: pa.array([x[by[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary())
+        return pa.table({"bucket": pa.array(some, pa.int32()), "nodes": cut(found), "times": cut(times.astype(np.int32))})
+
+    def add(table):
+        import numpy as np
+        import pyarrow as pa
+
+        joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        nodes, at = np.unique(joined("nodes", np.int64), return_inverse=True)
+        return pa.table({"node": nodes, "shared": np.bincount(at, joined("times", np.int32), len(nodes)).astype(np.int64)})
 
-    partial = rows.mapInArrow(pack, PACKED).select("part", "tokens", "nodes", "sizes").repartition(parts, "part").groupBy("part").applyInArrow(count, "node long, shared long")
-    return partial.groupBy("node").agg(F.sum("shared").alias("shared"))
+    partial = rows.mapInArrow(pack, PACKED).select("part", "tokens", "nodes", "sizes").repartition(parts, "part").groupBy("part").applyInArrow(count, "bucket int, nodes binary, times binary")
+    return partial.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add, "node long, shared long")
 
 
 def candidate_edges(sets: DataFrame, frequent, parts: int) -> DataFrame:
