@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_slices, shared_table, text_or_empty
-from .jaccard import PART_BYTES
+
+#: Bytes of packed postings for one task.
+PART_BYTES = 24 << 20
 
 #: Words with a place of their own in the softmax, its frequency classes, and the hashed rows for pairs of words.
 TOP, CLASSES, HASHED = 2048, 30, 1 << 14
@@ -62,11 +64,12 @@ def _slices(batches):
 
 
 PACKED = "part int, words binary, keys binary, times binary, learned binary"
-SUMS = "key long, tokens long, known long, base double, rare double, kinds long, word long, count long"
+SUMS = "bucket int, keys binary, tokens binary, known binary, base binary, rare binary, kinds long, count long, top_words binary, top_counts binary"
+DOCUMENTS = "key long, tokens long, known long, base double, rare double"
 
 
 def count_words(rows: DataFrame, parts: int) -> DataFrame:
-    """Postings of (key, text, held) meet by word. Of each part: per document, sums over its words (tokens, known ones, base log10, discounted log10); and rows without key with kinds (distinct training words) or one of the part's most frequent words (word, count)."""
+    """Postings of (key, text, held) meet by word. Of each part: packed by buckets of documents, sums over each one's words (tokens, known ones, base log10, discounted log10); and one row without bucket with kinds (distinct training words), count (their tokens) and the part's most frequent words."""
 
     def pack(batches):
         import numpy as np
@@ -96,25 +99,71 @@ def count_words(rows: DataFrame, parts: int) -> DataFrame:
         docs, at = np.unique(keys, return_inverse=True)
         total = lambda x: np.bincount(at, times * x, len(docs))
         # the discounted share of an unknown word is added once the whole mass is known
-        columns = {
-            "key": docs, "tokens": total(1).astype(np.int64), "known": total(c > 0).astype(np.int64), "base": total(np.log10(c + 1.0)), "rare": total(np.log10(np.where(c > 0, c - DISCOUNT, 1.0))),
-        }
-        most = np.argsort(-counts, kind="stable")[:TOP]
-        most = most[counts[most] > 0]
-        out = pa.table(columns)
+        columns = {"keys": docs, "tokens": total(1).astype(np.int64), "known": total(c > 0).astype(np.int64), "base": total(np.log10(c + 1.0)), "rare": total(np.log10(np.where(c > 0, c - DISCOUNT, 1.0)))}
+        bucket = docs.view(np.uint64) % np.uint64(parts)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(parts + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(cuts))
         blank = lambda n, kind: pa.nulls(n, kind)
-        more = 1 + len(most)
-        tail = {
-            "key": blank(more, pa.int64()), "tokens": blank(more, pa.int64()), "known": blank(more, pa.int64()), "base": blank(more, pa.float64()), "rare": blank(more, pa.float64()),
-            "kinds": pa.array([int((counts > 0).sum())] + [None] * len(most), pa.int64()), "word": pa.array([None, *kinds[most].view(np.int64).tolist()], pa.int64()), "count": pa.array([int(counts.sum()), *counts[most].tolist()], pa.int64()),
-        }
-        for name in ("kinds", "word", "count"):
-            out = out.append_column(name, blank(len(docs), pa.int64()))
-        return pa.concat_tables([out, pa.table(tail)]).select([c.split()[0] for c in SUMS.split(", ")])
+        out = {"bucket": pa.concat_arrays([pa.array(some, pa.int32()), blank(1, pa.int32())])}
+        for name, values in columns.items():
+            out[name] = pa.concat_arrays([pa.array([values[by[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary()), blank(1, pa.binary())])
+        top, times = most_frequent(kinds, counts)
+        for name, value, kind in (("kinds", int((counts > 0).sum()), pa.int64()), ("count", int(counts.sum()), pa.int64()), ("top_words", top.tobytes(), pa.binary()), ("top_counts", times.tobytes(), pa.binary())):
+            out[name] = pa.array([None] * len(some) + [value], kind)
+        return pa.table(out)
 
     return rows.mapInArrow(pack, PACKED).repartition(parts, "part").groupBy("part").applyInArrow(meet, SUMS)
 
 
+def most_frequent(words, counts):
+    """The TOP words of the greatest counts, and the end token if it is among the words."""
+    import numpy as np
+
+    by = np.lexsort((words, -counts))[:TOP]
+    by = np.union1d(by[counts[by] > 0], np.flatnonzero((words == END) & (counts > 0)))
+    return words[by], counts[by]
+
+
+def top_words(sums: DataFrame) -> list[tuple[int, int]]:
+    """(word, count) of the most frequent words of all parts; every part's are merged in a fixed number of tasks, so a bounded list comes to the driver."""
+
+    def merge(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, counts = most_frequent(np.concatenate([words, np.frombuffer(w, np.uint64)]), np.concatenate([counts, np.frombuffer(c, np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["top_words", "top_counts"])
+
+    import numpy as np
+
+    merged = sums.where("kinds IS NOT NULL").select("top_words", "top_counts").repartition(16).mapInArrow(merge, "top_words binary, top_counts binary").collect()
+    words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r[0]), np.uint64) for r in merged)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r[1]), np.int64) for r in merged)])
+    words, counts = most_frequent(words, counts)
+    return list(zip(words.tolist(), counts.tolist(), strict=True))
+
+
+def document_sums(sums: DataFrame, parts: int) -> DataFrame:
+    """Per document, the parts' sums added up."""
+
+    def add(table):
+        import numpy as np
+        import pyarrow as pa
+
+        joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        keys, at = np.unique(joined("keys", np.int64), return_inverse=True)
+        total = lambda c, kind: np.bincount(at, joined(c, kind), len(keys))
+        whole = {c: total(c, np.int64).astype(np.int64) for c in ("tokens", "known")}
+        return pa.table({"key": keys} | whole | {c: total(c, np.float64) for c in ("base", "rare")})
+
+    packed = sums.where("bucket IS NOT NULL").select("bucket", "keys", "tokens", "known", "base", "rare")
+    return packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add, DOCUMENTS)
+
+
 class Model:
     """The top words with their classes, and the weights of the softmax over classes."""
 
@@ -281,16 +330,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"), held_out(F.col(id_col)).alias("held"), F.col(id_col).cast("long").alias("id"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     letters = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).head()[0] or 0
-    sums = shared_table(count_words(rows.select("key", "text", "held"), max(least, -(-letters * 2 // PART_BYTES))), "word-sums")
+    parts = max(least, -(-letters * 2 // PART_BYTES))
+    sums = shared_table(count_words(rows.select("key", "text", "held"), parts), "word-sums")
     kinds, tokens = sums.where("kinds IS NOT NULL").agg(F.sum("kinds"), F.sum("count")).head()
     kinds, tokens = kinds or 0, tokens or 0
-    top = [(r["word"], r["count"]) for r in sums.where("word IS NOT NULL").orderBy(F.desc("count"), "word").limit(TOP).select("word", "count").collect()]
-    end = sums.where(F.col("word") == END).select("word", "count").head()
-    model = Model([*(x for x in top if x[0] != END), *([(END, end["count"])] if end else [])], tokens, kinds)
+    model = Model(top_words(sums), tokens, kinds)
     train(rows, model)
     whole, unknown = model.rare_logs()
     scored = class_scores(rows, model)
-    of_doc = sums.where("key IS NOT NULL").groupBy(F.col("key").alias("of")).agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("rare").alias("rare"))
+    of_doc = document_sums(sums, parts).withColumnRenamed("key", "of")
     # rows that agree in id and text have one key: each gets its share of the key's sums
     joined = scored.join(shared_table(of_doc, "document-sums"), F.col("key") == F.col("of"))
     share = F.col("n_tokens") / F.col("tokens")
