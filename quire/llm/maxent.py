@@ -25,8 +25,8 @@ PART_BYTES = 24 << 20
 TOP, CLASSES, HASHED = 2048, 30, 1 << 14
 #: Taken off each count of a rare word, for the unknown one.
 DISCOUNT = 0.75
-#: Rounds; each takes its share of the documents, and one of STRIDE positions of each (a mini-batch is a draw of positions).
-ROUNDS, STRIDE, BATCH, RATE = 2, 4, 4096, 0.3
+#: Rounds; each takes its share of the documents, so that together they train on every position of every training document once.
+ROUNDS, BATCH, RATE = 2, 4096, 0.3
 END = 1
 #: Rows of a weight table that travel and are averaged together.
 BLOCK = 2048
@@ -245,7 +245,7 @@ def train(rows: DataFrame, model: Model) -> None:
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
 
-        def descend(batches, sent=sent, turn=turn):
+        def descend(batches, sent=sent):
             import pyarrow as pa
 
             model = sent.value
@@ -253,10 +253,8 @@ def train(rows: DataFrame, model: Model) -> None:
             for _, (hashes, codes, bounds) in _slices(batches):
                 place = model.places(hashes)[codes]
                 features, truth = model.features(place, bounds), model.classes[place]
-                # the hash of position and word draws one of STRIDE positions, in another order each round
-                at = np.flatnonzero((np.arange(len(place)) * 2654435761 + codes * 97 + turn) % (1 << 32) % STRIDE == 0)
-                for a in range(0, len(at), BATCH):
-                    some = at[a : a + BATCH]
+                for a in range(0, len(place), BATCH):
+                    some = np.arange(a, min(a + BATCH, len(place)))
                     chosen = [f[some] for f in features]
                     slope = np.exp(model.log_shares(weights, chosen))
                     slope[np.arange(len(some)), truth[some]] -= 1

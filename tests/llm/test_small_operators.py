@@ -180,6 +180,18 @@ def test_maxent_base_and_order(spark, rows):
     assert all(math.isfinite(r.score) and r.score < 0 for r in out)
 
 
+def test_maxent_trains_on_every_position(spark):
+    # every word stands in one document only: a position that is left out leaves the weights of the word before it at zero
+    texts = [f"a{i} b{i} c{i}" for i in range(300)]
+    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "key long, text string, held boolean").withColumn("id", F.col("key")).repartition(4)
+    sums = maxent.count_words(rows.select("key", "text", "held"), 4)
+    model = maxent.Model(maxent.top_words(sums), 1200, 901)
+    maxent.train(rows, model)
+    hashes, codes, bounds = maxent.token_codes(pa.array(texts))
+    one, _, _ = model.features(model.places(hashes)[codes], bounds)
+    assert len(set(one)) == 901 and (model.weights[one] != 0).any(1).all()
+
+
 def test_empty_tables(spark):
     docs = table(spark, [(1, "x", "en", "s")]).where("doc_id = 2")
     assert exact_dedup.mark_duplicates(docs).count() == 0
