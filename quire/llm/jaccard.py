@@ -5,8 +5,8 @@ hash of a shingle, so each order is a permutation of hashes: ascending and
 descending, both with the very frequent tokens last. Documents whose sets are
 equal are one node. Steps:
 
-1. A document stays only if enough tokens of its prefix occur elsewhere:
-   a partner at 3/4 lacks at most a quarter of its tokens.
+1. A document stays only if enough tokens of its prefix occur in other
+   prefixes: as many as its prefix shares with that of any partner at 3/4.
 2. Pairs must share enough prefix tokens under the first order and under the
    second; the two filters are intersected. Tokens of many documents give a
    star instead of all pairs.
@@ -16,6 +16,8 @@ equal are one node. Steps:
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def prefix_size(n):
     return (5 * n) // 16 + 1
 
 
+@lru_cache(1 << 16)
+def prefix_shared(n: int) -> int:
+    """Tokens that the prefix of a set of n shares at least with the prefix of a partner at 3/4, whatever the partner's size.
+
+    Of o common tokens the k-th comes at n - o + k at the latest in a set of
+    n, so both prefixes hold it as long as that is within either's size.
+    """
+    import numpy as np
+
+    m = np.arange(-(-3 * n // 4), 4 * n // 3 + 1)
+    common = -(-3 * (n + m) // 7)
+    return int((np.minimum(prefix_size(n) - n, prefix_size(m) - m) + common).min())
+
+
 def token_sets(texts):
     """Sorted distinct tokens of each text of an Arrow array, one array per text."""
     import numpy as np
@@ -139,7 +155,7 @@ def document_nodes(rows: DataFrame, frequent) -> DataFrame:
         import pyarrow as pa
 
         for ids, sets in _sets(batches):
-            needed = [prefix_size(len(s)) - len(s) // 4 - int(_is_in(sent.value, prefix(s, sent.value, 0)).sum()) for s in sets]
+            needed = [prefix_shared(len(s)) - int(_is_in(sent.value, prefix(s, sent.value, 0)).sum()) for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(needed, pa.int64())], names=["id", "n", "node", "needed"])
 
     return rows.mapInArrow(run, "id long, n long, node long, needed long")

@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quire.llm import graph, jaccard
@@ -59,6 +61,26 @@ def test_against_brute_force(spark, monkeypatch):
     assert out == brute(rows)
 
 
+def test_prefixes_of_small_sets_share_enough():
+    for n, m in itertools.product(range(1, 13), repeat=2):
+        for o in range(-(-3 * (n + m) // 7), min(n, m) + 1):
+            tokens = np.arange(n + m - o, dtype=np.uint64)
+            for own in itertools.combinations(range(len(tokens)), n - o):
+                rest = [k for k in range(len(tokens)) if k not in own]
+                for other in itertools.combinations(rest, m - o):
+                    x, y = np.delete(tokens, list(other)), np.delete(tokens, list(own))
+                    both = np.intersect1d(x[: jaccard.prefix_size(n)], y[: jaccard.prefix_size(m)])
+                    assert len(both) >= jaccard.prefix_shared(n), (n, m, o)
+
+
+def test_two_words_more(spark):
+    # 7 shingles against 9: a few in a hundred pairs share but one token of their prefixes
+    texts = [[f"t{i}w{k}" for k in range(13)] for i in range(300)]
+    rows = [(2 * i + j, " ".join(t if j else (t[2:] if i % 2 else t[:-2]))) for i, t in enumerate(texts) for j in (0, 1)]
+    out = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.component_id for r in out} == {k: k - k % 2 for k, _ in rows}
+
+
 def test_empty(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
