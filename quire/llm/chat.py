@@ -4,7 +4,8 @@ Quote levels are parsed from leading ``>`` marks. A quoted passage (a run of
 lines of one level) is normalised and hashed, and so are the paragraphs,
 lines and whole bodies that messages themselves hold; equal hashes within a
 conversation link a quotation to the earliest message it can come from. A
-message replies to the latest message that its outermost linked quotations
+passage that as a whole comes from nowhere is linked by its paragraphs, or
+else by its lines, so that trimmed quotations are found. A message replies to the latest message that its outermost linked quotations
 come from. Messages come out in reply order, without their quotations.
 """
 
@@ -37,13 +38,16 @@ def _lines(text: Column) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """Structs of level and normalised passage, a run of lines of one level each; empty passages are left out."""
+    """Structs of level, normalised passage and, of quotations, its normalised paragraphs and rows (single lines), a run of lines of one level each; empty passages are left out."""
 
     def of_starts(starts: Column) -> Column:
         def run(s: Column, k: Column) -> Column:
             stop = F.coalesce(F.get(starts, k + 1), F.size(lines))
             joined = F.array_join(F.transform(F.slice(lines, s + 1, stop - s), lambda x: x["content"]), " ")
-            return F.struct(F.get(lines, s)["level"].alias("level"), normalised(joined).alias("passage"))
+            level = F.get(lines, s)["level"]
+            rows = F.array_join(F.transform(F.slice(lines, s + 1, stop - s), lambda x: normalised(x["content"])), "\n")
+            parts = lambda by: F.when(level > 0, F.array_distinct(F.filter(F.transform(F.split(rows, by), normalised), lambda x: x != "")))
+            return F.struct(level.alias("level"), normalised(joined).alias("passage"), parts("\n{2,}").alias("paragraphs"), parts("\n").alias("rows"))
 
         return F.filter(F.transform(starts, run), lambda r: (r["level"] >= 0) & (r["passage"] != ""))
 
@@ -56,12 +60,16 @@ def _own(lines: Column) -> Column:
 
 
 def parse(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """row, conv, turn, role, body (without quotations), quotes (level and hash of each passage) and holds (hashes of what the message itself says)."""
+    """row, conv, turn, role, body (without quotations), quotes (run, level, rank and hash of each passage, rank 0, and its paragraphs and lines, ranks 1 and 2) and holds (hashes of what the message itself says)."""
     digest = lambda x: F.unhex(F.sha2(x, 256))
 
     def parsed(lines: Column) -> Column:
         def hashes(runs: Column) -> Column:
-            quotes = F.transform(F.filter(runs, lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), digest(r["passage"]).alias("hash")))
+            def quoted(r: Column, i: Column) -> Column:
+                ranks = enumerate((F.array(r["passage"]), r["paragraphs"], r["rows"]))
+                return F.concat(*[F.transform(x, lambda y, k=k: F.struct(i.alias("run"), r["level"].alias("level"), F.lit(k).alias("rank"), digest(y).alias("hash"))) for k, x in ranks])
+
+            quotes = F.flatten(F.transform(F.filter(runs, lambda r: r["level"] > 0), quoted))
             paragraphs = F.transform(F.filter(runs, lambda r: r["level"] == 0), lambda r: r["passage"])
             single = F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: normalised(x["content"]))
             whole = F.array(normalised(_own(lines)))
@@ -76,12 +84,15 @@ def parse(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
 
 def link(parsed: DataFrame) -> DataFrame:
     """row and parent: the message that a message replies to, for messages with a linked quotation."""
-    quotes = parsed.select("row", "conv", "turn", F.explode("quotes").alias("q")).select("row", "conv", "turn", "q.level", "q.hash")
+    quotes = parsed.select("row", "conv", "turn", F.explode("quotes").alias("q")).select("row", "conv", "turn", "q.*")
     held = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", F.explode("holds").alias("held_hash"), F.struct("turn", "row").alias("at"))
     first = held.groupBy(F.col("conv").alias("held_conv"), "held_hash").agg(F.min("at").alias("origin"))
     linked = quotes.join(first, (F.col("conv") == F.col("held_conv")) & (F.col("hash") == F.col("held_hash"))).where(F.col("origin.turn") < F.col("turn"))
+    # of each run, what the largest parts of it come from
+    closest = F.max(F.struct((-F.col("rank")).alias("whole"), F.col("origin.turn").alias("turn"), F.col("origin.row").alias("row")))
+    runs = linked.groupBy("row", "run", "level").agg(closest.alias("origin"))
     best = F.max(F.struct((-F.col("level")).alias("outer"), F.col("origin.turn").alias("turn"), F.col("origin.row").alias("row")))
-    return linked.groupBy("row").agg(best.alias("best")).select("row", F.col("best.row").alias("parent"))
+    return runs.groupBy("row").agg(best.alias("best")).select("row", F.col("best.row").alias("parent"))
 
 
 def reply_roots(parents: DataFrame, rows: DataFrame) -> DataFrame:

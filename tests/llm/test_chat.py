@@ -24,6 +24,20 @@ def test_links_nested_quotes(spark):
     assert out[None, None].parent_turn is None
 
 
+def test_partial_quotes(spark):
+    rows = [
+        (1, 0, "u", "One.\nTwo.\nThree.\n\nFour\nfive.\n\nSix.", ""),
+        (1, 1, "a", "Six.\nSeven.", ""),
+        (1, 2, "u", "> One.\n> Two.\nLines.", ""),
+        (1, 3, "a", "> Four five.\n>\n> Six.\nParagraphs, filled anew.", ""),
+        (1, 4, "u", "> Six.\n> Seven.\nWhole.", ""),
+        (1, 5, "a", "> Eight.\n> Nine.\nNowhere.", ""),
+    ]
+    out = {r.turn: r for r in chat.reply_order(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [out[t].parent_turn for t in range(6)] == [None, None, 0, 0, 1, None]
+    assert out[3].root_turn == 0 and out[3].body == "Paragraphs, filled anew."
+
+
 def test_empty_and_repeated(spark):
     assert chat.reply_order(spark.createDataFrame([], SCHEMA)).count() == 0
     twice = [(1, 0, "u", "a", ""), (1, 0, "u", "a", ""), (1, 1, "u", "> a\nb", "")]
