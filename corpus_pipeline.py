@@ -28,7 +28,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs, carry=True).where("kept").select("record.*")
+    return quality.keep_good(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

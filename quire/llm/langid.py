@@ -1,11 +1,12 @@
 """Language identification with character language models.
 
 One interpolated Kneser-Ney model per language, over the characters of
-white-space separated words (with a start and an end mark). The models share
-sorted arrays of n-gram hashes, with a column per language. A document gets
-the language of lowest cross-entropy per character; how sharply entropies
-turn into probabilities, and from what entropy on a text is rejected, is
-calibrated on labelled documents that the counts have not seen.
+white-space separated words (with a start and an end mark). Per order there
+is one sorted array of n-gram hashes, and for each of them the languages that
+know it with their values, so that rare n-grams cost no column per language.
+A document gets the language of lowest cross-entropy per character; how
+sharply entropies turn into probabilities, and from what entropy on a text is
+rejected, is calibrated on labelled documents that the counts have not seen.
 """
 
 from __future__ import annotations
@@ -13,13 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, row_slices, text_or_empty, words, worker_cache
+from .common import Memo, row_slices, shared_table, text_or_empty, tidy, words, worker_cache
 
 ORDER = 5
 #: Labelled documents per language that the models are counted on, and calibrated on.
 COUNTED, CALIBRATED = 500, 100
-#: Languages at most (those with most labelled documents), and characters of a sampled document at most.
-LANGUAGES, SAMPLED_CHARS = 200, 20_000
+#: Characters of a sampled document, about: of longer ones a share of the words is drawn, from all over the text. Sampled words have at most WORD_CHARS characters.
+SAMPLED_CHARS, WORD_CHARS = 20_000, 64
+#: Characters of the pieces of texts from which the limit of short texts is calibrated.
+SHORT_CHARS = 40
+#: Probabilities held at a time while words are scored.
+CELLS = 4_000_000
+#: Labels up to which their shares are broadcast.
+LABELS_BROADCAST = 100_000
 UNKNOWN = "und"
 START, STOP = "\x02", "\x03"
 
@@ -42,7 +49,7 @@ def _grams(found: list[str]):
     hashes, power = [np.zeros(len(chars), np.uint64)], np.uint64(1)
     for n in range(1, ORDER + 1):
         back = np.zeros(len(chars), np.uint64)
-        back[n - 1 :] = chars[: len(chars) - n + 1]
+        back[n - 1 :] = chars[: max(0, len(chars) - n + 1)]
         with np.errstate(over="ignore"):
             power = np.uint64((int(power) * int(odd)) % 2**64)
             mixed = (back + np.uint64(1)) * power
@@ -84,27 +91,35 @@ class CharModels:
                 shares[n - 1].append((keys, np.maximum(count - discount, 0) / total[of]))
                 weights[n - 1].append((contexts, kinds / total))
         self.floor = 1.0 / (len(alphabet) + 2)
-        self.tables = [(self._merged(shares[n], 0.0), self._merged(weights[n], 1.0)) for n in range(ORDER)]
+        self.tables = [(self._merged(shares[n]), self._merged([(k, v - 1) for k, v in weights[n]])) for n in range(ORDER)]
+        self.slack = 0.0
 
-    def _merged(self, columns: list, default: float):
-        """(sorted hashes, a row of values for each and one of defaults)."""
+    @staticmethod
+    def _merged(columns: list):
+        """(sorted hashes, bounds of their entries, languages and values of the entries)."""
         import numpy as np
 
-        keys = np.unique(np.concatenate([k for k, _ in columns])) if columns else np.zeros(0, np.uint64)
-        values = np.full((len(keys) + 1, len(columns)), default, np.float32)
-        for i, (k, v) in enumerate(columns):
-            values[np.searchsorted(keys, k), i] = v
-        return keys, values
+        flat = np.concatenate([k for k, _ in columns]) if columns else np.zeros(0, np.uint64)
+        values = np.concatenate([v for _, v in columns]).astype(np.float32) if columns else np.zeros(0, np.float32)
+        language = np.repeat(np.arange(len(columns), dtype=np.int32), [len(k) for k, _ in columns])
+        by = np.argsort(flat, kind="stable")
+        keys, first = np.unique(flat[by], return_index=True)
+        return keys, np.append(first, len(flat)), language[by], values[by]
 
     @staticmethod
-    def _row(table, wanted):
+    def _add(table, wanted, out) -> None:
+        """Add the values of the wanted hashes to the rows of ``out``, each in the columns of the languages that know it."""
         import numpy as np
 
-        keys, values = table
+        keys, bounds, language, values = table
         if not len(keys):
-            return values[np.zeros(len(wanted), np.int64)]
+            return
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return values[np.where(keys[at] == wanted, at, len(keys))]
+        rows = np.flatnonzero(keys[at] == wanted)
+        begin, counts = bounds[at[rows]], np.diff(bounds)[at[rows]]
+        ends = np.cumsum(counts)
+        entries = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        out[np.repeat(rows, counts), language[entries]] += values[entries]
 
     def score_words(self, found: list[str]):
         """A row per word: natural log-probability under each language, then the characters counted. Words without letters count nothing."""
@@ -119,7 +134,11 @@ class CharModels:
         for n in range(1, ORDER + 1):
             rows = np.flatnonzero((at >= n - 1) & (at > 0))
             shares, weights = self.tables[n - 1]
-            p[rows] = self._row(shares, hashes[n][rows]) + self._row(weights, hashes[n - 1][rows - 1]) * p[rows]
+            backed = np.ones((len(rows), len(self.languages)), np.float32)
+            self._add(weights, hashes[n - 1][rows - 1], backed)
+            backed *= p[rows]
+            self._add(shares, hashes[n][rows], backed)
+            p[rows] = backed
         p[at == 0] = 1
         log = np.log(np.maximum(p, 1e-30))
         bounds = np.flatnonzero(at == 0)
@@ -155,8 +174,9 @@ class CharModels:
                     self.clear()
                     new = [w for w in found if w not in self and w not in self.old]
                 fresh = {}
-                for a in range(0, len(new), 50_000):
-                    some = new[a : a + 50_000]
+                step = max(64, CELLS // (10 * len(models.languages)))
+                for a in range(0, len(new), step):
+                    some = new[a : a + step]
                     fresh |= {w: r.tobytes() for w, r in zip(some, models.score_words(some), strict=True)}
                 out = [fresh[w] if w in fresh else self[w] if w in self else self.old[w] for w in found]
                 self.update(fresh)
@@ -165,21 +185,50 @@ class CharModels:
         return Scores(None)
 
     def calibrate(self, labelled: list[tuple[str, str]]) -> None:
-        """Fit how sharply entropies differ (by likelihood of the labels) and the highest entropy that is accepted: half above all that is seen under the right label."""
+        """Fit, on labelled texts, how sharply entropies differ (by likelihood of the labels) and the highest entropy that is accepted.
+
+        The limit lies halfway between what nearly all texts have under the
+        right language and the middle of what texts have that none of the
+        models was made for: the texts under the best of the wrong languages,
+        and the texts with their characters in disorder, whichever is lower.
+        Short texts get what pieces of texts have above that, by the square
+        root of their length.
+        """
         import numpy as np
         import pyarrow as pa
 
-        pairs = [(lang, text) for lang, text in labelled if lang in self.languages]
+        pairs = [(lang, text) for lang, text in labelled if lang in self.languages and any(map(str.isalpha, text))]
         if not pairs:
             return
-        h, n = self.entropies(pa.array([t for _, t in pairs]), self.memo())
+        memo = self.memo()
+        h, n = self.entropies(pa.array([t for _, t in pairs], pa.string()), memo)
         truth = np.asarray([self.languages.index(lang) for lang, _ in pairs])
         own = h[np.arange(len(pairs)), truth]
         best = (np.inf, 1.0)
         for sharp in np.geomspace(0.5, 200, 40):
             best = min(best, (float((sharp * own + np.log(np.exp(-sharp * (h - h.min(1, keepdims=True))).sum(1)) - sharp * h.min(1)).sum()), float(sharp)))
         self.sharpness = best[1]
-        self.most_entropy = float(own[n > 0].max(initial=0.0) * 1.5) or float("inf")
+        draw = np.random.default_rng(13)
+        mixed = ["".join(draw.permutation(list(t[:2000]))) for _, t in pairs]
+        foreign = [float(np.median(self.entropies(pa.array(mixed, pa.string()), memo)[0].min(1)))]
+        if len(self.languages) > 1:
+            h[np.arange(len(pairs)), truth] = np.inf
+            foreign.append(float(np.median(h.min(1))))
+        usual = float(np.quantile(own, 0.995))
+        self.most_entropy = usual + max(0.05 * usual, (min(foreign) - usual) / 2)
+        pieces = [(k, t[a : a + SHORT_CHARS].rpartition(" ")[0]) for k, (_, t) in enumerate(pairs) for a in (0, len(t) // 2)]
+        pieces = [(k, t) for k, t in pieces if any(map(str.isalpha, t))]
+        if pieces:
+            short, size = self.entropies(pa.array([t for _, t in pieces], pa.string()), memo)
+            above = short[np.arange(len(pieces)), truth[[k for k, _ in pieces]]] - self.most_entropy
+            self.slack = max(0.0, float(np.quantile(above * np.sqrt(size), 0.995)))
+
+    def key(self) -> str:
+        """A digest of the models, by which workers tell them apart."""
+        import hashlib
+        import pickle
+
+        return hashlib.blake2b(pickle.dumps((self.languages, self.tables, self.sharpness, self.most_entropy, self.slack)), digest_size=12).hexdigest()
 
     def decide(self, texts, memo):
         """(languages, probabilities, rejected) of an Arrow array of texts."""
@@ -188,64 +237,72 @@ class CharModels:
         h, n = self.entropies(texts, memo)
         lead = np.exp(-self.sharpness * (h - h.min(1, keepdims=True)))
         best = h.argmin(1)
-        return [self.languages[i] for i in best], 1 / lead.sum(1), (h.min(1) > self.most_entropy) | (n == 0)
+        return [self.languages[i] for i in best], 1 / lead.sum(1), (h.min(1) > self.most_entropy + self.slack / np.sqrt(np.maximum(n, 1))) | (n == 0)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", counted: int = COUNTED, calibrated: int = CALIBRATED) -> CharModels:
-    """Models from labelled documents that are not held out.
+    """Models from labelled documents that are not held out, one for every label.
 
     Documented bounds: per language at most ``counted`` documents for the
-    counts and ``calibrated`` others for the calibration, drawn by a hash of
-    their ids, each of at most SAMPLED_CHARS characters; at most LANGUAGES
-    languages. Both samples, and so the arrays, have a fixed largest size.
+    counts and ``calibrated`` others (a sixth of them, if there are fewer)
+    for the calibration, drawn by a hash of id and text (rows that agree in
+    both are drawn once), each of about SAMPLED_CHARS characters at most,
+    drawn word by word from the whole text. So the arrays' size is bounded by
+    the number of languages.
     """
+    from pyspark.sql import Window
+
     text = F.col(text_col).cast("string")
-    rows = docs.where(F.col(lang_col).isNotNull() & text.isNotNull() & ~held_out(F.col(id_col)) & (F.length(text) <= SAMPLED_CHARS))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.lit(5), F.col(id_col)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(sizes)
+    rows = docs.where(F.col(lang_col).isNotNull() & text.isNotNull() & ~held_out(F.col(id_col)))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.lit(5), F.col(id_col), text).alias("h"))
+    sizes = shared_table(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "labels")
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not languages:
         return CharModels([UNKNOWN], {UNKNOWN: []})
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 1.3 * (counted + calibrated) / n))) for x, n in sizes.items()])
+    sizes = sizes.select(F.col("lang").alias("label"), "n")
     place = (F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)).alias("place")
-    from pyspark.sql import Window
-
+    share = F.lit(1.3 * (counted + calibrated)) / F.col("n")
     # the share leaves a bounded number of rows per language, which are then ranked
-    drawn = rows.select("lang", "text", place).where(F.col("place") < share).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
-    used = F.when(F.col("nth") <= calibrated, "calibrate").when(F.col("nth") <= calibrated + counted, "count")
-    drawn = drawn.select("lang", "text", used.alias("used")).where("used IS NOT NULL")
-    few = {x for x, n in sizes.items() if n < 2 * calibrated}  # with few documents, all are counted too
-    counts_of = drawn.where((F.col("used") == "count") | F.col("lang").isin(list(few))).select("lang", F.explode(words(F.lower("text"))).alias("word"))
+    drawn = rows.select("lang", "text", "h", place).join(F.broadcast(sizes) if len(languages) <= LABELS_BROADCAST else sizes, F.col("lang") == F.col("label")).where(F.col("place") < share)
+    drawn = drawn.select("lang", "n", "h", "place", _sampled_words(F.col("text")).alias("words")).groupBy("lang", "h").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.first("words").alias("words"))
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h")))
+    apart = F.least(F.lit(calibrated), F.expr("n div 6"))
+    used = F.when(F.col("nth") <= apart, "calibrate").when(F.col("nth") <= apart + counted, "count")
+    drawn = shared_table(drawn.select("lang", "words", used.alias("used")).where("used IS NOT NULL"), "labelled")
     counts: dict[str, list] = {x: [] for x in languages}
-    table = counts_of.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "word").toArrow()
+    table = drawn.where("used = 'count'").select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     for lang, word, n in zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         if any(map(str.isalpha, word)):
             counts[lang].append((word, n))
     models = CharModels(languages, counts)
-    held = drawn.where("used = 'calibrate'").toArrow()
+    held = drawn.where("used = 'calibrate'").select("lang", F.array_join("words", " ").alias("text")).toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     models.calibrate(list(zip(held.column("lang").to_pylist(), held.column("text").to_pylist(), strict=True)))
     return models
 
 
+def _sampled_words(text: Column) -> Column:
+    """Lower-cased words of a text; of a long one, those that a hash of word and place draws from all of it."""
+    share = F.lit(float(SAMPLED_CHARS)) / F.greatest(F.length(text), F.lit(SAMPLED_CHARS)) * float(1 << 20)
+    return F.filter(words(F.lower(text)), lambda w, i: (F.length(w) <= WORD_CHARS) & (F.pmod(F.xxhash64(w, i), F.lit(1 << 20)) < share))
+
+
 def _decider(rows: DataFrame, models: CharModels, carried: list[str]):
     """A function over Arrow batches with a column ``text``: lang_pred, score, rejected, and the carried columns as they are."""
-    import uuid
-
-    sent, name = rows.sparkSession.sparkContext.broadcast(models), f"langid:{uuid.uuid4().hex}"
+    sent, name = rows.sparkSession.sparkContext.broadcast(models), models.key()
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for batch in batches:
-            memo = worker_cache(name, lambda: sent.value.memo())
+            memo = worker_cache("langid", name, lambda: sent.value.memo())
             texts = batch.column("text")
-            for a, b in row_slices(pc.binary_length(texts).to_pylist(), 8 << 20):
+            for a, b in row_slices(pc.binary_length(texts).to_pylist()):
                 langs, scores, rejected = sent.value.decide(texts.slice(a, b - a), memo)
                 kept = [batch.column(c).slice(a, b - a) for c in carried]
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_()), *kept], names=["lang_pred", "score", "rejected", *carried])
 
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

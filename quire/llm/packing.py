@@ -14,14 +14,14 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, row_slices, shared_table, text_or_empty, worker_cache
+from .common import Memo, row_slices, shared_table, text_or_empty, tidy, worker_cache
 
 WINDOW = 2048
 END = 1
 #: Marks that may end a word.
 MARKS = ".,!?;:"
 #: Words held by a Python worker (and as many of the generation before).
-CACHED = 300_000
+CACHED = 150_000
 #: Windows whose pieces one merging task takes.
 MERGE_WINDOWS = 4096
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
@@ -114,7 +114,9 @@ def token_arrays(texts, memo):
     import numpy as np
     import pyarrow.compute as pc
 
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the tokenizer lower-cases too
+    # the tokenizer lower-cases too, but looks for its special marks in the text as it is
+    marked = pc.any(pc.match_substring(texts, "<|")).as_py()
+    split = pc.ascii_split_whitespace(texts if marked else pc.ascii_lower(texts))
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
     parts = memo.all(coded.dictionary.to_pylist()) + [np.asarray([END], dtype="<u4").tobytes()]
@@ -153,13 +155,13 @@ def pack_online(docs: DataFrame, tokenizer: str, window: int, most_open: int) ->
     def run(batches):
         from pyspark import TaskContext
 
-        memo = worker_cache(f"words:{tokenizer}", lambda: word_ids(tokenizer))
+        memo = worker_cache("words", tokenizer, lambda: word_ids(tokenizer))
         base = TaskContext.get().partitionId() << 32
         windows, rows, made, held = Windows(most_open, window), [], 0, 0
         for batch in batches:
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
             sizes = [0] if not len(texts) else _sizes(texts)
-            for a, b in row_slices(sizes, 8 << 20) if len(texts) else ():
+            for a, b in row_slices(sizes) if len(texts) else ():
                 ids, bounds = token_arrays(texts.slice(a, b - a), memo)
                 for k in range(b - a):
                     begin, end = int(bounds[k]), int(bounds[k + 1])
@@ -169,7 +171,7 @@ def pack_online(docs: DataFrame, tokenizer: str, window: int, most_open: int) ->
                             rows += _laid(done, base + made, False)
                             made += 1
                             held += window * 4
-                    if held > 16 << 20:
+                    if held > 4 << 20:
                         yield _batch(rows)
                         rows, held = [], 0
         for left in windows.rest():
@@ -177,7 +179,7 @@ def pack_online(docs: DataFrame, tokenizer: str, window: int, most_open: int) ->
             made += 1
         yield _batch(rows)
 
-    return docs.mapInArrow(run, PIECES)
+    return docs.mapInArrow(tidy(run), PIECES)
 
 
 def _sizes(texts):
@@ -199,10 +201,11 @@ def merge_leftovers(pieces: DataFrame, window: int) -> DataFrame:
         windows, done = Windows(len(rows) + 1, window), []
         for doc, start, ids, total in rows:
             done += windows.put(len(ids) // 4, (doc, start, ids, total))
-        for i, w in enumerate(done + windows.rest()):
-            yield _batch(_laid(w, base + i, False))
+        done += windows.rest()
+        for a in range(0, len(done), 256):
+            yield _batch([r for i, w in enumerate(done[a : a + 256]) for r in _laid(w, base + a + i, False)])
 
-    return pieces.mapInArrow(run, PIECES)
+    return pieces.mapInArrow(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, most_open: int = 128) -> DataFrame:

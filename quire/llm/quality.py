@@ -98,16 +98,31 @@ def join_hosts(rows: DataFrame, rejected: DataFrame, host: str = "host", most: i
     return joined.withColumn("host_rejected", F.col("bad_host").isNotNull()).drop("bad_host")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_rate: float = 0.6, carry: bool = False) -> DataFrame:
-    """One row per input row: id, host, the five counts, failed, kept (and ``record``, the whole input row, if ``carry``).
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_rate: float = 0.6) -> DataFrame:
+    """One row per input row: id, host, the five counts, failed, kept.
 
     Null text has no words and fails. Rows without host are judged by their
     text alone. Repeated rows count as often as they occur. Empty input: no
     rows. A host is rejected if its shrunk failure rate exceeds ``most_rate``.
     """
-    record = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")] if carry else []
-    counted = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), rule_counts(F.col(text_col)).alias("c"), *record)
-    rows = counted.select("id", "host", "c.*", *(["record"] if carry else [])).withColumn("failed", base_failed())
-    rows = shared_table(rows, "quality")
+    rows = shared_table(_judged(docs, id_col, text_col, host_col), "quality")
     rejected = host_rates(rows).where(F.col("rate") > most_rate)
     return join_hosts(rows, rejected).withColumn("kept", ~F.col("failed") & ~F.col("host_rejected")).drop("host_rejected")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, *more: Column) -> DataFrame:
+    counted = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), rule_counts(F.col(text_col)).alias("c"), *more)
+    return counted.select("id", "host", "c.*", *(["record"] if more else [])).withColumn("failed", base_failed())
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_rate: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    As ``judge`` decides. The texts are counted in one pass that also writes
+    the records that pass their own rules; the host verdicts are then joined
+    to these.
+    """
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    rows = shared_table(_judged(docs, id_col, text_col, host_col, record).select("host", "failed", F.when(~F.col("failed"), F.col("record")).alias("record")), "quality")
+    rejected = host_rates(rows.select("host", "failed")).where(F.col("rate") > most_rate)
+    return join_hosts(rows.where("NOT failed").select("host", "record"), rejected).where("NOT host_rejected").select("record.*")

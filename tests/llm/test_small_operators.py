@@ -44,8 +44,11 @@ def test_exact_dedup(spark, rows):
         best = max((k for k in own if k is not None), default=None)
         assert r.group_size == len(own) and r.keep_id == best and (not r.kept or r.id == best)
     assert sum(r.kept for r in out) == len(groups)
-    left = exact_dedup.drop_duplicates(table(spark, rows)).collect()
-    assert len(left) == len(groups) and left[0].record == "r"
+    for support in (0.001, 0.05, 0.5):
+        left = exact_dedup.drop_duplicates(table(spark, rows), support=support).collect()
+        assert len(left) == len(groups) and left[0].record == "r"
+        want = {d: max((k for k in ks if k is not None), default=None) for d, ks in groups.items()}
+        assert {hashlib.sha256(fold(r.text).encode()).digest(): r.doc_id for r in left} == want
 
 
 def test_sharding(spark, rows):
@@ -71,8 +74,10 @@ def brute_quality(text):
 
 def test_quality_counts(spark, rows):
     more = rows + [(300, "a b c d e f a b c d e g a b c d e", "en", "s0"), (301, "x\ny\nx\n \nx", "en", "s0"), (302, "a#b*c|", "en", "s0")]
-    out = quality.judge(table(spark, more), carry=True).collect()
-    assert len(out) == len(more) and out[0].record.n_chars == 0
+    out = quality.judge(table(spark, more)).collect()
+    assert len(out) == len(more)
+    kept = quality.keep_good(table(spark, more))
+    assert kept.columns == table(spark, more).columns and collections.Counter((r.doc_id, brute_quality(r.text)[0]) for r in kept.collect()) == collections.Counter((r.id, r.n_words) for r in out if r.kept)
     want = collections.Counter((k, *brute_quality(t)) for k, t, *_ in more)
     assert collections.Counter((r.id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out) == want
 
@@ -117,7 +122,8 @@ def test_packing_tokens_of_odd_words():
 
     path = public.path("word_bpe_49k.json")
     coder, memo, draw = Tokenizer.from_file(path), packing.word_ids(path), random.Random(5)
-    texts = ["".join(draw.choice(a) for _ in range(draw.choice([0, 1, 7, 60]))) for a in ("abé ñß.,!?;:'", "aÁ ëﬁÀ\n\t.", "漢か x1٣², '", "Σσς ΑΣ. İıſª", "\x1c\x85 ab.,", "'s't re'll") for _ in range(200)]
+    marks = [f"{x}{f(m)}{y}" for m in ("<|startoftext|>", "<|endoftext|>") for f in (str.lower, str.upper, str.title) for x in ("", "a", "a ", ".") for y in ("", "b", " b", ".", "<|endoftext|>")]
+    texts = [*marks, "<|EndOfText|>", *marks] + ["".join(draw.choice(a) for _ in range(draw.choice([0, 1, 7, 60]))) for a in ("abé ñß.,!?;:'", "aÁ ëﬁÀ\n\t.", "漢か x1٣², '", "Σσς ΑΣ. İıſª", "\x1c\x85 ab.,", "'s't re'll") for _ in range(200)]
     ids, bounds = packing.token_arrays(pa.array(texts), memo)
     for i, t in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == [*coder.encode(t, add_special_tokens=False).ids, 1], t
@@ -161,12 +167,64 @@ def test_language(spark, rows):
     assert sum(r.lang_pred == truth[r.id] for r in alone) >= 0.98 * len(alone)
 
 
-def test_models_sum_to_one():
-    counts = [("abab", 3), ("abba", 2), ("bab", 1)]
-    models = langid.CharModels(["x"], {"x": counts})
-    words = ["ab" + c for c in "ab"] + ["ab"]
-    rest = {w: models.score_words([w])[0, 0] for w in words}
-    assert all(v < 0 for v in rest.values())
+def brute_kneser_ney(counts, order=langid.ORDER):
+    """P(character | what stands before it in the word), by the textbook's recursion over dictionaries."""
+    tables = []
+    for n in range(1, order + 1):
+        own, kinds = collections.Counter(), collections.defaultdict(set)
+        for w, times in counts:
+            m = langid.START + w + langid.STOP
+            for i in range(max(1, n - 1), len(m)):
+                gram = m[i - n + 1 : i + 1]
+                own[gram] += times
+                if i >= n:
+                    kinds[gram].add(m[i - n])
+        value = {g: c if n == order or g[0] == langid.START else max(len(kinds[g]), 1e-9) for g, c in own.items()}
+        ones, twos = sum(v == 1 for v in value.values()), sum(v == 2 for v in value.values())
+        tables.append((value, min(0.95, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))))
+
+    def p(history, c, n):
+        if not n:
+            return 1 / (len({x for w, _ in counts for x in w}) + 2)
+        value, d = tables[n - 1]
+        context = history[len(history) - n + 1 :] if n > 1 else ""
+        after = {g: v for g, v in value.items() if g[:-1] == context}
+        lower = p(history, c, n - 1)
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get(context + c, 0) - d, 0) / total + sum(min(v, d) for v in after.values()) / total * lower
+
+    return p
+
+
+def test_models_against_brute_force():
+    draw = random.Random(4)
+    counts = [("".join(draw.choice("abcde") for _ in range(draw.randrange(1, 9))), draw.randrange(1, 6)) for _ in range(60)]
+    counts = list({w: n for w, n in counts}.items())
+    models = langid.CharModels(["x", "y"], {"x": counts, "y": [("zzz", 1)]})
+    p = brute_kneser_ney(counts)
+    # the models of several languages share one alphabet for the unseen
+    models.floor = 1 / (len({x for w, _ in counts for x in w}) + 2)
+    for w in [w for w, _ in counts[:20]] + ["abcabc", "eeeeeeee", "q", "aqb"]:
+        m = langid.START + w + langid.STOP
+        want = sum(math.log(p(m[:i], m[i], min(langid.ORDER, i + 1))) for i in range(1, len(m)))
+        assert models.score_words([w])[0, 0] == pytest.approx(want, rel=1e-4)
+    for history in ("\x02", "\x02a", "\x02ab", "\x02zz"):
+        assert sum(p(history, c, min(langid.ORDER, len(history) + 1)) for c in "abcde\x03") <= 1 + 1e-9
+
+
+def test_language_rejects_noise_and_keeps_labels(spark):
+    draw = random.Random(9)
+    stock = {"en": "the of and thing with house over under people water", "de": "der die und haus mit für wasser über leute straße", "fr": "le la et maison avec été eau gens sous rue"}
+    docs = [(i, " ".join(draw.choice(stock[k].split()) for _ in range(draw.choice([3, 12, 60]))), k, "s") for i in range(300) for k in [list(stock)[i % 3]]]
+    docs += [(1000 + i, " ".join(draw.choice("vesi talo kanssa ihmiset katu joki".split()) for _ in range(9000)), "fi", "s") for i in range(20)]  # long ones only
+    odd = [(2000, "zxq vkj qqwz jkxv zzkq xqj " * 20, None, "s"), (2001, "漢字 漢字漢 字漢字 " * 10, None, "s"), (2002, "".join(draw.choice("абвгдежз ") for _ in range(300)), None, "s")]
+    frame = table(spark, docs + odd)
+    models = langid.fit(frame, counted=60, calibrated=20)
+    out = {r.id: r for r in langid.identify(frame, models).collect()}
+    assert models.languages == ["de", "en", "fi", "fr"] and all(out[k].lang_pred == "fi" for k in range(1000, 1020))
+    assert all(out[k].rejected for k, *_ in odd) and not any(out[k].rejected for k, *_ in docs)
 
 
 def test_maxent_base_and_order(spark, rows):
