@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, row_slices, text_or_empty, worker_cache
+from .common import Memo, row_slices, text_or_empty, tidy, worker_cache
 
 #: Bytes up to which a piece is merged directly, the tree's leaf.
 LEAF = 24
@@ -136,15 +136,15 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
     def run(batches):
         import pyarrow as pa
 
-        encode = worker_cache(f"bpe:{ranks}", lambda: encoder(ranks, pattern))
+        encode = worker_cache("bpe", ranks, lambda: encoder(ranks, pattern))
         for batch in batches:
             texts = batch.column(1)
             import pyarrow.compute as pc
 
-            for a, b in row_slices(pc.binary_length(texts).to_pylist(), 4 << 20):
+            for a, b in row_slices(pc.binary_length(texts).to_pylist()):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(encode, texts.slice(a, b - a).to_pylist()), pa.binary())], names=["id", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(run, "id long, ids binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(tidy(run), "id long, ids binary")
 
 
 def decode_ids(df: DataFrame, ranks: str) -> DataFrame:
@@ -155,12 +155,12 @@ def decode_ids(df: DataFrame, ranks: str) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        bpe = worker_cache(f"bpe-ids:{ranks}", lambda: load(ranks))
+        bpe = worker_cache("bpe-ids", ranks, lambda: load(ranks))
         for batch in batches:
             ids = batch.column(1)
-            for a, b in row_slices([n or 0 for n in pc.binary_length(ids).to_pylist()], 4 << 20):
+            for a, b in row_slices([n or 0 for n in pc.binary_length(ids).to_pylist()]):
                 some = ids.slice(a, b - a)
                 decoded = [None if x is None else bpe.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in some.to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), some, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
-    return df.select("id", "ids").mapInArrow(run, "id long, ids binary, decoded binary")
+    return df.select("id", "ids").mapInArrow(tidy(run), "id long, ids binary, decoded binary")

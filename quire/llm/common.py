@@ -73,20 +73,61 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def worker_cache(name: str, make):
-    """An object of this Python worker process, made once and kept for later tasks."""
+def worker_cache(kind: str, key: str, make):
+    """An object of this Python worker process, made once and kept for later tasks. One is held at a time: another kind or key frees the one before."""
     import builtins
 
-    held = builtins.__dict__.setdefault("_quire_worker_cache", {})
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    held = builtins.__dict__.get("_quire_worker_cache")
+    if held is None or held[0] != (kind, key):
+        builtins.__dict__["_quire_worker_cache"] = None
+        del held
+        release()
+        held = builtins.__dict__["_quire_worker_cache"] = ((kind, key), make())
+    return held[1]
+
+
+def release() -> None:
+    """Give the memory that this Python worker no longer uses back to the system, since workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that releases memory at the end of its task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(run):
+    """A function over one group's table that releases memory after it."""
+
+    def tidied(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return tidied
 
 
 class Memo(dict):
     """A dictionary that computes what it lacks, of bounded size: the older half goes when ``most`` entries are held twice over."""
 
-    def __init__(self, compute, most: int = 200_000):
+    def __init__(self, compute, most: int = 100_000):
         super().__init__()
         self.compute, self.most, self.old = compute, most, {}
 
@@ -101,7 +142,11 @@ class Memo(dict):
         return value
 
 
-def row_slices(sizes, most: int):
+#: Bytes of texts that an Arrow function works on at a time: their words and numbers take many times that.
+SLICE_BYTES = 2 << 20
+
+
+def row_slices(sizes, most: int = SLICE_BYTES):
     """(start, stop) runs of rows whose sizes add up to ``most`` or, for one row, more."""
     start, held = 0, 0
     for i, n in enumerate(sizes):

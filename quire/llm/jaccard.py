@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, shared_table, text_or_empty
+from .common import row_slices, shared_table, text_or_empty, tidy, tidy_group
 from .graph import components, labels
 
 SHINGLE = 5
@@ -36,7 +36,7 @@ BAND = 1.34
 #: Candidate ids up to which they are broadcast (8 bytes each); beyond, they are joined by a shuffle.
 IDS_BROADCAST = 2_000_000
 #: Bytes of packed postings for one task.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 
 
 def prefix_size(n):
@@ -127,7 +127,7 @@ def _sets(batches):
 
     for batch in batches:
         texts = batch.column(1)
-        for a, b in row_slices(pc.binary_length(texts).to_pylist(), 8 << 20):
+        for a, b in row_slices(pc.binary_length(texts).to_pylist()):
             yield batch.column(0).slice(a, b - a), token_sets(texts.slice(a, b - a))
 
 
@@ -142,8 +142,15 @@ def frequent_tokens(rows: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["token"])
 
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "id", F.length("text")), F.lit(SAMPLE)) == 0)
-    counted = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    found = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
+    counted = shared_table(sample.mapInArrow(tidy(run), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT), "frequent-tokens")
+    # the count from which on there are few enough, out of how many tokens have which count
+    kinds = counted.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).toArrow().sort_by([("n", "descending")])
+    least, held = 1 << 62, 0
+    for n, tokens in zip(kinds.column("n").to_pylist(), kinds.column("tokens").to_pylist(), strict=True):
+        if (held := held + tokens) > MOST_FREQUENT:
+            break
+        least = n
+    found = counted.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
     return np.sort(found.view(np.uint64))
 
 
@@ -158,7 +165,7 @@ def document_nodes(rows: DataFrame, frequent) -> DataFrame:
             needed = [prefix_shared(len(s)) - int(_is_in(sent.value, prefix(s, sent.value, 0)).sum()) for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(needed, pa.int64())], names=["id", "n", "node", "needed"])
 
-    return rows.mapInArrow(run, "id long, n long, node long, needed long")
+    return rows.mapInArrow(tidy(run), "id long, n long, node long, needed long")
 
 
 class _Packer:
@@ -245,8 +252,8 @@ def shared_counts(rows: DataFrame, frequent, parts: int) -> DataFrame:
         nodes, at = np.unique(joined("nodes", np.int64), return_inverse=True)
         return pa.table({"node": nodes, "shared": np.bincount(at, joined("times", np.int32), len(nodes)).astype(np.int64)})
 
-    partial = rows.mapInArrow(pack, PACKED).select("part", "tokens", "nodes", "sizes").repartition(parts, "part").groupBy("part").applyInArrow(count, "bucket int, nodes binary, times binary")
-    return partial.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add, "node long, shared long")
+    partial = rows.mapInArrow(tidy(pack), PACKED).select("part", "tokens", "nodes", "sizes").repartition(parts, "part").groupBy("part").applyInArrow(tidy_group(count), "bucket int, nodes binary, times binary")
+    return partial.repartition(parts, "bucket").groupBy("bucket").applyInArrow(tidy_group(add), "node long, shared long")
 
 
 def candidate_edges(sets: DataFrame, frequent, parts: int) -> DataFrame:
@@ -296,7 +303,7 @@ def candidate_edges(sets: DataFrame, frequent, parts: int) -> DataFrame:
         return pa.table({k: pa.array(v.astype(np.int64)) for k, v in columns.items()})
 
     kind = "a long, b long, n_a long, n_b long, first long, second long, star long"
-    found = sets.select("node", "tokens").mapInArrow(pack, PACKED).repartition(2 * parts, "order", "part").groupBy("order", "part").applyInArrow(pairs, kind)
+    found = sets.select("node", "tokens").mapInArrow(tidy(pack), PACKED).repartition(2 * parts, "order", "part").groupBy("order", "part").applyInArrow(pairs, kind)
     found = found.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b", "star")], F.sum("first").alias("first"), F.sum("second").alias("second"))
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)
     least = F.least(*[F.floor(F.col(n) * 5 / 16) + 1 - F.col(n) + overlap for n in ("n_a", "n_b")])
@@ -377,7 +384,7 @@ def verified_links(sets: DataFrame, families: DataFrame, tasks: int) -> DataFram
         out = np.concatenate(stars) if stars else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
-    return joined.repartition(tasks, "task").groupBy("task").applyInArrow(verify, "a long, b long")
+    return joined.repartition(tasks, "task").groupBy("task").applyInArrow(tidy_group(verify), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,7 +419,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
-    sets = shared_table(chosen.mapInArrow(whole, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    sets = shared_table(chosen.mapInArrow(tidy(whole), "node long, tokens binary").dropDuplicates(["node"]), "sets")
     families = shared_table(components(candidate_edges(sets, frequent, parts_of((total or 0) * 5 / 16)), "families"), "families")
     tasks = max(least, -(-int(total or 0) * 8 // PART_BYTES))
     parts = components(verified_links(sets, families, tasks), "links")
