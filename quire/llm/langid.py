@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, row_slices, shared_table, text_or_empty, tidy, words, worker_cache
+from .common import Memo, let, row_slices, shared_table, text_or_empty, tidy, words, worker_cache
 
 ORDER = 5
 #: Labelled documents per language that the models are counted on, and calibrated on.
@@ -282,8 +282,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def _sampled_words(text: Column) -> Column:
     """Lower-cased words of a text; of a long one, those that a hash of word and place draws from all of it."""
-    share = F.lit(float(SAMPLED_CHARS)) / F.greatest(F.length(text), F.lit(SAMPLED_CHARS)) * float(1 << 20)
-    return F.filter(words(F.lower(text)), lambda w, i: (F.length(w) <= WORD_CHARS) & (F.pmod(F.xxhash64(w, i), F.lit(1 << 20)) < share))
+    share = (F.lit(float(SAMPLED_CHARS << 20)) / F.greatest(F.length(text), F.lit(SAMPLED_CHARS))).cast("long")
+    drawn = lambda most: F.filter(words(F.lower(text)), lambda w, i: (F.length(w) <= WORD_CHARS) & (F.pmod(F.xxhash64(w, i), F.lit(1 << 20)) < most))
+    # the share is bound once per text: inside the filter it would be computed for every word
+    return F.when(F.length(text) <= SAMPLED_CHARS, F.filter(words(F.lower(text)), lambda w: F.length(w) <= WORD_CHARS)).otherwise(let(share, drawn))
 
 
 def _decider(rows: DataFrame, models: CharModels, carried: list[str]):
