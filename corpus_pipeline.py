@@ -2,9 +2,9 @@
 
 Quality rules, language identification, exact deduplication, near-duplicate
 removal and packing, each over all that its predecessor kept. Every stage but
-the last returns the columns of ``documents``. Rows whose doc_id is null pass
-the filters and the exact deduplication like any other row; the near-duplicate
-stage, whose decisions are by id, keeps them all. Empty input: no rows.
+the last returns the columns of ``documents``. Rows whose doc_id is null or
+occurs twice are rows like any other in each stage; only rows that agree in
+id and text are one to the exact deduplication. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -16,15 +16,8 @@ from quire.llm import exact_dedup, jaccard, langid, packing, quality
 from quire.llm.common import shared_table
 from quire.llm.queries import tokenizer_path
 
-#: Ids of documents that go, up to which they are broadcast (8 bytes each); beyond, they are joined by a shuffle.
-IDS_BROADCAST = 2_000_000
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (gone_id). The texts only move if more ids go than can be broadcast."""
-    gone = shared_table(gone.where("gone_id IS NOT NULL").distinct(), "gone")
-    few = gone.count() <= IDS_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+#: Rows that go, up to which their numbers are broadcast (8 bytes each); beyond, they are joined by a shuffle.
+ROWS_BROADCAST = 2_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +33,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard.similar_documents(docs)
-    return _without(docs, classes.where("id <> component_id").select(F.col("id").alias("gone_id")))
+    """Rows are told apart by a number of their own, so ids may be null or occur twice; of a group, the row of the least id stays (null ids last, then by number)."""
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    numbered = shared_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), record), "numbered")
+    classes = jaccard.similar_documents(numbered.select("row", "record.text"), "row", "text").select(F.col("id").alias("of"), "component_id")
+    linked = shared_table(classes.join(classes.groupBy(F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("component_id") == F.col("c")).select("of", "component_id"), "linked")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    members = numbered.select("row", "id").join(linked, F.col("row") == F.col("of"))
+    stays = members.groupBy("component_id").agg(F.min(place)["row"].alias("stays"))
+    gone = shared_table(linked.join(stays, "component_id").where("of <> stays").select(F.col("of").alias("gone")), "gone")
+    few = gone.count() <= ROWS_BROADCAST
+    return numbered.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("gone"), "left_anti").select("record.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

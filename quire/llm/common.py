@@ -69,6 +69,19 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_counted(table: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of a written table with the greatest counts: at most ``most``, by a least count that is found from how many rows have which (sixteen steps to each doubling). No sort."""
+    step = F.floor(F.log2(F.col(n)) * 16)
+    kinds = sorted(((r["step"], r["rows"]) for r in table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    least, held = None, 0
+    for s, rows in kinds:
+        held += rows
+        if held > most:
+            break
+        least = s
+    return table.where(step >= least) if least is not None else table.limit(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -142,6 +155,18 @@ class Memo(dict):
         return value
 
 
+def tidy_pair(run):
+    """The same for a function over a group's key and table."""
+
+    def tidied(key, table):
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    return tidied
+
+
 #: Bytes of texts that an Arrow function works on at a time: their words and numbers take many times that.
 SLICE_BYTES = 2 << 20
 

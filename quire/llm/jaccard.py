@@ -8,10 +8,11 @@ equal are one node. Steps:
 1. A document stays only if enough tokens of its prefix occur in other
    prefixes: as many as its prefix shares with that of any partner at 3/4.
 2. Pairs must share enough prefix tokens under the first order and under the
-   second; the two filters are intersected. Tokens of many documents give a
-   star instead of all pairs.
-3. What is connected so far is verified exactly, whole sets against whole
-   sets, in blocks of bounded size; verified links give the components.
+   second; the two filters are intersected. A token of many documents ties
+   them to a hub of its own instead of making all pairs; such ties count only
+   for documents that both orders make a candidate.
+3. What is connected so far is a family, in which whole sets are verified
+   exactly; verified links give the components.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, shared_table, text_or_empty, tidy, tidy_group
+from .common import most_counted, row_slices, shared_table, text_or_empty, tidy, tidy_group, tidy_pair
+from .families import family_components, small
 from .graph import components, labels
 
 SHINGLE = 5
 #: A token is frequent if FREQUENT of the sampled documents hold it, one of SAMPLE being sampled; at most MOST_FREQUENT tokens are. This only orders tokens.
 FREQUENT, SAMPLE, MOST_FREQUENT = 4, 16, 500_000
-#: Documents that share a token: up to so many, all their pairs; beyond, a star.
-ALL_PAIRS = 96
-#: Documents of one verification task's side.
-BLOCK = 256
+#: Documents that share a token: up to so many, all their pairs; beyond, ties to a hub.
+ALL_PAIRS = 32
+#: Pairs that are counted at a time.
+PAIRS = 500_000
+#: Tokens that are held at a time while sets are compared.
+COMPARED = 1 << 20
 #: Ratio of a band of set sizes, a little above that of the sizes of linked sets.
 BAND = 1.34
 #: Candidate ids up to which they are broadcast (8 bytes each); beyond, they are joined by a shuffle.
@@ -143,14 +147,7 @@ def frequent_tokens(rows: DataFrame):
 
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "id", F.length("text")), F.lit(SAMPLE)) == 0)
     counted = shared_table(sample.mapInArrow(tidy(run), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT), "frequent-tokens")
-    # the count from which on there are few enough, out of how many tokens have which count
-    kinds = counted.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).toArrow().sort_by([("n", "descending")])
-    least, held = 1 << 62, 0
-    for n, tokens in zip(kinds.column("n").to_pylist(), kinds.column("tokens").to_pylist(), strict=True):
-        if (held := held + tokens) > MOST_FREQUENT:
-            break
-        least = n
-    found = counted.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
+    found = most_counted(counted, MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     return np.sort(found.view(np.uint64))
 
 
@@ -277,114 +274,79 @@ def candidate_edges(sets: DataFrame, frequent, parts: int) -> DataFrame:
         import pyarrow as pa
 
         order = int(key[0].as_py())
-        _, nodes, sizes, starts, runs = _unpacked(table)
-        left, right = [], []
-        few = (runs > 1) & (runs <= ALL_PAIRS)
-        for m in np.unique(runs[few]):
-            at = starts[runs == m]
+        tokens, nodes, sizes, starts, runs = _unpacked(table)
+        kinds, first, which = np.unique(nodes, return_index=True, return_inverse=True)
+        size_of, keys, times = sizes[first], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for m in np.unique(runs[(runs > 1) & (runs <= ALL_PAIRS)]):
             i, j = np.triu_indices(m, 1)
-            left.append((at[:, None] + i).ravel())
-            right.append((at[:, None] + j).ravel())
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        near = 4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b])
-        a, b = a[near], b[near]
-        both, first, times = np.unique(np.stack([nodes[a], nodes[b]], 1), axis=0, return_index=True, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), a, a)
-        many = np.flatnonzero(runs > ALL_PAIRS)
-        hub = np.repeat(nodes[starts[many]], runs[many] - 1)
-        ray = np.concatenate([nodes[starts[k] + 1 : starts[k] + runs[k]] for k in many]) if len(many) else np.zeros(0, np.int64)
-        star = np.unique(np.stack([hub, ray], 1), axis=0)
+            of_run = starts[runs == m]
+            step = max(1, PAIRS // len(i))
+            for k in range(0, len(of_run), step):
+                at = of_run[k : k + step, None]
+                a, b = which[(at + i).ravel()], which[(at + j).ravel()]
+                near = 4 * np.minimum(size_of[a], size_of[b]) >= 3 * np.maximum(size_of[a], size_of[b])
+                keys, into = np.unique(np.concatenate([keys, a[near] * len(kinds) + b[near]]), return_inverse=True)
+                times = np.bincount(into, np.concatenate([times, np.ones(int(near.sum()), np.int64)]), len(keys)).astype(np.int64)
+        a, b = keys // max(1, len(kinds)), keys % max(1, len(kinds))
+        tied = np.repeat(runs > ALL_PAIRS, runs)
+        # a hub is named by its token, apart from nodes but for a 64-bit collision
+        hub, ray = (tokens[tied] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), nodes[tied]
+        zeros, ones = np.zeros(len(hub), np.int64), np.ones(len(hub), np.int64)
         columns = {
-            "a": np.concatenate([both[:, 0], star[:, 0]]), "b": np.concatenate([both[:, 1], star[:, 1]]),
-            "n_a": np.concatenate([sizes[a[first]], np.zeros(len(star))]), "n_b": np.concatenate([sizes[b[first]], np.zeros(len(star))]),
-            "first": np.concatenate([times * (order == 0), np.zeros(len(star))]), "second": np.concatenate([times * (order == 1), np.zeros(len(star))]),
-            "star": np.concatenate([np.zeros(len(both)), np.ones(len(star))]),
+            "a": np.concatenate([kinds[a], hub]), "b": np.concatenate([kinds[b], ray]), "n_a": np.concatenate([size_of[a], zeros]), "n_b": np.concatenate([size_of[b], zeros]),
+            "first": np.concatenate([times * (order == 0), ones * (order == 0)]), "second": np.concatenate([times * (order == 1), ones * (order == 1)]), "tie": np.concatenate([np.zeros(len(a)), ones]),
         }
-        return pa.table({k: pa.array(v.astype(np.int64)) for k, v in columns.items()})
+        return pa.table({k: pa.array(v.astype(np.int64 if k in "ab" else np.int32)) for k, v in columns.items()})
 
-    kind = "a long, b long, n_a long, n_b long, first long, second long, star long"
-    found = sets.select("node", "tokens").mapInArrow(tidy(pack), PACKED).repartition(2 * parts, "order", "part").groupBy("order", "part").applyInArrow(pairs, kind)
-    found = found.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b", "star")], F.sum("first").alias("first"), F.sum("second").alias("second"))
+    kind = "a long, b long, n_a int, n_b int, first int, second int, tie int"
+    found = sets.select("node", "tokens").mapInArrow(tidy(pack), PACKED).repartition(2 * parts, "order", "part").groupBy("order", "part").applyInArrow(tidy_pair(pairs), kind)
+    found = shared_table(found.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("n_a", "n_b", "tie")], F.sum("first").alias("first"), F.sum("second").alias("second")), "met")
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)
     least = F.least(*[F.floor(F.col(n) * 5 / 16) + 1 - F.col(n) + overlap for n in ("n_a", "n_b")])
-    return found.where((F.col("star") == 1) | ((F.col("first") >= least) & (F.col("second") >= least))).select("a", "b")
+    paired = found.where((F.col("tie") == 0) & (F.col("first") >= least) & (F.col("second") >= least)).select("a", "b")
+    ties = found.where("tie = 1")
+    if ties.isEmpty():
+        return paired
+    # a partner under one order is one under the other: who meets nobody there has no partner at all
+    met = found.select(F.explode(F.when(F.col("tie") == 1, F.array("b")).otherwise(F.array("a", "b"))).alias("met"), "first", "second")
+    met = met.groupBy("met").agg(F.max("first").alias("any_first"), F.max("second").alias("any_second")).where("any_first > 0 AND any_second > 0").select("met")
+    return paired.unionByName(ties.join(met, F.col("b") == F.col("met"), "left_semi").select("a", "b"))
 
 
 def _links(nodes, sets, left, right):
-    """Linking pairs between two index lists of sets (or within one, if they are the same list), by counting shared tokens through an index."""
+    """Linking pairs between two index lists of sets (or within one, if they are the same list), by counting shared tokens through an index of some of the right ones at a time."""
     import numpy as np
 
-    if not len(left) or not len(right):
-        return []
-    lengths = np.asarray([len(sets[k]) for k in right])
-    flat = np.concatenate([sets[k] for k in right])
-    kinds, flat = np.unique(flat, return_inverse=True)
-    starts = np.cumsum(lengths) - lengths
     same, out = left is right, []
-    for i, k in enumerate(left):
-        at = np.searchsorted(kinds, sets[k])
-        at = np.minimum(at, len(kinds) - 1)
-        mark = np.zeros(len(kinds), bool)
-        mark[at[kinds[at] == sets[k]]] = True
-        begin = i + 1 if same else 0
-        if begin >= len(right):
-            continue
-        shared = np.add.reduceat(mark[flat[starts[begin] :]].astype(np.int64), starts[begin:] - starts[begin])
-        hit = np.flatnonzero(100 * shared >= 75 * (len(sets[k]) + lengths[begin:] - shared)) + begin
-        out += [(nodes[k], nodes[right[j]]) for j in hit]
+    for p, q in row_slices([len(sets[k]) for k in right], COMPARED):
+        some = right[p:q]
+        lengths = np.asarray([len(sets[k]) for k in some])
+        kinds, flat = np.unique(np.concatenate([sets[k] for k in some]), return_inverse=True)
+        starts = np.cumsum(lengths) - lengths
+        for i, k in enumerate(left[:q] if same else left):
+            begin, own = max(0, i + 1 - p) if same else 0, len(sets[k])
+            if begin >= len(some) or not ((4 * lengths[begin:] >= 3 * own) & (3 * lengths[begin:] <= 4 * own)).any():
+                continue
+            at = np.minimum(np.searchsorted(kinds, sets[k]), len(kinds) - 1)
+            mark = np.zeros(len(kinds), bool)
+            mark[at[kinds[at] == sets[k]]] = True
+            shared = np.add.reduceat(mark[flat[starts[begin] :]].astype(np.int32), starts[begin:] - starts[begin])
+            out += [(nodes[k], nodes[some[j]]) for j in np.flatnonzero(100 * shared >= 75 * (own + lengths[begin:] - shared)) + begin]
     return out
 
 
-def verified_links(sets: DataFrame, families: DataFrame, tasks: int) -> DataFrame:
-    """Edges (a, b) that connect what links within families (node, component), every pair of near enough sizes tested on whole sets, in blocks of about BLOCK sets against BLOCK.
-
-    Families above BLOCK are parted into bands of sizes; sets at 3/4 are in
-    one band or in neighbours.
-    """
-    sized = sets.select("node", F.floor(F.log(F.octet_length("tokens") / 8.0) / F.log(F.lit(BAND))).cast("int").alias("band")).join(families.withColumnRenamed("node", "member"), F.col("node") == F.col("member")).drop("member")
-    whole = sized.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = sized.join(whole, "component").select("node", "component", F.when(F.col("size") > BLOCK, F.col("band")).otherwise(0).alias("band"))
-    sized = shared_table(sized, "family-bands")
-    cells = sized.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    # a cell meets itself and the next band; each of its blocks meets each block of either
-    meets = cells.select("component", F.col("band").alias("low"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("high"), F.col("blocks").alias("low_blocks"))
-    upper = cells.select(F.col("component").alias("u_component"), F.col("band").alias("u_band"), F.col("blocks").alias("high_blocks"))
-    meets = meets.join(upper, (F.col("component") == F.col("u_component")) & (F.col("high") == F.col("u_band"))).drop("u_component", "u_band")
-    one = meets.select(F.col("component").alias("m_component"), F.col("low").alias("m_band"), F.lit(0).alias("side"), "low", "high", F.col("low_blocks").alias("own_blocks"), F.col("high_blocks").alias("blocks"))
-    two = meets.where("low <> high").select(F.col("component").alias("m_component"), F.col("high").alias("m_band"), F.lit(1).alias("side"), "low", "high", F.col("high_blocks").alias("own_blocks"), F.col("low_blocks").alias("blocks"))
-    placed = sized.join(one.unionByName(two), (F.col("component") == F.col("m_component")) & (F.col("band") == F.col("m_band")))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("own_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    same = F.col("low") == F.col("high")
-    i = F.when(same, F.least("own", "other")).when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
-    j = F.when(same, F.greatest("own", "other")).when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
-    side = F.when(same, F.col("own")).otherwise(F.when(F.col("side") == 0, F.lit(-1)).otherwise(F.lit(-2)))
-    placed = placed.select(F.col("node").alias("member"), F.struct("component", "low", "high", i.alias("i"), j.alias("j")).alias("group"), side.alias("side"))
-    task = F.pmod(F.xxhash64("group"), F.lit(tasks)).cast("int").alias("task")
-    joined = sets.join(placed, F.col("node") == F.col("member")).select("node", "tokens", "side", "group.*", task)
-
-    def verify(table):
-        import numpy as np
-        import pyarrow as pa
-
-        nodes = table.column("node").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        groups: dict[tuple, list[int]] = {}
-        for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("component", "low", "high", "i", "j")), strict=True)):
-            groups.setdefault(key, []).append(k)
-        side, stars = table.column("side").to_pylist(), []
-        for (_, low, high, i, j), members in groups.items():
-            if low == high and i == j:
-                links = _links(nodes, sets, members, members)
-            else:
-                first, second = (i, j) if low == high else (-1, -2)
-                links = _links(nodes, sets, [k for k in members if side[k] == first], [k for k in members if side[k] == second])
-            if links:  # components are asked for: what connects the linked nodes is enough
-                found, least = labels(*np.asarray(links, np.int64).T)
-                stars.append(np.stack([found, least], 1)[found != least])
-        out = np.concatenate(stars) if stars else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
+def connecting_links(nodes, sets, other_nodes=None, other_sets=None):
+    """Pairs of nodes that connect what links between two lists of packed sets (or within the first), every pair of near enough sizes tested."""
+    import numpy as np
 
-    return joined.repartition(tasks, "task").groupBy("task").applyInArrow(tidy_group(verify), "a long, b long")
+    held = [np.frombuffer(x, np.uint64) for x in [*sets, *(other_sets or ())]]
+    names = [*nodes, *(other_nodes or ())]
+    left = list(range(len(nodes)))
+    links = [(a, b) for a, b in _links(names, held, left, left if other_nodes is None else list(range(len(nodes), len(names)))) if a != b]
+    if not links:
+        return []
+    found, least = labels(*np.asarray(links, np.int64).T)
+    return [(int(a), int(b)) for a, b in zip(found, least, strict=True) if a != b]
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,10 +384,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = shared_table(chosen.mapInArrow(tidy(whole), "node long, tokens binary").dropDuplicates(["node"]), "sets")
     families = shared_table(components(candidate_edges(sets, frequent, parts_of((total or 0) * 5 / 16)), "families"), "families")
     tasks = max(least, -(-int(total or 0) * 8 // PART_BYTES))
-    parts = components(verified_links(sets, families, tasks), "links")
+    items = sets.select("node", F.floor(F.log(F.octet_length("tokens") / 8.0) / F.log(F.lit(BAND))).cast("int").alias("band"), F.col("tokens").alias("payload"))
+    parts = shared_table(family_components(items, families, connecting_links, tasks, "sets"), "classes")
     named = parts.join(nodes, "node")
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = parts.join(names, "component").select(F.col("node").alias("linked"), F.col("component_id").alias("linked_id"))
+    names = shared_table(named.groupBy(F.col("component").alias("of_component")).agg(F.min("least").alias("component_id")), "class-ids")
+    of_node = parts.join(small(names), F.col("component") == F.col("of_component")).select(F.col("node").alias("linked"), F.col("component_id").alias("linked_id"))
     of_node = nodes.join(of_node, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("of"), F.coalesce("linked_id", "least").alias("component_id"))
     of_node = shared_table(of_node, "component-ids")
     return owned.join(of_node, F.col("node") == F.col("of"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

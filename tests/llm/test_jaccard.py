@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from quire.llm import graph, jaccard
+from quire.llm import families, graph, jaccard
 from quire.llm.graph import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,7 +45,7 @@ def near_copies(draw, count):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 16)  # so that a group takes several blocks and bands
+    monkeypatch.setattr(families, "BLOCK", 16)  # so that a group takes several blocks and bands
     monkeypatch.setattr(jaccard, "ALL_PAIRS", 8)
     draw = random.Random(7)
     texts = [t for n in (2, 3, 5, 90) for t in near_copies(draw, n)]
@@ -73,6 +73,32 @@ def test_prefixes_of_small_sets_share_enough():
                     assert len(both) >= jaccard.prefix_shared(n), (n, m, o)
 
 
+def test_prefixes_of_contained_sets_share_enough():
+    draw = np.random.default_rng(3)
+    for m in range(1, 61):
+        for n in range(-(-3 * m // 4), m + 1):
+            for _ in range(40):
+                y = np.arange(m, dtype=np.uint64)
+                x = np.sort(draw.choice(y, n, replace=False))
+                for order in (0, 1):
+                    both = np.intersect1d(jaccard.prefix(x, np.zeros(0, np.uint64), order), jaccard.prefix(y, np.zeros(0, np.uint64), order))
+                    assert len(both) >= max(jaccard.prefix_shared(n), jaccard.prefix_shared(m)), (n, m)
+
+
+def test_large_family_of_several_classes(spark, monkeypatch):
+    # one family, made by hubs of shared words: a large class, a chain at its edge, and texts that link with nothing
+    monkeypatch.setattr(families, "BLOCK", 8)
+    monkeypatch.setattr(families, "LEADERS", 2)
+    monkeypatch.setattr(jaccard, "ALL_PAIRS", 4)
+    draw = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + [f"e{draw.randrange(10**6)}" for _ in range(4)]) for k in [120] * 40 + list(range(60, 120, 2))]
+    texts += [" ".join(base[:70] + [f"u{draw.randrange(10**6)}" for _ in range(22)]) for _ in range(30)]
+    rows = list(enumerate(texts))
+    out = sorted((r.id is None, r.id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert out == brute(rows)
+
+
 def test_two_words_more(spark):
     # 7 shingles against 9: a few in a hundred pairs share but one token of their prefixes
     texts = [[f"t{i}w{k}" for k in range(13)] for i in range(300)]

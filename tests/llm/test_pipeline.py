@@ -31,6 +31,17 @@ def test_decisions_take_effect(spark, tmp_path):
     assert langid.UNKNOWN == "und"
 
 
+def test_near_stage_tells_rows_of_one_id_apart(spark):
+    text = lambda seed: " ".join(f"w{seed}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1) + " more"), (3, text(3)), (3, text(3) + " end"), (None, text(2) + " x"), (None, text(4)), (None, None)]
+    docs = spark.createDataFrame([(k, t, 9) for k, t in rows], "doc_id long, text string, gone long")
+    out = pipeline.near_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
+    third = [r for r in kept if r[1] == 3]
+    assert len(third) == 1 and [r for r in kept if r[1] != 3] == sorted([(False, 1, text(1)), (False, 1, text(2)), (True, 0, text(4)), (True, 0, "")])
+
+
 def test_empty(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
