@@ -1,14 +1,20 @@
 """Scoring of texts by a hashed maximum-entropy language model.
 
-P(word | context) = P(class | context) * P(word | class). The class comes
-from a softmax whose features are the word before, the word two before (a
-skip) and a hash of both. Classes are bins of equal mass of the most frequent
-words, the end token, and one class of all rarer words, in which a word has
-its discounted share of all counts and the discounted mass is the unknown
-word's. Counts are exact and cover every training document; as the count of
-a rare word is known only where its postings meet, each document's sums over
-rare words are made there and joined to its class scores. Weights are trained
-by rounds of gradient updates in all partitions, whose changes are averaged.
+P(word | context) = P(class | context) * P(member | class, context), both
+softmaxes. Classes are bins of the most frequent words, the end token, and
+one class of all rarer words. The class features are the word before, the
+word two before (a skip) and a hash of both; those inside a class are hashes
+of the member with the word before and with the word two before, whatever
+words these are. Members of the rare class are hashed groups of words; in its
+group a word has its discounted share of the exact counts, and the discounted
+mass is the unknown word's.
+
+Counts are exact and cover every training document. The most counted words
+are broadcast with their counts; of all others, postings meet by word, so
+that no word's postings grow beyond the least count of the broadcast ones.
+Weights are trained by rounds of gradient updates in all partitions, whose
+changes are averaged; tables of hashed weights grow with the vocabulary up to
+a bound.
 """
 
 from __future__ import annotations
@@ -16,20 +22,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, shared_table, text_or_empty
+from .common import most_counted, row_slices, shared_table, text_or_empty, tidy, tidy_group
 
 #: Bytes of packed postings for one task.
-PART_BYTES = 24 << 20
-
-#: Words with a place of their own in the softmax, its frequency classes, and the hashed rows for pairs of words.
-TOP, CLASSES, HASHED = 2048, 30, 1 << 14
+PART_BYTES = 12 << 20
+#: Words whose counts are broadcast, at most (16 bytes each).
+COUNTED = 100_000
+#: Words with a place of their own, bins of equal mass, members of a class at most, groups of rarer words, and hashed rows for pairs of words.
+TOP, CLASSES, MEMBERS, GROUPS, HASHED = 2048, 24, 64, 64, 1 << 13
+#: Hashed weights inside classes: as many as there are words, between these bounds.
+CELLS = (1 << 14, 1 << 20)
 #: Taken off each count of a rare word, for the unknown one.
 DISCOUNT = 0.75
 #: Rounds; each takes its share of the documents, so that together they train on every position of every training document once.
-ROUNDS, BATCH, RATE = 2, 4096, 0.3
+ROUNDS, BATCH, RATE = 2, 8192, 0.3
 END = 1
-#: Rows of a weight table that travel and are averaged together.
-BLOCK = 2048
+#: Weights of a table that travel and are averaged together.
+BLOCK = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,21 +72,57 @@ def _slices(batches):
             yield batch.slice(a, b - a), token_codes(texts.slice(a, b - a))
 
 
+def find(words, wanted):
+    """Places of the wanted words in a sorted array, or its length."""
+    import numpy as np
+
+    if not len(words):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(words, wanted), len(words) - 1)
+    return np.where(words[at] == wanted, at, len(words))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word (hash), n: counts over the training texts, added up in each task before they move."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def given():
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+        for _, (hashes, codes, _) in _slices(batches):
+            words, at = np.unique(np.concatenate([words, hashes]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, np.bincount(codes, minlength=len(hashes))]), len(words)).astype(np.int64)
+            if len(words) > 1 << 19:
+                yield given()
+                words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield given()
+
+    counted = rows.where("NOT held").select("key", "text").mapInArrow(tidy(run), "word long, n long")
+    return counted.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 PACKED = "part int, words binary, keys binary, times binary, learned binary"
-SUMS = "bucket int, keys binary, tokens binary, known binary, base binary, rare binary, kinds long, count long, top_words binary, top_counts binary"
+SUMS = "bucket int, keys binary, tokens binary, known binary, base binary, rare binary"
 DOCUMENTS = "key long, tokens long, known long, base double, rare double"
 
 
-def count_words(rows: DataFrame, parts: int) -> DataFrame:
-    """Postings of (key, text, held) meet by word. Of each part: packed by buckets of documents, sums over each one's words (tokens, known ones, base log10, discounted log10); and one row without bucket with kinds (distinct training words), count (their tokens) and the part's most frequent words."""
+def rare_sums(rows: DataFrame, listed, unknown, parts: int) -> DataFrame:
+    """Per document (key), sums over its words that are not ``listed`` (sorted hashes): tokens, known ones, base (log10 of the count and one), rare (log10 of the discounted count, or of an unknown word's mass in its group, ``unknown``). Postings of (key, text, held) meet by word; the sums are added up by document."""
+    sent = rows.sparkSession.sparkContext.broadcast((listed, unknown))
 
     def pack(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch, (hashes, codes, bounds) in _slices(batches):
-            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            pair, times = np.unique(row * len(hashes) + codes, return_counts=True)
+            other = (find(sent.value[0], hashes) == len(sent.value[0]))[codes]
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[other]
+            pair, times = np.unique(row * len(hashes) + codes[other], return_counts=True)
             row, words = pair // len(hashes), hashes[pair % len(hashes)]
             keys, learned = batch.column(0).to_numpy()[row], ~np.asarray(batch.column(2))[row]
             part = (words % np.uint64(parts)).astype(np.int64)
@@ -94,61 +139,17 @@ def count_words(rows: DataFrame, parts: int) -> DataFrame:
         joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
         words, keys, times, learned = joined("words", np.uint64), joined("keys", np.int64), joined("times", np.int32), joined("learned", np.int8)
         kinds, of = np.unique(words, return_inverse=True)
-        counts = np.bincount(of, times * learned, len(kinds)).astype(np.int64)
-        c = counts[of]
+        c = np.bincount(of, times * learned, len(kinds))[of]
         docs, at = np.unique(keys, return_inverse=True)
         total = lambda x: np.bincount(at, times * x, len(docs))
-        # the discounted share of an unknown word is added once the whole mass is known
-        columns = {"keys": docs, "tokens": total(1).astype(np.int64), "known": total(c > 0).astype(np.int64), "base": total(np.log10(c + 1.0)), "rare": total(np.log10(np.where(c > 0, c - DISCOUNT, 1.0)))}
+        mass = sent.value[1][group_of(words)]
+        columns = {"keys": docs, "tokens": total(1).astype(np.int64), "known": total(c > 0).astype(np.int64), "base": total(np.log10(c + 1.0)), "rare": total(np.log10(np.where(c > 0, c - DISCOUNT, mass)))}
         bucket = docs.view(np.uint64) % np.uint64(parts)
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(parts + 1, dtype=np.uint64))
         some = np.flatnonzero(np.diff(cuts))
-        blank = lambda n, kind: pa.nulls(n, kind)
-        out = {"bucket": pa.concat_arrays([pa.array(some, pa.int32()), blank(1, pa.int32())])}
-        for name, values in columns.items():
-            out[name] = pa.concat_arrays([pa.array([values[by[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary()), blank(1, pa.binary())])
-        top, times = most_frequent(kinds, counts)
-        for name, value, kind in (("kinds", int((counts > 0).sum()), pa.int64()), ("count", int(counts.sum()), pa.int64()), ("top_words", top.tobytes(), pa.binary()), ("top_counts", times.tobytes(), pa.binary())):
-            out[name] = pa.array([None] * len(some) + [value], kind)
-        return pa.table(out)
-
-    return rows.mapInArrow(pack, PACKED).repartition(parts, "part").groupBy("part").applyInArrow(meet, SUMS)
-
-
-def most_frequent(words, counts):
-    """The TOP words of the greatest counts, and the end token if it is among the words."""
-    import numpy as np
-
-    by = np.lexsort((words, -counts))[:TOP]
-    by = np.union1d(by[counts[by] > 0], np.flatnonzero((words == END) & (counts > 0)))
-    return words[by], counts[by]
-
-
-def top_words(sums: DataFrame) -> list[tuple[int, int]]:
-    """(word, count) of the most frequent words of all parts; every part's are merged in a fixed number of tasks, so a bounded list comes to the driver."""
-
-    def merge(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, counts = most_frequent(np.concatenate([words, np.frombuffer(w, np.uint64)]), np.concatenate([counts, np.frombuffer(c, np.int64)]))
-        yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["top_words", "top_counts"])
-
-    import numpy as np
-
-    merged = sums.where("kinds IS NOT NULL").select("top_words", "top_counts").repartition(16).mapInArrow(merge, "top_words binary, top_counts binary").collect()
-    words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(bytes(r[0]), np.uint64) for r in merged)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bytes(r[1]), np.int64) for r in merged)])
-    words, counts = most_frequent(words, counts)
-    return list(zip(words.tolist(), counts.tolist(), strict=True))
-
-
-def document_sums(sums: DataFrame, parts: int) -> DataFrame:
-    """Per document, the parts' sums added up."""
+        out = {"bucket": pa.array(some, pa.int32())}
+        return pa.table(out | {name: pa.array([values[by[cuts[p] : cuts[p + 1]]].tobytes() for p in some], pa.binary()) for name, values in columns.items()})
 
     def add(table):
         import numpy as np
@@ -160,72 +161,90 @@ def document_sums(sums: DataFrame, parts: int) -> DataFrame:
         whole = {c: total(c, np.int64).astype(np.int64) for c in ("tokens", "known")}
         return pa.table({"key": keys} | whole | {c: total(c, np.float64) for c in ("base", "rare")})
 
-    packed = sums.where("bucket IS NOT NULL").select("bucket", "keys", "tokens", "known", "base", "rare")
-    return packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add, DOCUMENTS)
+    packed = rows.select("key", "text", "held").mapInArrow(tidy(pack), PACKED)
+    sums = packed.repartition(parts, "part").groupBy("part").applyInArrow(tidy_group(meet), SUMS)
+    return sums.repartition(parts, "bucket").groupBy("bucket").applyInArrow(tidy_group(add), DOCUMENTS)
+
+
+def group_of(words):
+    """Group of a rare word: its hash's highest bits."""
+    import numpy as np
+
+    return (words >> np.uint64(58)).astype(np.int64)
 
 
 class Model:
-    """The top words with their classes, and the weights of the softmax over classes."""
+    """Words and classes, and the weights of both softmaxes. ``listed``: (word, count) of the broadcast words; ``masses``: (counts less discounts, kinds) of all words of each group."""
 
-    def __init__(self, top: list[tuple[int, int]], tokens: int, kinds: int):
+    def __init__(self, listed: list[tuple[int, int]], tokens: int, kinds: int, masses=None):
         import numpy as np
 
-        top = sorted(((w % 2**64, c) for w, c in top), key=lambda x: (-x[1], x[0]))
-        if not any(w == END for w, _ in top[:TOP]):
-            top = [x for x in top if x[0] != END][: TOP - 1] + [next((x for x in top if x[0] == END), (END, 0))]
-        top = sorted(top[:TOP])
+        listed = sorted((w % 2**64, int(c)) for w, c in listed)
+        self.listed, self.listed_counts = np.asarray([w for w, _ in listed], np.uint64), np.asarray([c for _, c in listed], np.float64)
+        top = sorted(listed, key=lambda x: (-x[1], x[0]))[:TOP]
+        if not any(w == END for w, _ in top):
+            top = top[: TOP - 1] + [(END, dict(listed).get(END, 0))]
+        top.sort()
         self.tokens, self.kinds = tokens, kinds
         self.words = np.asarray([w for w, _ in top], np.uint64)
-        self.counts = np.asarray([c for _, c in top], np.float64)
-        own = self.counts.copy()
-        own[self.words == END] = 0
-        order = np.argsort(-own, kind="stable")
-        mass = np.cumsum(own[order]) - own[order]
-        classes = np.zeros(len(top), np.int64)
-        classes[order] = np.minimum((mass / max(own.sum(), 1) * CLASSES).astype(np.int64), CLASSES - 1)
-        classes[self.words == END] = CLASSES + 1
-        self.classes = np.append(classes, CLASSES)  # and that of rarer words
-        inside = np.bincount(classes, np.maximum(self.counts, 1), CLASSES + 2)
-        # the sums over postings hold every known word's discounted count; for top words that is taken back
-        self.within = np.append(np.log10(np.maximum(self.counts, 1) / inside[classes]) - np.log10(np.where(self.counts > 0, self.counts - DISCOUNT, 1)), 0.0)
-        rare = max(tokens - self.counts.sum(), 0.0)
-        self.rare_kinds = kinds - int((self.counts > 0).sum())
-        self.rare_mass = rare
-        prior = np.bincount(self.classes, np.append(self.counts, rare), CLASSES + 2) + 1.0
+        counts = np.asarray([c for _, c in top], np.float64)
+        self._make_classes(counts)
+        self._make_groups(counts, masses)
+        rare = max(tokens - counts.sum(), 0.0)
+        prior = np.bincount(self.classes, np.append(counts, rare), self.kinds_of_class) + 1.0
         self.bias = np.log(prior / prior.sum()).astype(np.float32)
+        slots = np.append(np.maximum(counts, 0.5), self.group_mass)
+        self.slot_bias = np.log(np.maximum(slots, 1e-9)).astype(np.float32)
         self.rows = 2 * (len(top) + 2) + HASHED
-        self.weights = np.zeros((self.rows, CLASSES + 2), np.float32)
+        self.weights = np.zeros((self.rows, self.kinds_of_class), np.float32)
+        self.cells = 1 << int(np.clip(np.ceil(np.log2(max(kinds, 2))), np.log2(CELLS[0]), np.log2(CELLS[1])))
+        self.inside = np.zeros(self.cells, np.float32)
 
-    def rare_logs(self) -> tuple[float, float]:
-        """log10 of the whole rare mass, and of the unknown word's share of it."""
-        import math
+    def _make_classes(self, counts) -> None:
+        """Classes of the top words by descending count: a bin ends at its share of the mass or when it is full; the rare class and the end token's come last."""
+        import numpy as np
 
-        mass = max(self.rare_mass, 1.0)
-        return math.log10(mass), math.log10(max(DISCOUNT * self.rare_kinds, 0.5) / mass)
+        own = np.where(self.words == END, 0, counts)
+        order = [i for i in np.argsort(-own, kind="stable") if self.words[i] != END]
+        classes, members, mass, size, share = np.zeros(len(counts), np.int64), [], 0.0, 0, max(own.sum(), 1) / CLASSES
+        for i in order:
+            if not members or mass >= share or size >= MEMBERS:
+                members.append([])
+                mass, size = 0.0, 0
+            members[-1].append(i)
+            classes[i] = len(members) - 1
+            mass, size = mass + own[i], size + 1
+        self.rare_class = len(members)
+        classes[self.words == END] = self.rare_class + 1
+        self.classes = np.append(classes, self.rare_class)
+        #: Slots of each class: places of top words, or of groups after them.
+        self.members = [np.asarray(m) for m in members] + [len(counts) + np.arange(GROUPS), np.flatnonzero(self.words == END)]
+        self.kinds_of_class = len(self.members)
+
+    def _make_groups(self, counts, masses) -> None:
+        """Of each group of rare words: its mass, and the unknown word's part of it."""
+        import numpy as np
+
+        if masses is None:
+            masses = np.bincount(group_of(self.listed), np.maximum(self.listed_counts - DISCOUNT, 0), GROUPS), np.bincount(group_of(self.listed), self.listed_counts > 0, GROUPS)
+        group, known = group_of(self.words), counts > 0
+        mass = masses[0] - np.bincount(group, np.where(known, counts - DISCOUNT, 0), GROUPS)
+        kinds = masses[1] - np.bincount(group, known, GROUPS)
+        self.unknown = np.maximum(DISCOUNT * kinds, 0.5)
+        self.group_mass = np.maximum(mass, 0) + self.unknown
 
     def places(self, hashes):
         """Place among the top words of each distinct word, or the number of top words."""
-        import numpy as np
-
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, len(self.words))
+        return find(self.words, hashes)
 
     def features(self, place, bounds):
         """Rows of the weight table for each token: the word before, the word two before, and both."""
         import numpy as np
 
         n = len(self.words) + 2
-        start = n - 1
-        first = np.zeros(len(place), bool)
-        first[bounds[:-1]] = True
-        one = np.full(len(place), start)
-        one[1:] = place[:-1]
-        one[first] = start
-        two = np.full(len(place), start)
-        two[1:] = one[:-1]
-        two[first] = start
+        one, two = _before(place, bounds, n - 1)
         both = (one * 7919 + two * 104729 + 13) * 2654435761 % (1 << 32) % HASHED
-        return one, n + two, 2 * n + both
+        return one, n + two, 2 * n + np.asarray(both)
 
     def log_shares(self, weights, features):
         """Natural log-probabilities of the classes, a row per token."""
@@ -236,6 +255,72 @@ class Model:
         logits -= np.log(np.exp(logits).sum(1, keepdims=True))
         return logits
 
+    def cells_of(self, contexts, slots):
+        """Places in the table of hashed weights of contexts (word hashes) with slots, a row per context."""
+        import numpy as np
+
+        with np.errstate(over="ignore"):
+            mixed = (contexts[:, None] ^ (slots[None, :].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(40)).astype(np.int64) & (self.cells - 1)
+
+    def member_shares(self, inside, kind: int, contexts):
+        """(log-probabilities of a class's members, a row per token; the two cells of each)."""
+        import numpy as np
+
+        slots = self.members[kind]
+        cells = [self.cells_of(c, slots) for c in contexts]
+        logits = self.slot_bias[slots] + inside[cells[0]] + inside[cells[1]]
+        logits = logits - logits.max(1, keepdims=True)
+        return logits - np.log(np.exp(logits).sum(1, keepdims=True)), cells
+
+    def slots_of(self, place, words):
+        """Each token's slot: its place, or that of its group."""
+        import numpy as np
+
+        return np.where(place < len(self.words), place, len(self.words) + group_of(words))
+
+    def within(self, kind: int, slots):
+        """Position among a class's members of slots that are in it."""
+        import numpy as np
+
+        own = self.members[kind]
+        by = np.argsort(own)
+        return by[np.searchsorted(own[by], slots)]
+
+
+def _before(values, bounds, start):
+    """Of each token, the values one and two before it in its text, or ``start``."""
+    import numpy as np
+
+    first = np.zeros(len(values), bool)
+    first[bounds[:-1]] = True
+    one = np.full(len(values), start, values.dtype)
+    one[1:] = values[:-1]
+    one[first] = start
+    two = np.full(len(values), start, values.dtype)
+    two[1:] = one[:-1]
+    two[first] = start
+    return one, two
+
+
+def _contexts(words, bounds):
+    """Hashes of the word before and of the word two before each token, apart from each other."""
+    import numpy as np
+
+    one, two = _before(words, bounds, np.uint64(0))
+    with np.errstate(over="ignore"):
+        return one * np.uint64(0xA0761D6478BD642F), (two ^ np.uint64(0xE7037ED1A0B428DB)) * np.uint64(0x8EBC6AF09C88C6E3)
+
+
+def _by_class(truth):
+    """(class, indices of its tokens) of what occurs."""
+    import numpy as np
+
+    by = np.argsort(truth, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], truth[by][1:] != truth[by][:-1], [True]])) if len(by) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(truth[by[a]]), by[a:b]
+
 
 def train(rows: DataFrame, model: Model) -> None:
     """Rounds of gradient updates: each partition descends (Adagrad) from the same weights over its share of the round; changes are averaged by the tokens behind them."""
@@ -249,70 +334,126 @@ def train(rows: DataFrame, model: Model) -> None:
             import pyarrow as pa
 
             model = sent.value
-            weights, seen, used = model.weights.copy(), np.full(model.rows, 1e-6, np.float32), 0
+            weights, inside = model.weights.copy(), model.inside.copy()
+            seen, seen_inside, used = np.full(model.rows, 1e-6, np.float32), np.full(model.cells, 1e-6, np.float32), 0
             for _, (hashes, codes, bounds) in _slices(batches):
-                place = model.places(hashes)[codes]
-                features, truth = model.features(place, bounds), model.classes[place]
+                words, place = hashes[codes], model.places(hashes)[codes]
+                features, truth, slots = model.features(place, bounds), model.classes[place], model.slots_of(place, words)
+                contexts = _contexts(words, bounds)
                 for a in range(0, len(place), BATCH):
                     some = np.arange(a, min(a + BATCH, len(place)))
-                    chosen = [f[some] for f in features]
+                    chosen, scale = [f[some] for f in features], 1 / len(some) ** 0.5
                     slope = np.exp(model.log_shares(weights, chosen))
                     slope[np.arange(len(some)), truth[some]] -= 1
                     for f in chosen:
                         by = np.argsort(f, kind="stable")
                         starts = np.flatnonzero(np.concatenate([[True], f[by][1:] != f[by][:-1]]))
-                        change = np.add.reduceat(slope[by], starts, axis=0) / len(some) ** 0.5
+                        change = np.add.reduceat(slope[by], starts, axis=0) * scale
                         own = f[by][starts]
                         seen[own] += (change**2).mean(1)
                         weights[own] -= RATE * change / np.sqrt(seen[own])[:, None]
+                    at, slopes = [], []
+                    for kind, own in _by_class(truth[some]):
+                        if len(model.members[kind]) < 2:
+                            continue
+                        shares, cells = model.member_shares(inside, kind, [c[some[own]] for c in contexts])
+                        slope = np.exp(shares)
+                        slope[np.arange(len(own)), model.within(kind, slots[some[own]])] -= 1
+                        at += [c.ravel() for c in cells]
+                        slopes += [slope.ravel()] * 2
+                    if at:
+                        change = np.bincount(np.concatenate(at), np.concatenate(slopes), model.cells).astype(np.float32) * np.float32(scale)
+                        seen_inside += change**2
+                        inside -= RATE * change / np.sqrt(seen_inside)
                     used += len(some)
-            delta = (weights - model.weights) * np.float32(used)
-            blocks = range(0, model.rows, BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([a // BLOCK for a in blocks], pa.int32()), pa.array([delta[a : a + BLOCK].tobytes() for a in blocks], pa.binary()), pa.array([used] * len(blocks), pa.int64())], names=["block", "delta", "used"])
-
-        def add(batches):
-            import pyarrow as pa
-
-            total: dict[int, list] = {}
-            for batch in batches:
-                for block, delta, used in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    held = total.setdefault(block, [0.0, 0])
-                    held[0] = held[0] + np.frombuffer(delta, np.float32).astype(np.float64)
-                    held[1] += used
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.asarray(d, np.float32).tobytes() for d, _ in total.values()], pa.binary()), pa.array([u for _, u in total.values()], pa.int64())], names=["block", "delta", "used"])
-
-        kind = "block int, delta binary, used long"
+            tables = [(0, weights - model.weights), (1, inside - model.inside)]
+            parts = [(kind, a // BLOCK, change.ravel()[a : a + BLOCK].astype(np.float16).tobytes()) for kind, change in tables for a in range(0, change.size, BLOCK)]
+            columns = [pa.array([p[i] for p in parts], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([used] * len(parts), pa.int64())], names=["kind", "block", "delta", "used"])
+
+        def add(form):
+            def run(batches):
+                import pyarrow as pa
+
+                total: dict[tuple, list] = {}
+                for batch in batches:
+                    for kind, block, delta, used in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                        held = total.setdefault((kind, block), [0.0, 0])
+                        change = np.frombuffer(delta, form).astype(np.float64)
+                        held[0] = held[0] + (change * used if form == np.float16 else change)
+                        held[1] += used
+                columns = [pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([np.asarray(d, np.float32).tobytes() for d, _ in total.values()], pa.binary()), pa.array([u for _, u in total.values()], pa.int64())], names=["kind", "block", "delta", "used"])
+
+            return tidy(run)
+
+        kind = "kind int, block int, delta binary, used long"
         share = rows.where(~F.col("held") & (F.pmod(F.xxhash64(F.lit(31), "key"), F.lit(ROUNDS)) == turn)).select("key", "text")
         # block by block, and by salts before that, so that no task adds up all partitions
-        summed = share.mapInArrow(descend, kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("block", "salt").drop("salt").mapInArrow(add, kind)
-        for block, delta, used in summed.repartition("block").mapInArrow(add, kind).collect():
+        salted = share.mapInArrow(tidy(descend), kind).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16))).repartition("kind", "block", "salt").drop("salt")
+        for table, block, delta, used in salted.mapInArrow(add(np.float16), kind).repartition("kind", "block").mapInArrow(add(np.float32), kind).collect():
             if used:
-                a = block * BLOCK
-                change = np.frombuffer(bytes(delta), np.float32).reshape(-1, CLASSES + 2) / used
-                model.weights[a : a + len(change)] += change
+                change = np.frombuffer(bytes(delta), np.float32) / used
+                (model.weights if table == 0 else model.inside).reshape(-1)[block * BLOCK : block * BLOCK + len(change)] += change
+
+
+def text_scores(model: Model, tokens):
+    """Of each text: tokens, tokens that are not listed, known listed ones, their base sum, and the score but for the unlisted words' shares of their groups (log10)."""
+    import numpy as np
+
+    hashes, codes, bounds = tokens
+    words, place = hashes[codes], model.places(hashes)[codes]
+    features, truth, slots, contexts = model.features(place, bounds), model.classes[place], model.slots_of(place, words), _contexts(words, bounds)
+    score = np.empty(len(place))
+    for a in range(0, len(place), BATCH):
+        some = np.arange(a, min(a + BATCH, len(place)))
+        score[some] = model.log_shares(model.weights, [f[some] for f in features])[np.arange(len(some)), truth[some]]
+        for kind, own in _by_class(truth[some]):
+            if len(model.members[kind]) > 1:
+                shares, _ = model.member_shares(model.inside, kind, [c[some[own]] for c in contexts])
+                score[some[own]] += shares[np.arange(len(own)), model.within(kind, slots[some[own]])]
+    score /= np.log(10)
+    listed = find(model.listed, hashes)[codes]
+    other = listed == len(model.listed)
+    count = np.append(model.listed_counts, 0)[listed]
+    rare = place == len(model.words)
+    score -= np.where(rare, np.log10(model.group_mass)[group_of(words)], 0)
+    score += np.where(rare & ~other, np.log10(np.maximum(count - DISCOUNT, 0.25)), 0)
+    total = lambda x: np.add.reduceat(x, bounds[:-1])
+    return np.diff(bounds), total(other.astype(np.int64)), total((count > 0).astype(np.int64)), total(np.where(other, 0, np.log10(count + 1))), total(score)
 
 
 def class_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """key, id, held, n_tokens, n_rare and score (log10): of each text, the classes of its tokens and the top words within them."""
+    """key, id, held and ``text_scores`` of each text."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        model = sent.value
-        for batch, (hashes, codes, bounds) in _slices(batches):
-            place = model.places(hashes)[codes]
-            features, truth = model.features(place, bounds), model.classes[place]
-            score = np.empty(len(place))
-            for a in range(0, len(place), 1 << 16):
-                b = min(a + (1 << 16), len(place))
-                score[a:b] = model.log_shares(model.weights, [f[a:b] for f in features])[np.arange(b - a), truth[a:b]]
-            score = score / np.log(10) + model.within[place]
-            rare = (place == len(model.words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(rare, bounds[:-1])), pa.array(np.add.reduceat(score, bounds[:-1]))], names=["key", "id", "held", "n_tokens", "n_rare", "score"])
+        for batch, tokens in _slices(batches):
+            columns = text_scores(sent.value, tokens)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), *map(pa.array, columns)], names=["key", "id", "held", "n_tokens", "n_other", "n_listed", "listed_base", "score"])
+
+    return rows.mapInArrow(tidy(run), "key long, id long, held boolean, n_tokens long, n_other long, n_listed long, listed_base double, score double")
 
-    return rows.mapInArrow(run, "key long, id long, held boolean, n_tokens long, n_rare long, score double")
+
+def fit(rows: DataFrame) -> Model:
+    """The model of rows (key, text, held): counts over all training texts, then weights."""
+    import numpy as np
+
+    counts = shared_table(word_counts(rows), "word-counts")
+    kinds, tokens = counts.agg(F.count(F.lit(1)), F.sum("n")).head()
+    group = F.shiftrightunsigned("word", 58).cast("int")
+    masses = np.zeros((2, GROUPS))
+    for r in counts.groupBy(group.alias("g")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"), F.count(F.lit(1)).alias("kinds")).collect():
+        masses[:, r["g"]] = r["mass"], r["kinds"]
+    listed = most_counted(counts, COUNTED).select("word", "n").toArrow()
+    pairs = dict(zip(listed.column("word").to_pylist(), listed.column("n").to_pylist(), strict=True))
+    pairs |= {r["word"]: r["n"] for r in counts.where(F.col("word") == END).collect()}  # the end token always, as every text has it
+    pairs.setdefault(END, 0)
+    model = Model(list(pairs.items()), tokens or 0, kinds or 0, masses)
+    train(rows, model)
+    return model
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,23 +467,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"), held_out(F.col(id_col)).alias("held"), F.col(id_col).cast("long").alias("id"))
+    model = fit(rows)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     letters = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).head()[0] or 0
-    parts = max(least, -(-letters * 2 // PART_BYTES))
-    sums = shared_table(count_words(rows.select("key", "text", "held"), parts), "word-sums")
-    kinds, tokens = sums.where("kinds IS NOT NULL").agg(F.sum("kinds"), F.sum("count")).head()
-    kinds, tokens = kinds or 0, tokens or 0
-    model = Model(top_words(sums), tokens, kinds)
-    train(rows, model)
-    whole, unknown = model.rare_logs()
-    scored = class_scores(rows, model)
-    of_doc = document_sums(sums, parts).withColumnRenamed("key", "of")
+    of_doc = shared_table(rare_sums(rows, model.listed, model.unknown, max(least, -(-letters // PART_BYTES))).withColumnRenamed("key", "of"), "document-sums")
+    joined = class_scores(rows, model).join(of_doc, F.col("key") == F.col("of"), "left")
     # rows that agree in id and text have one key: each gets its share of the key's sums
-    joined = scored.join(shared_table(of_doc, "document-sums"), F.col("key") == F.col("of"))
-    share = F.col("n_tokens") / F.col("tokens")
-    known = F.round(F.col("known") * share).cast("long")
+    own = lambda c: F.coalesce(F.col(c) * F.col("n_other") / F.col("tokens"), F.lit(0.0))
     return joined.select(
-        "id", F.col("held").alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") * share - F.col("n_tokens") * F.log10(F.lit(float(tokens + kinds + 1)))).alias("base_score"),
-        (F.col("score") + F.col("rare") * share - (F.col("n_rare") - (F.col("n_tokens") - known)) * whole + (F.col("n_tokens") - known) * unknown).alias("score"),
+        "id", F.col("held").alias("held_out"), "n_tokens", (F.col("n_listed") + F.round(own("known")).cast("long")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("listed_base") + own("base") - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.kinds + 1)))).alias("base_score"), (F.col("score") + own("rare")).alias("score"),
     )

@@ -63,6 +63,20 @@ def test_sharding(spark, rows):
     assert [r.position for r in again.orderBy("position").collect()] == list(range(len(rows)))
 
 
+def test_sharding_is_written_in_order_and_repeatable(spark, rows, tmp_path):
+    key, size = F.struct("doc_id", sharding.text_crc32(F.col("text"))), sharding.text_size(F.col("text"))
+    docs = table(spark, rows)
+    out = sharding.shard_records(docs, key, size, shards=4, least_buckets=6)
+    sharding.write_shards(out, f"{tmp_path}/shards")
+    placed = {(r.shard, r.slot): (r.record.doc_id, r.record.text) for r in out.collect()}
+    for shard in range(4):
+        back = spark.read.parquet(f"{tmp_path}/shards/shard={shard}").collect()
+        assert [(r.doc_id, r.text) for r in sorted(back, key=lambda r: r.slot)] == [placed[shard, i] for i in range(len(back))]
+    again = {(r.shard, r.slot): (r.record.doc_id, r.record.text) for r in sharding.shard_records(table(spark, rows[::-1]).repartition(3), key, size, shards=4, least_buckets=6).collect()}
+    assert again == placed
+    assert [placed[0, i] for i in range(5)] != [(k, t) for k, t, *_ in rows[:5]]
+
+
 def brute_quality(text):
     t = text or ""
     w = [x for x in "".join(" " if c in SPACES else c for c in t).split(" ") if x]
@@ -116,6 +130,38 @@ def test_packing(spark, rows):
         assert at <= 64
 
 
+def test_windows_best_fit_and_fullest_out():
+    windows = packing.Windows(2, 10)
+    assert windows.put(6, "a") == [] and windows.put(7, "b") == []
+    assert windows.put(3, "c") == [["b", "c"]]  # the tightest room that fits, and a full window is done
+    assert windows.put(5, "d") == []
+    assert windows.put(8, "e") == [["a"]]  # fits nowhere: the fullest goes
+    assert windows.put(2, "f") == [["e", "f"]] and windows.rest() == [["d"]]
+
+
+def test_packing_leaves_little_padding(spark):
+    public = pytest.importorskip("public_tokenizers")
+    draw = random.Random(2)
+    texts = [(i, " ".join(draw.choice(WORDS) for _ in range(int(draw.expovariate(0.02)) + 1))) for i in range(600)]
+    out = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), public.path("word_bpe_49k.json"), window=256, most_open=16).collect()
+    tokens = sum(len(r.ids) // 4 for r in out)
+    assert tokens / (256 * len({r.sequence_id for r in out})) > 0.95
+
+
+def test_long_text_is_coded_as_a_whole(spark):
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    text = ("the house and garden 42 é 漢字\n" * 60_000) + "x" * 5000
+    assert len(text) > byte_bpe.LISTED
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    out = {r.id: r for r in byte_bpe.decode_ids(byte_bpe.encode_texts(docs, path, public.PATTERN), path).collect()}
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=byte_bpe.load(path).ranks, special_tokens={})
+    assert bytes(out[1].decoded) == text.encode() and np.frombuffer(out[1].ids, "<u4").tolist() == library.encode_ordinary(text) and bytes(out[2].ids) == b""
+    assert byte_bpe.encode_texts(docs.where("doc_id = 9"), path, public.PATTERN).count() == 0
+
+
 def test_packing_tokens_of_odd_words():
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -242,14 +288,73 @@ def test_maxent_trains_on_every_position(spark):
     # every word stands in one document only: a position that is left out leaves the weights of the word before it at zero
     texts = [f"a{i} b{i} c{i}" for i in range(300)]
     rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "key long, text string, held boolean").withColumn("id", F.col("key")).repartition(4)
-    sums = maxent.count_words(rows.select("key", "text", "held"), 4)
-    model = maxent.Model(maxent.top_words(sums), 1200, 901)
-    maxent.train(rows, model)
+    model = maxent.fit(rows)
+    assert (model.tokens, model.kinds) == (1200, 901)
     hashes, codes, bounds = maxent.token_codes(pa.array(texts))
     one, _, _ = model.features(model.places(hashes)[codes], bounds)
     assert len(set(one)) == 901 and (model.weights[one] != 0).any(1).all()
 
 
+def test_maxent_against_a_plain_loop(spark, monkeypatch):
+    for name, value in (("TOP", 12), ("MEMBERS", 4), ("CLASSES", 3), ("COUNTED", 20)):
+        monkeypatch.setattr(maxent, name, value)
+    draw = random.Random(8)
+    stock = [f"w{i}" for i in range(60)]
+    texts = [" ".join(stock[min(int(draw.expovariate(0.1)), 59)] for _ in range(draw.randrange(0, 30))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.id: r for r in maxent.score_texts(docs).collect()}
+    text = F.col("text")
+    rows = docs.select(F.xxhash64("doc_id", text).alias("key"), "text", maxent.held_out(F.col("doc_id")).alias("held"), F.col("doc_id").alias("id"))
+    model = maxent.fit(rows)
+    assert len(model.words) == 12 and (model.inside != 0).any() and (model.weights != 0).any()
+    counts = collections.Counter(w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for w in [*t.split(), None])
+    hash_of = lambda w: np.uint64(maxent.END) if w is None else maxent.token_codes(pa.array([w]))[0][0]
+    place = lambda w: int(model.places(np.asarray([hash_of(w)], np.uint64))[0])
+    groups = collections.defaultdict(lambda: [0.0, 0])
+    for w, c in counts.items():
+        if place(w) == len(model.words):
+            g = groups[int(maxent.group_of(np.asarray([hash_of(w)]))[0])]
+            g[0], g[1] = g[0] + c - maxent.DISCOUNT, g[1] + 1
+
+    def softmax(x):
+        return np.exp(x - np.log(np.exp(np.asarray(x, np.float64)).sum()))
+
+    def p(word, one, two):
+        n = len(model.words) + 2
+        at = [n - 1 if w == "start" else place(w) for w in (one, two)]
+        both = (at[0] * 7919 + at[1] * 104729 + 13) * 2654435761 % 2**32 % maxent.HASHED
+        classes = softmax(model.bias + model.weights[at[0]] + model.weights[n + at[1]] + model.weights[2 * n + both])
+        kind = int(model.classes[place(word)])
+        words = np.asarray([np.uint64(0) if w == "start" else hash_of(w) for w in (two, one, word)], np.uint64)
+        mine = [c[-1:] for c in maxent._contexts(words, np.asarray([0, 3]))] if two != "start" else None
+        if mine is None:
+            start = [x for x in (one, word) if x != "start"]
+            mine = [c[-1:] for c in maxent._contexts(np.asarray([hash_of(x) for x in start], np.uint64), np.asarray([0, len(start)]))]
+        slots = model.members[kind]
+        inner = softmax(model.slot_bias[slots] + sum(model.inside[model.cells_of(c, slots)][0] for c in mine))
+        group = int(maxent.group_of(np.asarray([hash_of(word)]))[0])
+        if place(word) < len(model.words):
+            return classes[kind] * inner[list(slots).index(place(word))]
+        mass, kinds = groups[group]
+        unknown = max(maxent.DISCOUNT * kinds, 0.5)
+        share = (counts[word] - maxent.DISCOUNT if counts[word] else unknown) / (mass + unknown)
+        return classes[kind] * inner[list(slots).index(len(model.words) + group)] * share
+
+    for k, t in enumerate(texts[:25]):
+        tokens = t.split()
+        before = ["start", "start", *tokens]
+        want = sum(math.log10(p(w, before[i + 1], before[i])) for i, w in enumerate([*tokens, None]))
+        assert out[k].score == pytest.approx(want, rel=1e-3)
+    # known words, the end, and what is left to the unknown in each group add up to one
+    for one, two in (("start", "start"), ("w3", "w1"), ("w59", "nowhere")):
+        unknown = {}
+        for i in range(3000):
+            if len(unknown) == maxent.GROUPS:
+                break
+            unknown.setdefault(int(maxent.group_of(np.asarray([hash_of(f"new{i}")]))[0]), f"new{i}")
+        assert sum(p(w, one, two) for w in counts) + sum(p(w, one, two) for w in unknown.values()) == pytest.approx(1, abs=2e-3)
+
+
 def test_empty_tables(spark):
     docs = table(spark, [(1, "x", "en", "s")]).where("doc_id = 2")
     assert exact_dedup.mark_duplicates(docs).count() == 0
