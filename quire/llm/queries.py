@@ -107,12 +107,16 @@ l AS (SELECT r, conv_id, turn, unnest(string_split(t, chr(10))) AS x, unnest(ran
 k AS (SELECT r, conv_id, turn, i, x, regexp_extract(x, '^[ \t]*(?:>[ \t]*)+') AS mark FROM l),
 p AS (SELECT r, conv_id, turn, i, CASE WHEN NOT regexp_matches(x, '[^\x20\x09-\x0D]') THEN -1 ELSE length(regexp_replace(mark, '[^>]', '', 'g')) END AS level, substr(x, length(mark) + 1) AS content FROM k),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY r, level ORDER BY i) AS island FROM p),
-runs AS (SELECT r, conv_id, turn, level, string_agg(content, ' ' ORDER BY i) AS s FROM g WHERE level >= 0 GROUP BY r, conv_id, turn, level, island),
+runs AS (SELECT r, conv_id, turn, level, island, string_agg(content, ' ' ORDER BY i) AS s, string_agg(trim(lower(regexp_replace(content, '[\x20\x09-\x0D]+', ' ', 'g'))), chr(10) ORDER BY i) AS rows FROM g WHERE level >= 0 GROUP BY r, conv_id, turn, level, island),
 own AS (SELECT r, conv_id, turn, trim(string_agg(content, chr(10) ORDER BY i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM p WHERE level <= 0 GROUP BY r, conv_id, turn),
 said AS (SELECT conv_id, turn, r, s FROM runs WHERE level = 0 UNION ALL SELECT conv_id, turn, r, content FROM p WHERE level = 0 UNION ALL SELECT conv_id, turn, r, body FROM own),
 held AS (SELECT conv_id, s, min(turn) AS origin FROM (SELECT conv_id, turn, trim(lower(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'))) AS s FROM said) WHERE s <> '' GROUP BY conv_id, s),
-quoted AS (SELECT r, conv_id, turn, level, trim(lower(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'))) AS s FROM runs WHERE level > 0),
-par AS (SELECT r, origin FROM (SELECT r, origin, row_number() OVER (PARTITION BY r ORDER BY level, origin DESC) AS nth FROM quoted JOIN held USING (conv_id, s) WHERE origin < turn) WHERE nth = 1),
+parts AS (SELECT r, conv_id, turn, level, island, 0 AS rank, s FROM runs WHERE level > 0
+  UNION ALL SELECT r, conv_id, turn, level, island, 1, unnest(regexp_split_to_array(rows, '\n{2,}')) FROM runs WHERE level > 0
+  UNION ALL SELECT r, conv_id, turn, level, island, 2, unnest(string_split(rows, chr(10))) FROM runs WHERE level > 0),
+quoted AS (SELECT r, conv_id, turn, level, island, rank, trim(lower(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'))) AS s FROM parts),
+found AS (SELECT r, level, island, origin, row_number() OVER (PARTITION BY r, level, island ORDER BY rank, origin DESC) AS nth FROM quoted JOIN held USING (conv_id, s) WHERE origin < turn AND s <> ''),
+par AS (SELECT r, origin FROM (SELECT r, origin, row_number() OVER (PARTITION BY r ORDER BY level, origin DESC) AS nth FROM found WHERE nth = 1) WHERE nth = 1),
 msg AS (SELECT m.*, par.origin AS parent_turn FROM m LEFT JOIN par ON par.r = m.r),
 tree AS (SELECT r, conv_id, turn, turn AS root_turn, 0 AS depth FROM msg WHERE parent_turn IS NULL
   UNION ALL SELECT c.r, c.conv_id, c.turn, t.root_turn, t.depth + 1 FROM msg c JOIN tree t ON c.conv_id = t.conv_id AND c.parent_turn = t.turn)
