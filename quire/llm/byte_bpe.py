@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, row_slices, text_or_empty, tidy, worker_cache
+from .common import Memo, row_slices, small_batches, text_or_empty, tidy, worker_cache
 
 #: Bytes up to which a piece is merged directly, the tree's leaf.
 LEAF = 24
@@ -144,6 +144,7 @@ def encode_texts(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             for a, b in row_slices(pc.binary_length(texts).to_pylist()):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(encode, texts.slice(a, b - a).to_pylist()), pa.binary())], names=["id", "ids"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(tidy(run), "id long, ids binary")
 
 

@@ -167,6 +167,21 @@ def tidy_pair(run):
     return tidied
 
 
+#: Rows of an Arrow batch: rows hold whole texts here, and ten thousand of them, Spark's own bound, may be gigabytes on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session have at most BATCH_ROWS rows (and BATCH_BYTES bytes, where Spark knows that bound), unless they are set to less."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            found = spark.conf.get(key)  # with a default of ours, this would not give Spark's
+        except Exception:  # this Spark has no such bound
+            continue
+        if not 0 < int(found.rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
 #: Bytes of texts that an Arrow function works on at a time: their words and numbers take many times that.
 SLICE_BYTES = 2 << 20
 

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_counted, row_slices, shared_table, text_or_empty, tidy, tidy_group, tidy_pair
+from .common import most_counted, row_slices, shared_table, small_batches, text_or_empty, tidy, tidy_group, tidy_pair
 from .families import family_components, small
 from .graph import components, labels
 
@@ -360,6 +360,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     frequent = frequent_tokens(rows)
     owned = shared_table(document_nodes(rows, frequent), "nodes")

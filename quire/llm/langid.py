@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, let, row_slices, shared_table, text_or_empty, tidy, words, worker_cache
+from .common import Memo, let, row_slices, shared_table, small_batches, text_or_empty, tidy, words, worker_cache
 
 ORDER = 5
 #: Labelled documents per language that the models are counted on, and calibrated on.
@@ -24,7 +24,7 @@ SAMPLED_CHARS, WORD_CHARS = 20_000, 64
 #: Characters of the pieces of texts from which the limit of short texts is calibrated.
 SHORT_CHARS = 40
 #: Probabilities held at a time while words are scored.
-CELLS = 4_000_000
+CELLS = 1_000_000
 #: Labels up to which their shares are broadcast.
 LABELS_BROADCAST = 100_000
 UNKNOWN = "und"
@@ -288,8 +288,9 @@ def _sampled_words(text: Column) -> Column:
     return F.when(F.length(text) <= SAMPLED_CHARS, F.filter(words(F.lower(text)), lambda w: F.length(w) <= WORD_CHARS)).otherwise(let(share, drawn))
 
 
-def _decider(rows: DataFrame, models: CharModels, carried: list[str]):
-    """A function over Arrow batches with a column ``text``: lang_pred, score, rejected, and the carried columns as they are."""
+def _decider(rows: DataFrame, models: CharModels, carried: list[str], field: int = 0):
+    """A function over Arrow batches with a column ``text``, or ``record`` with such a field: lang_pred, score, rejected, and the carried columns as they are."""
+    small_batches(rows.sparkSession)
     sent, name = rows.sparkSession.sparkContext.broadcast(models), models.key()
 
     def run(batches):
@@ -298,7 +299,7 @@ def _decider(rows: DataFrame, models: CharModels, carried: list[str]):
 
         for batch in batches:
             memo = worker_cache("langid", name, lambda: sent.value.memo())
-            texts = batch.column("text")
+            texts = batch.column("text") if "text" in batch.schema.names else pc.fill_null(pc.struct_field(batch.column("record"), [field]).cast(pa.string()), "")
             for a, b in row_slices(pc.binary_length(texts).to_pylist()):
                 langs, scores, rejected = sent.value.decide(texts.slice(a, b - a), memo)
                 kept = [batch.column(c).slice(a, b - a) for c in carried]
@@ -329,7 +330,7 @@ def keep_identified(docs: DataFrame, models: CharModels, text_col: str = "text")
     """The rows of ``docs`` that are not rejected, with all their columns: the records travel with their texts, so nothing is joined. Rows without letters are rejected."""
     text = text_or_empty(F.col(f"`{text_col}`"))
     record = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(record.alias("record"), text.alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    rows = docs.where(text.rlike(r"\p{L}")).select(record.alias("record"))
     kind = rows.schema["record"].dataType.simpleString()
-    found = rows.mapInArrow(_decider(rows, models, ["record"]), f"lang_pred string, score double, rejected boolean, record {kind}")
+    found = rows.mapInArrow(_decider(rows, models, ["record"], docs.columns.index(text_col)), f"lang_pred string, score double, rejected boolean, record {kind}")
     return found.where("NOT rejected").select("record.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_counted, row_slices, shared_table, text_or_empty, tidy, tidy_group
+from .common import most_counted, row_slices, shared_table, small_batches, text_or_empty, tidy, tidy_group
 
 #: Bytes of packed postings for one task.
 PART_BYTES = 12 << 20
@@ -465,6 +465,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     documents every word is unknown. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("text"), held_out(F.col(id_col)).alias("held"), F.col(id_col).cast("long").alias("id"))
     model = fit(rows)

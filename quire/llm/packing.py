@@ -9,19 +9,20 @@ at most a window long; only documents longer than a window are cut.
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, row_slices, shared_table, text_or_empty, tidy, worker_cache
+from .common import row_slices, shared_table, small_batches, text_or_empty, tidy, worker_cache
 
 WINDOW = 2048
 END = 1
 #: Marks that may end a word.
 MARKS = ".,!?;:"
-#: Words held by a Python worker (and as many of the generation before).
-CACHED = 150_000
+#: Words held by a Python worker.
+CACHED = 200_000
 #: Windows whose pieces one merging task takes.
 MERGE_WINDOWS = 4096
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
@@ -58,58 +59,115 @@ class Windows:
         return [self.held[k] for _, k in self.free]
 
 
-def word_ids(path: str):
-    """A memo from a white-space separated word to its ids, as bytes (little-endian unsigned 32-bit)."""
-    import os
-    import struct
-    import unicodedata
+def ranges(begins, counts):
+    """All numbers of the ranges that begin there and have so many."""
+    import numpy as np
+
+    ends = np.cumsum(counts)
+    return np.repeat(begins - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def runs(words):
+    """Whether each word of an Arrow array is letters only, lower case, and below the combining marks, so that normalising leaves it as it is."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    plain = np.asarray(pc.and_(pc.string_is_ascii(words), pc.and_(pc.ascii_is_alpha(words), pc.ascii_is_lower(words))))
+    at = np.flatnonzero(~plain & ~np.asarray(pc.string_is_ascii(words)))
+    if len(at):
+        odd = words.take(at)
+        low = pc.and_(pc.and_(pc.utf8_is_alpha(odd), pc.utf8_is_lower(odd)), pc.equal(pc.utf8_lower(odd), odd))
+        plain[at] = np.asarray(pc.and_(low, pc.match_substring_regex(odd, r"^[\x{0}-\x{24f}]+$")))
+    return plain
+
+
+class Words:
+    """Ids of white-space separated words. What was encoded is kept: places by word, and ids in one array; when CACHED words are held, all are let go."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.encoder = Tokenizer.from_file(path)
+        self.tokenize = self.encoder.model.tokenize
+        # A word of lower-case composed letters alone is one match of the splitting pattern and
+        # normalised as it is: the model can have it at once, its bytes as the byte-level alphabet has them.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.byte_chars = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        self.places: dict[str, int] = {}
+        self.begins, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, words: list[str]):
+        """(counts, ids) of new words."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known = pa.array(words, pa.string())
+        run, ascii_ = runs(known), np.asarray(pc.string_is_ascii(known))
+        tokenize, chars = self.tokenize, self.byte_chars
+        found: list = [None] * len(words)
+        rest = np.flatnonzero(~run).tolist()
+        for i, e in zip(rest, self.encoder.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        for i in np.flatnonzero(run & ~ascii_).tolist():
+            found[i] = [t.id for t in tokenize(words[i].encode().decode("latin-1").translate(chars))]
+        for i in np.flatnonzero(run & ascii_).tolist():
+            found[i] = [t.id for t in tokenize(words[i])]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return counts, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum()))
+
+    def look(self, words: list[str]):
+        """(begins, counts) in ``ids`` of distinct words; call for all that is needed before ``ids`` is read."""
+        import numpy as np
+
+        at = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            counts, ids = self.encoded(fresh)
+            at[new] = np.arange(len(fresh)) + len(self.begins)
+            self.places.update(zip(fresh, at[new].tolist(), strict=True))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(counts) - counts])
+            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+        return self.begins[at], self.counts[at]
+
+
+def word_ids(path: str) -> Words:
+    return Words(path)
+
+
+def _parted(known):
+    """(distinct cores, each word's core, distinct tails, each word's tail) of a dictionary of words: a run of marks after a letter or digit is encoded apart from what it follows."""
     import numpy as np
-    from tokenizers import Tokenizer
-
-    encoder = Tokenizer.from_file(path)
-    model = encoder.model
-    # A word of lower-case composed letters alone is one match of the splitting pattern and
-    # normalised as it is: the model can have it at once, its bytes as the byte-level alphabet has them.
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    byte_chars = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-
-    def is_run(w: str) -> bool:
-        return w.isalpha() and w.islower() and w == w.lower() and (w.isascii() or all(c < "\u0250" for c in w) and unicodedata.is_normalized("NFC", w))
-
-    def packed(tokens) -> bytes:
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-    class Words(Memo):
-        def all(self, found: list[str]) -> list[bytes]:
-            """The ids of many words; what is new is encoded in one call."""
-            new = [w for w in found if w not in self and w not in self.old]
-            if len(self) + 2 * len(new) > self.most:
-                self.old = dict(self)
-                self.clear()
-                new = [w for w in found if w not in self and w not in self.old]
-            # a run of marks after a letter or digit is encoded apart from what it follows
-            ends = {w: (core, w[len(core) :]) for w in new if (core := w.rstrip(MARKS)) != w and core and (is_run(core) or core.isascii() and core[-1].isalnum())}
-            plain = dict.fromkeys(w for w in new if w not in ends)
-            plain.update(dict.fromkeys(x for pair in ends.values() for x in pair if x not in self and x not in self.old))
-            fresh = {w: packed(model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(byte_chars))) for w in plain if is_run(w)}
-            mixed = [w for w in plain if w not in fresh]
-            fresh.update({w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(mixed, encoder.encode_batch_fast(mixed, add_special_tokens=False), strict=True)})
-            known = lambda w: fresh[w] if w in fresh else self[w] if w in self else self.old[w]
-            fresh.update({w: known(core) + known(tail) for w, (core, tail) in ends.items()})
-            out = [fresh[w] if w in fresh else self[w] if w in self else self.old[w] for w in found]
-            self.update(fresh)
-            return out
-
-    return Words(None, CACHED)
-
-
-def token_arrays(texts, memo):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    core = pc.ascii_rtrim(known, characters=MARKS)
+    size = np.asarray(pc.binary_length(core))
+    ends = (size < np.asarray(pc.binary_length(known))) & (size > 0)
+    ascii_ = np.asarray(pc.string_is_ascii(core))
+    apart = ends & ascii_ & np.asarray(pc.ascii_is_alnum(pc.utf8_slice_codeunits(core, -1)))
+    odd = np.flatnonzero(ends & ~ascii_)
+    apart[odd] = runs(core.take(odd))
+    mask = pa.array(apart)
+    cores = pc.if_else(mask, core, known).dictionary_encode()
+    tails = pc.if_else(mask, pc.struct_field(pc.extract_regex(pc.if_else(mask, known, "."), f"(?P<t>[{MARKS}]+)$"), "t"), "").dictionary_encode()
+    return cores.dictionary.to_pylist(), np.asarray(cores.indices), tails.dictionary.to_pylist(), np.asarray(tails.indices)
+
+
+def token_arrays(texts, words: Words):
     """Ids of each text, its end token included: (all ids in one array, bounds of the texts in it).
 
     The tokenizer drops white space and never merges across it, so each
-    distinct word of the batch is encoded once.
+    distinct word of the slice is encoded once.
     """
     import numpy as np
     import pyarrow.compute as pc
@@ -119,17 +177,24 @@ def token_arrays(texts, memo):
     split = pc.ascii_split_whitespace(texts if marked else pc.ascii_lower(texts))
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    parts = memo.all(coded.dictionary.to_pylist()) + [np.asarray([END], dtype="<u4").tobytes()]
-    lengths = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-    blob = np.frombuffer(b"".join(parts), dtype="<u4")
-    begins = np.cumsum(lengths) - lengths
     bounds -= bounds[0]
-    which = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(parts) - 1)
-    counts = lengths[which]
-    ends = np.cumsum(counts)
-    ids = blob[np.repeat(begins[which] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+    if len(words.places) > CACHED:
+        words.clear()
+    cores, core, tails, tail = _parted(coded.dictionary)
+    begins, counts = words.look(cores + [t for t in tails if t])
+    at_tail = np.zeros(len(tails), np.int64)
+    at_tail[[i for i, t in enumerate(tails) if t]] = len(cores) + np.arange(sum(map(bool, tails)))
+    tail_counts = np.where([bool(t) for t in tails], counts[at_tail] if len(counts) else 0, 0) if tails else np.zeros(0, np.int64)
+    # the ids of each distinct word: its core's, then its tail's; the end token comes last
+    pair_begins = np.stack([begins[core], begins[at_tail][tail]], 1).ravel() if len(core) else np.zeros(0, np.int64)
+    pair_counts = np.stack([counts[core], tail_counts[tail]], 1).ravel() if len(core) else np.zeros(0, np.int64)
+    blob = np.append(words.ids[ranges(pair_begins, pair_counts)], np.uint32(END)).astype("<u4")
+    lengths = np.append(pair_counts.reshape(-1, 2).sum(1), 1)
+    firsts = np.cumsum(lengths) - lengths
+    which = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(lengths) - 1)
+    ids = blob[ranges(firsts[which], lengths[which])]
     # the end token of text i stands after its words: at bounds[i + 1] + i
-    return ids, np.concatenate([[0], ends[bounds[1:] + np.arange(len(bounds) - 1)]])
+    return ids, np.concatenate([[0], np.cumsum(lengths[which])[bounds[1:] + np.arange(len(bounds) - 1)]])
 
 
 def _batch(rows: list[tuple]):
@@ -215,6 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     repeated rows are packed like any other row. Empty input: no rows. Other
     columns are not read. ``most_open`` bounds the open windows of a task.
     """
+    small_batches(docs.sparkSession)
     first = shared_table(pack_online(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text")), tokenizer, window, most_open), "pieces")
     left = first.where("open")
     tasks = -(-left.where("offset = 0").count() // MERGE_WINDOWS)
