@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, let, row_slices, shared_table, small_batches, text_or_empty, tidy, words, worker_cache
+from .common import let, row_slices, shared_table, small_batches, text_or_empty, tidy, words, worker_cache
 
 ORDER = 5
 #: Labelled documents per language that the models are counted on, and calibrated on.
@@ -25,6 +25,10 @@ SAMPLED_CHARS, WORD_CHARS = 20_000, 64
 SHORT_CHARS = 40
 #: Probabilities held at a time while words are scored.
 CELLS = 1_000_000
+#: Languages up to which an n-gram has a value for each of them; with more, only for those that know it.
+DENSE = 16
+#: Words whose scores a Python worker holds.
+CACHED = 200_000
 #: Labels up to which their shares are broadcast.
 LABELS_BROADCAST = 100_000
 UNKNOWN = "und"
@@ -57,6 +61,63 @@ def _grams(found: list[str]):
     return at, word, hashes
 
 
+class Grams:
+    """The n-grams of one length: a sorted array of hashes, with their discounted shares and, as contexts of longer ones, their back-off weights in each language."""
+
+    def __init__(self, shares: list, weights: list):
+        import numpy as np
+
+        self.languages = len(shares)
+        sides = []
+        for columns in (shares, [(k, v - 1) for k, v in weights]):
+            sides.append((np.concatenate([k for k, _ in columns]), np.repeat(np.arange(len(columns)), [len(k) for k, _ in columns]), np.concatenate([v for _, v in columns]).astype(np.float32)))
+        self.keys, at = np.unique(np.concatenate([k for k, _, _ in sides]), return_inverse=True)
+        self.begins = np.searchsorted(self.keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+        self.begins = np.append(self.begins, len(self.keys))
+        self.steps = int(np.diff(self.begins).max(initial=0)).bit_length()
+        places = at[: len(sides[0][0])], at[len(sides[0][0]) :]
+        self.values = [self._laid(place, language, value) for place, (_, language, value) in zip(places, sides, strict=True)]
+
+    def _laid(self, place, language, value):
+        """Values by key: a row for each, or, with many languages, (bounds, languages, values)."""
+        import numpy as np
+
+        if self.languages <= DENSE:
+            rows = np.zeros((len(self.keys) + 1, self.languages), np.float32)
+            rows[place, language] = value
+            return rows
+        by = np.argsort(place, kind="stable")
+        return np.searchsorted(place[by], np.arange(len(self.keys) + 2)), language[by].astype(np.int32), value[by]
+
+    def find(self, wanted):
+        """Place of each hash, or the number of keys: a binary search among those with the same first bits."""
+        import numpy as np
+
+        first = (wanted >> np.uint64(48)).astype(np.int64)
+        low, high = self.begins[first], self.begins[first + 1]
+        if not len(self.keys):
+            return low
+        for _ in range(self.steps):
+            mid = (low + high) >> 1
+            less = (mid < high) & (self.keys[np.minimum(mid, len(self.keys) - 1)] < wanted)
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+        return np.where(self.keys[np.minimum(low, len(self.keys) - 1)] == wanted, low, len(self.keys))
+
+    def rows(self, side: int, at):
+        """Values (0: shares, 1: weights less one) at places, a row each."""
+        import numpy as np
+
+        if self.languages <= DENSE:
+            return self.values[side][at]
+        bounds, language, value = self.values[side]
+        counts = bounds[at + 1] - bounds[at]
+        ends = np.cumsum(counts)
+        entries = np.repeat(bounds[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        out = np.zeros((len(at), self.languages), np.float32)
+        out[np.repeat(np.arange(len(at)), counts), language[entries]] = value[entries]
+        return out
+
+
 class CharModels:
     """Sorted hash arrays. Per order: n-grams with their discounted shares, contexts with their back-off weights; a column per language."""
 
@@ -91,36 +152,11 @@ class CharModels:
                 shares[n - 1].append((keys, np.maximum(count - discount, 0) / total[of]))
                 weights[n - 1].append((contexts, kinds / total))
         self.floor = 1.0 / (len(alphabet) + 2)
-        self.tables = [(self._merged(shares[n]), self._merged([(k, v - 1) for k, v in weights[n]])) for n in range(ORDER)]
+        # an n-gram of one order is a context of the next: both values are found at once
+        nothing = [(np.zeros(0, np.uint64), np.zeros(0))] * len(languages)
+        self.tables = [Grams(shares[n - 1] if n else nothing, weights[n] if n < ORDER else nothing) for n in range(ORDER + 1)]
         self.slack = 0.0
 
-    @staticmethod
-    def _merged(columns: list):
-        """(sorted hashes, bounds of their entries, languages and values of the entries)."""
-        import numpy as np
-
-        flat = np.concatenate([k for k, _ in columns]) if columns else np.zeros(0, np.uint64)
-        values = np.concatenate([v for _, v in columns]).astype(np.float32) if columns else np.zeros(0, np.float32)
-        language = np.repeat(np.arange(len(columns), dtype=np.int32), [len(k) for k, _ in columns])
-        by = np.argsort(flat, kind="stable")
-        keys, first = np.unique(flat[by], return_index=True)
-        return keys, np.append(first, len(flat)), language[by], values[by]
-
-    @staticmethod
-    def _add(table, wanted, out) -> None:
-        """Add the values of the wanted hashes to the rows of ``out``, each in the columns of the languages that know it."""
-        import numpy as np
-
-        keys, bounds, language, values = table
-        if not len(keys):
-            return
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        rows = np.flatnonzero(keys[at] == wanted)
-        begin, counts = bounds[at[rows]], np.diff(bounds)[at[rows]]
-        ends = np.cumsum(counts)
-        entries = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        out[np.repeat(rows, counts), language[entries]] += values[entries]
-
     def score_words(self, found: list[str]):
         """A row per word: natural log-probability under each language, then the characters counted. Words without letters count nothing."""
         import numpy as np
@@ -131,14 +167,12 @@ class CharModels:
             return out
         at, word, hashes = _grams([found[i] for i in known])
         p = np.full((len(at), len(self.languages)), self.floor, np.float32)
+        places = [self.tables[0].find(hashes[0])]
         for n in range(1, ORDER + 1):
             rows = np.flatnonzero((at >= n - 1) & (at > 0))
-            shares, weights = self.tables[n - 1]
-            backed = np.ones((len(rows), len(self.languages)), np.float32)
-            self._add(weights, hashes[n - 1][rows - 1], backed)
-            backed *= p[rows]
-            self._add(shares, hashes[n][rows], backed)
-            p[rows] = backed
+            places.append(self.tables[n].find(hashes[n]))
+            backed = p[rows] * (1 + self.tables[n - 1].rows(1, places[n - 1][rows - 1]))
+            p[rows] = backed + self.tables[n].rows(0, places[n][rows])
         p[at == 0] = 1
         log = np.log(np.maximum(p, 1e-30))
         bounds = np.flatnonzero(at == 0)
@@ -154,35 +188,16 @@ class CharModels:
         split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         bounds = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        width = len(self.languages) + 1
-        rows = np.frombuffer(b"".join(memo.all(coded.dictionary.to_pylist())), np.float32).reshape(-1, width)
+        rows = memo.look(coded.dictionary.to_pylist())
         which, bounds = coded.indices.to_numpy(), bounds - bounds[0]
-        sums = np.empty((len(texts), width))
-        for i in range(width):
-            run = np.concatenate([[0.0], np.cumsum(rows[which, i], dtype=np.float64)])
+        sums = np.empty((len(texts), rows.shape[1]))
+        for i in range(rows.shape[1]):
+            run = np.concatenate([[0.0], np.cumsum(rows[:, i][which], dtype=np.float64)])
             sums[:, i] = run[bounds[1:]] - run[bounds[:-1]]
         return -sums[:, :-1] / np.maximum(sums[:, -1:], 1), sums[:, -1]
 
-    def memo(self):
-        models = self
-
-        class Scores(Memo):
-            def all(self, found: list[str]) -> list[bytes]:
-                new = [w for w in found if w not in self and w not in self.old]
-                if len(self) + len(new) > self.most:
-                    self.old = dict(self)
-                    self.clear()
-                    new = [w for w in found if w not in self and w not in self.old]
-                fresh = {}
-                step = max(64, CELLS // (10 * len(models.languages)))
-                for a in range(0, len(new), step):
-                    some = new[a : a + step]
-                    fresh |= {w: r.tobytes() for w, r in zip(some, models.score_words(some), strict=True)}
-                out = [fresh[w] if w in fresh else self[w] if w in self else self.old[w] for w in found]
-                self.update(fresh)
-                return out
-
-        return Scores(None)
+    def memo(self) -> "Scores":
+        return Scores(self)
 
     def calibrate(self, labelled: list[tuple[str, str]]) -> None:
         """Fit, on labelled texts, how sharply entropies differ (by likelihood of the labels) and the highest entropy that is accepted.
@@ -240,6 +255,37 @@ class CharModels:
         return [self.languages[i] for i in best], 1 / lead.sum(1), (h.min(1) > self.most_entropy + self.slack / np.sqrt(np.maximum(n, 1))) | (n == 0)
 
 
+class Scores:
+    """Rows of ``score_words`` by word; when CACHED words are held, all are let go."""
+
+    def __init__(self, models: CharModels):
+        self.models = models
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        self.places: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.models.languages) + 1), np.float32)
+
+    def look(self, words: list[str]):
+        import itertools
+
+        import numpy as np
+
+        if len(self.places) > CACHED:
+            self.clear()
+        at = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            step = max(64, CELLS // (10 * len(self.models.languages)))
+            at[new] = np.arange(len(fresh)) + len(self.rows)
+            self.rows = np.concatenate([self.rows, *(self.models.score_words(fresh[a : a + step]) for a in range(0, len(fresh), step))])
+            self.places.update(zip(fresh, at[new].tolist(), strict=True))
+        return self.rows[at]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", counted: int = COUNTED, calibrated: int = CALIBRATED) -> CharModels:
     """Models from labelled documents that are not held out, one for every label.
 

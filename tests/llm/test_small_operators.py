@@ -244,7 +244,9 @@ def brute_kneser_ney(counts, order=langid.ORDER):
     return p
 
 
-def test_models_against_brute_force():
+@pytest.mark.parametrize("dense", [16, 0])
+def test_models_against_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
     draw = random.Random(4)
     counts = [("".join(draw.choice("abcde") for _ in range(draw.randrange(1, 9))), draw.randrange(1, 6)) for _ in range(60)]
     counts = list({w: n for w, n in counts}.items())
