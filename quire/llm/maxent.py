@@ -29,13 +29,13 @@ PART_BYTES = 12 << 20
 #: Words whose counts are broadcast, at most (16 bytes each).
 COUNTED = 100_000
 #: Words with a place of their own, bins of equal mass, members of a class at most, groups of rarer words, and hashed rows for pairs of words.
-TOP, CLASSES, MEMBERS, GROUPS, HASHED = 2048, 24, 64, 64, 1 << 13
+TOP, CLASSES, MEMBERS, GROUPS, HASHED = 1024, 16, 32, 16, 1 << 13
 #: Hashed weights inside classes: as many as there are words, between these bounds.
-CELLS = (1 << 14, 1 << 20)
+CELLS = (1 << 14, 1 << 18)
 #: Taken off each count of a rare word, for the unknown one.
 DISCOUNT = 0.75
 #: Rounds; each takes its share of the documents, so that together they train on every position of every training document once.
-ROUNDS, BATCH, RATE = 2, 8192, 0.3
+ROUNDS, BATCH, RATE = 2, 1 << 14, 0.3
 END = 1
 #: Weights of a table that travel and are averaged together.
 BLOCK = 1 << 16
@@ -170,7 +170,7 @@ def group_of(words):
     """Group of a rare word: its hash's highest bits."""
     import numpy as np
 
-    return (words >> np.uint64(58)).astype(np.int64)
+    return (words >> np.uint64(60)).astype(np.int64)
 
 
 class Model:
@@ -220,6 +220,10 @@ class Model:
         #: Slots of each class: places of top words, or of groups after them.
         self.members = [np.asarray(m) for m in members] + [len(counts) + np.arange(GROUPS), np.flatnonzero(self.words == END)]
         self.kinds_of_class = len(self.members)
+        #: Position of each slot among its class's members.
+        self.position = np.zeros(len(counts) + GROUPS, np.int64)
+        for own in self.members:
+            self.position[own] = np.arange(len(own))
 
     def _make_groups(self, counts, masses) -> None:
         """Of each group of rare words: its mass, and the unknown word's part of it."""
@@ -256,12 +260,12 @@ class Model:
         return logits
 
     def cells_of(self, contexts, slots):
-        """Places in the table of hashed weights of contexts (word hashes) with slots, a row per context."""
+        """Places in the table of hashed weights of contexts (mixed word hashes) with slots, a row per context."""
         import numpy as np
 
         with np.errstate(over="ignore"):
-            mixed = (contexts[:, None] ^ (slots[None, :].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-        return (mixed >> np.uint64(40)).astype(np.int64) & (self.cells - 1)
+            of_slots = (((slots.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(24)).astype(np.int32)
+        return (contexts[:, None] + of_slots) & np.int32(self.cells - 1)
 
     def member_shares(self, inside, kind: int, contexts):
         """(log-probabilities of a class's members, a row per token; the two cells of each)."""
@@ -279,14 +283,6 @@ class Model:
 
         return np.where(place < len(self.words), place, len(self.words) + group_of(words))
 
-    def within(self, kind: int, slots):
-        """Position among a class's members of slots that are in it."""
-        import numpy as np
-
-        own = self.members[kind]
-        by = np.argsort(own)
-        return by[np.searchsorted(own[by], slots)]
-
 
 def _before(values, bounds, start):
     """Of each token, the values one and two before it in its text, or ``start``."""
@@ -304,12 +300,13 @@ def _before(values, bounds, start):
 
 
 def _contexts(words, bounds):
-    """Hashes of the word before and of the word two before each token, apart from each other."""
+    """Mixed hashes of the word before and of the word two before each token, apart from each other."""
     import numpy as np
 
     one, two = _before(words, bounds, np.uint64(0))
     with np.errstate(over="ignore"):
-        return one * np.uint64(0xA0761D6478BD642F), (two ^ np.uint64(0xE7037ED1A0B428DB)) * np.uint64(0x8EBC6AF09C88C6E3)
+        mixed = one * np.uint64(0xA0761D6478BD642F), (two ^ np.uint64(0xE7037ED1A0B428DB)) * np.uint64(0x8EBC6AF09C88C6E3)
+    return tuple((x >> np.uint64(34)).astype(np.int32) for x in mixed)
 
 
 def _by_class(truth):
@@ -342,13 +339,15 @@ def train(rows: DataFrame, model: Model) -> None:
                 contexts = _contexts(words, bounds)
                 for a in range(0, len(place), BATCH):
                     some = np.arange(a, min(a + BATCH, len(place)))
-                    chosen, scale = [f[some] for f in features], 1 / len(some) ** 0.5
-                    slope = np.exp(model.log_shares(weights, chosen))
-                    slope[np.arange(len(some)), truth[some]] -= 1
+                    # contexts are few beside tokens: a row for each, its share times its tokens, less the classes that came
+                    kinds, first, which = np.unique(features[0][some] * model.rows + features[1][some], return_index=True, return_inverse=True)
+                    chosen, scale = [f[some[first]] for f in features], 1 / len(some) ** 0.5
+                    slope = np.exp(model.log_shares(weights, chosen)) * np.bincount(which, minlength=len(kinds))[:, None].astype(np.float32)
+                    slope -= np.bincount(which * model.kinds_of_class + truth[some], minlength=slope.size).reshape(slope.shape)
                     for f in chosen:
                         by = np.argsort(f, kind="stable")
                         starts = np.flatnonzero(np.concatenate([[True], f[by][1:] != f[by][:-1]]))
-                        change = np.add.reduceat(slope[by], starts, axis=0) * scale
+                        change = np.add.reduceat(slope[by], starts, axis=0) * np.float32(scale)
                         own = f[by][starts]
                         seen[own] += (change**2).mean(1)
                         weights[own] -= RATE * change / np.sqrt(seen[own])[:, None]
@@ -358,7 +357,7 @@ def train(rows: DataFrame, model: Model) -> None:
                             continue
                         shares, cells = model.member_shares(inside, kind, [c[some[own]] for c in contexts])
                         slope = np.exp(shares)
-                        slope[np.arange(len(own)), model.within(kind, slots[some[own]])] -= 1
+                        slope[np.arange(len(own)), model.position[slots[some[own]]]] -= 1
                         at += [c.ravel() for c in cells]
                         slopes += [slope.ravel()] * 2
                     if at:
@@ -405,13 +404,18 @@ def text_scores(model: Model, tokens):
     words, place = hashes[codes], model.places(hashes)[codes]
     features, truth, slots, contexts = model.features(place, bounds), model.classes[place], model.slots_of(place, words), _contexts(words, bounds)
     score = np.empty(len(place))
-    for a in range(0, len(place), BATCH):
-        some = np.arange(a, min(a + BATCH, len(place)))
-        score[some] = model.log_shares(model.weights, [f[some] for f in features])[np.arange(len(some)), truth[some]]
+    kinds, first, which = np.unique(features[0] * model.rows + features[1], return_index=True, return_inverse=True)
+    by, at = np.argsort(which, kind="stable"), np.arange(0, len(kinds) + BATCH, BATCH)
+    cuts = np.searchsorted(which[by], at)
+    for a, low, high in zip(at[:-1], cuts[:-1], cuts[1:], strict=True):
+        some = by[low:high]
+        score[some] = model.log_shares(model.weights, [f[first[a : a + BATCH]] for f in features])[which[some] - a, truth[some]]
+    for a in range(0, len(place), 2 * BATCH):
+        some = np.arange(a, min(a + 2 * BATCH, len(place)))
         for kind, own in _by_class(truth[some]):
             if len(model.members[kind]) > 1:
                 shares, _ = model.member_shares(model.inside, kind, [c[some[own]] for c in contexts])
-                score[some[own]] += shares[np.arange(len(own)), model.within(kind, slots[some[own]])]
+                score[some[own]] += shares[np.arange(len(own)), model.position[slots[some[own]]]]
     score /= np.log(10)
     listed = find(model.listed, hashes)[codes]
     other = listed == len(model.listed)
@@ -443,7 +447,7 @@ def fit(rows: DataFrame) -> Model:
 
     counts = shared_table(word_counts(rows), "word-counts")
     kinds, tokens = counts.agg(F.count(F.lit(1)), F.sum("n")).head()
-    group = F.shiftrightunsigned("word", 58).cast("int")
+    group = F.shiftrightunsigned("word", 60).cast("int")
     masses = np.zeros((2, GROUPS))
     for r in counts.groupBy(group.alias("g")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"), F.count(F.lit(1)).alias("kinds")).collect():
         masses[:, r["g"]] = r["mass"], r["kinds"]
