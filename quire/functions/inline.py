@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WORD, col, let, special_characters
+from .text import WORD, character_reference, col, let, special_characters
 
 #: Built-in attributes.
 INTRINSIC = {
@@ -52,7 +52,7 @@ REPLACEMENTS = [
     ("=&gt;", r"(?<!\\)=&gt;", "&#8658;"),
     ("&lt;-", r"(?<!\\)&lt;-", "&#8592;"),
     ("&lt;=", r"(?<!\\)&lt;=", "&#8656;"),
-    ("&amp;", r"(?<!\\)&amp;((?:[a-zA-Z][a-zA-Z]+\d{0,2}|#\d\d\d{0,4}|#x[\da-fA-F][\da-fA-F][\da-fA-F]{0,3});)", "&$1"),
+    ("&amp;", r"(?<!\\)&amp;(" + character_reference() + ")", "&$1"),
 ]
 ESCAPED = r"\\(?=\(C\)|\(R\)|\(TM\)|\.\.\.|`'|-&gt;|=&gt;|&lt;-|&lt;=|&amp;[a-zA-Z#])"
 
@@ -74,7 +74,7 @@ def _quoted(rule: tuple):
     _, mark, close, before, after, opens, closes = rule
     m, c = _literal(mark), _literal(close)
     if before is None:
-        inside = r"((?:\[[^\s\]]*\]|\S)+?)" if mark in "^~" else r"([\s\S]+?)"
+        inside = r"(\S+?)" if mark in "^~" else r"([\s\S]+?)"
         lead, follow = r"()(?<!\\)", ""
     else:
         inside = r"(\S|\S[\s\S]*?\S)"
@@ -124,8 +124,7 @@ def attributes(x, attrs: Column, missing: str = "skip") -> Column:
     builtin = F.create_map(*[F.lit(y) for kv in INTRINSIC.items() for y in kv])
 
     def value(ref: Column) -> Column:
-        name = F.lower(F.substring(ref, 2, 4096))
-        name = F.regexp_replace(name, r"\}$", "")
+        name = F.lower(F.btrim(ref, F.lit("{}")))
         found = F.coalesce(F.try_element_at(attrs, name), F.try_element_at(builtin, name))
         return F.coalesce(found, ref if missing == "skip" else F.lit("\x00" if missing == "drop-line" else ""))
 
@@ -226,9 +225,205 @@ def macros(x) -> Column:
     return out
 
 
+#: Marks around the numbers of slots: texts that the passes must not see, and targets that formatting must leave alone.
+SLOT, TARGET = "\u0096", "\u0086"
+#: Names of the passes by their short forms.
+HINTS = {"a": "attributes", "c": "specialcharacters", "m": "macros", "n": "normal", "p": "post_replacements", "q": "quotes", "r": "replacements", "v": "verbatim"}
+PASSED = "|".join([
+    r"(?<!\\)\+\+\+[\s\S]*?\+\+\+", r"(?<!\\)\+\+[\s\S]+?\+\+", r"(?<!\\)\$\$[\s\S]+?\$\$", r"(?<!\\)pass:[a-z,_-]*\[[\s\S]*?(?<!\\)\]", r"(?<!\\)(?:stem|latexmath|asciimath):[a-z,_-]*\[[\s\S]*?(?<!\\)\]",
+    r"(?<![" + WORD + r";:\\+])\+(?:[^\s+]|[^\s+][\s\S]*?\S)\+(?![" + WORD + "+])",
+])
+
+
+def extract_passthroughs(x) -> Column:
+    """Struct of text, with numbered slots in place of passthroughs, and slots: structs of body, subs (names of passes, short or long, parted by commas) and kind (pass, or the notation of a formula)."""
+    t = col(x)
+
+    def slot(m: Column) -> Column:
+        named = m.startswith("pass:")
+        math = F.regexp_extract(m, "^(stem|latexmath|asciimath):", 1)
+        inner = F.replace(F.regexp_extract(m, r"^[a-z]+:[a-z,_-]*\[([\s\S]*)\]$", 1), F.lit("\\]"), F.lit("]"))
+        subs = F.regexp_extract(m, r"^[a-z]+:([a-z,_-]*)\[", 1)
+        fence = F.when(m.startswith("+++"), 3).when(m.startswith("++") | m.startswith("$$"), 2).otherwise(1)
+        body = F.when(named | (math != ""), inner).otherwise(F.substr(m, fence + 1, F.length(m) - 2 * fence))
+        passes = F.when(named, subs).when(math != "", F.when(subs == "", "c").otherwise(subs)).when(fence == 3, "").otherwise("c")
+        return F.struct(body.alias("body"), passes.alias("subs"), F.when(math != "", math).otherwise("pass").alias("kind"))
+
+    def numbered(found: Column) -> Column:
+        holes = F.transform(found, lambda _, i: F.concat(F.lit(SLOT), i.cast("string"), F.lit(SLOT)))
+        text = F.array_join(F.zip_with(F.split(t, PASSED), holes, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.struct(text.alias("text"), F.transform(found, slot).alias("slots"))
+
+    some = t.contains("+") | t.contains("$$") | t.contains("pass:") | t.contains("stem:") | t.contains("math:")
+    return let(F.when(some, F.regexp_extract_all(t, F.lit(PASSED), F.lit(0))).otherwise(F.array().cast("array<string>")), numbered)
+
+
+def restore_passthroughs(x, slots: Column) -> Column:
+    """A text with what its slots hold, each put through its own passes; formulas between the marks of their notation."""
+    t = col(x)
+
+    def through(s: Column) -> Column:
+        subs = F.split(s["subs"], ",")
+        has = lambda *names: F.arrays_overlap(subs, F.array(*map(F.lit, names)))
+        body = F.when(has("c", "n", "v", "specialcharacters", "specialchars", "normal", "verbatim"), special_characters(s["body"])).otherwise(s["body"])
+        body = let(body, lambda b: F.when(has("q", "n", "quotes", "normal"), quotes(b)).otherwise(b))
+        body = let(body, lambda b: F.when(has("r", "n", "replacements", "normal"), replacements(b)).otherwise(b))
+        body = let(body, lambda b: F.when(has("m", "n", "macros", "normal"), macros(b)).otherwise(b))
+        opens = F.when(s["kind"] == "pass", "").when(s["kind"] == "latexmath", "\\(").otherwise("\\$")
+        closes = F.when(s["kind"] == "pass", "").when(s["kind"] == "latexmath", "\\)").otherwise("\\$")
+        return F.concat(opens, body, closes)
+
+    pattern = SLOT + r"(\d+)" + SLOT
+
+    def joined(bodies: Column) -> Column:
+        asked = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda n: F.coalesce(F.get(bodies, n.cast("int")), F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, pattern), asked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return F.when(F.size(slots) > 0, let(F.transform(slots, through), joined)).otherwise(t)
+
+
+#: What is a target: a URL or the target of a link, cross reference or image macro.
+TARGETS = r"(?:https?|ftp|irc)://[^\s\[\]<>]+|(?:link|xref|mailto|image|icon):[^\s\[\]:][^\s\[\]]*(?=\[)|&lt;&lt;[^\s&,]+(?=(?:,[^&]*)?&gt;&gt;)"
+
+
+def protect_targets(x) -> Column:
+    """Struct of text with numbered holes in place of targets, in which marks are no formatting, and targets."""
+    t = col(x)
+
+    def numbered(found: Column) -> Column:
+        holes = F.transform(found, lambda _, i: F.concat(F.lit(TARGET), i.cast("string"), F.lit(TARGET)))
+        return F.struct(F.array_join(F.zip_with(F.split(t, TARGETS), holes, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("text"), found.alias("targets"))
+
+    some = t.contains(":") | t.contains("&lt;&lt;")
+    return let(F.when(some, F.regexp_extract_all(t, F.lit(TARGETS), F.lit(0))).otherwise(F.array().cast("array<string>")), numbered)
+
+
+def restore_targets(x, targets: Column) -> Column:
+    t = col(x)
+    pattern = TARGET + r"(\d+)" + TARGET
+    asked = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda n: F.coalesce(F.get(targets, n.cast("int")), F.lit("")))
+    return F.when(F.size(targets) > 0, F.array_join(F.zip_with(F.split(t, pattern), asked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(t)
+
+
+def formatted(x) -> Column:
+    """``quotes`` that leaves targets as they are."""
+    return let(protect_targets(x), lambda p: restore_targets(let(p["text"], quotes), p["targets"]))
+
+
+#: A text without any of these is the same after all passes.
+PLAIN = r"^[^*_`#^~\"'&<>()\[\]{}:@+$=.\\-]*+$"
+
+
 def normal(x, attrs: Column | None = None, missing: str = "skip") -> Column:
-    """All passes of an ordinary paragraph."""
-    out = quotes(let(col(x), special_characters))
-    if attrs is not None:
-        out = let(out, lambda t: attributes(t, attrs, missing))
-    return let(macros(replacements(out)), lambda t: post_replacements(t))
+    """All passes of an ordinary paragraph, passthroughs kept out of them. Plain texts skip them all."""
+
+    def passes(p: Column) -> Column:
+        out = formatted(let(p["text"], special_characters))
+        if attrs is not None:
+            out = let(out, lambda t: attributes(t, attrs, missing))
+        out = let(macros(let(out, replacements)), lambda t: post_replacements(t))
+        return let(out, lambda t: restore_passthroughs(t, p["slots"]))
+
+    return let(col(x), lambda t: F.when(t.isNull() | t.rlike(PLAIN), t).otherwise(let(extract_passthroughs(t), passes)))
+
+
+def _chain(*steps):
+    def applied(x) -> Column:
+        out = col(x)
+        for step in steps:
+            out = let(out, step)
+        return out
+
+    return applied
+
+
+def header(x, attrs: Column | None = None) -> Column:
+    """What is said in a document's header: special characters and attributes only."""
+    out = special_characters(x)
+    return out if attrs is None else let(out, lambda t: attributes(t, attrs))
+
+
+def title(x) -> Column:
+    """A title: all passes, with replacements before macros and without line breaks."""
+    return let(extract_passthroughs(x), lambda p: let(_chain(special_characters, formatted, replacements, macros)(p["text"]), lambda t: restore_passthroughs(t, p["slots"])))
+
+
+def reftext(x) -> Column:
+    """The text of a reference: special characters, formatting and replacements."""
+    return _chain(special_characters, quotes, replacements)(x)
+
+
+def quoted_attributes(x) -> Column:
+    """Struct of id and roles of the short form ``#id.role`` before formatted text; a bare name is a role."""
+    t = F.btrim(F.substring_index(col(x), ",", 1))
+    roles = F.regexp_extract_all(t, F.lit(r"\.([^.#]+)"), F.lit(1))
+    bare = F.regexp_extract(t, r"^([^.#]+)$", 1)
+    return F.struct(F.nullif(F.regexp_extract(t, r"#([^.#]+)", 1), F.lit("")).alias("id"), F.when(bare != "", F.split(bare, " ")).otherwise(roles).alias("roles"))
+
+
+def macro_attributes(x) -> Column:
+    """The map of a macro's attribute list: positions, names, and ``style#id.role%option`` at the first place."""
+    from quire.functions.kernel import kernel
+
+    def parsed(t):
+        from quire.operators.blocks import attribute_list
+
+        return list(attribute_list(t).items())
+
+    return kernel("map<string,string>")(parsed)(x)
+
+
+def link_attributes(x) -> Column:
+    """Struct of text, role, window and id of a link's text ``text,role=x,window=_blank``; ``^`` at the text's end opens a new window."""
+    t = col(x)
+    named = t.rlike(r"(?:^|,)\s*(?:role|window|id|opts|title)=")
+    text = F.btrim(F.when(named, F.regexp_extract(t, r'^((?:"[^"]*+"|[^,"=])*+)(?=,|$)', 1)).otherwise(t))
+    text = F.regexp_replace(text, r'^"([\s\S]*)"$', "$1")
+    value = lambda name: F.nullif(F.btrim(F.regexp_extract(t, rf'(?:^|,)\s*{name}=("[^"]*"|[^,]*)', 1), F.lit('" ')), F.lit(""))
+    window = F.when(text.endswith("^"), "_blank").when(named, value("window"))
+    return F.struct(F.regexp_replace(text, r"\^$", "").alias("text"), F.when(named, value("role")).alias("role"), window.alias("window"), F.when(named, value("id")).alias("id"))
+
+
+def stem(x) -> Column:
+    """Inline formulas with the marks of their notation around them, their text escaped."""
+    return let(extract_passthroughs(x), lambda p: restore_passthroughs(p["text"], p["slots"]))
+
+
+def extract_callouts(x) -> Column:
+    """Struct of text without the callouts at its lines' ends, and marks: structs of line (from 0) and numbers; ``<.>`` counts on. A comment mark before them goes too."""
+    lines = F.split(col(x), "\n")
+    tail = r"(?:[ \t]*(?://|#|--|;;)?[ \t]*)((?:<!--(?:\d+|\.)-->|<(?:\d+|\.)>)(?:[ \t]*(?:<!--(?:\d+|\.)-->|<(?:\d+|\.)>))*+)[ \t]*$"
+    found = F.transform(lines, lambda s, i: F.struct(i.alias("line"), F.regexp_extract_all(F.regexp_extract(s, tail, 1), F.lit(r"<(?:!--)?(\d+|\.)(?:--)?>"), F.lit(1)).alias("marks")))
+
+    def counted(rows: Column) -> Column:
+        flat = F.flatten(F.transform(rows, lambda r: r["marks"]))
+        before = lambda i: F.size(F.flatten(F.transform(F.slice(rows, 1, i), lambda r: r["marks"])))
+        numbers = let(flat, lambda all_marks: F.transform(rows, lambda r: F.struct(r["line"].alias("line"), F.transform(r["marks"], lambda m, k: F.when(m == ".", F.size(F.filter(F.slice(all_marks, 1, before(r["line"]) + k + 1), lambda y: y == "."))).otherwise(m.try_cast("int"))).alias("numbers"))))
+        return F.filter(numbers, lambda r: F.size(r["numbers"]) > 0)
+
+    marks = F.when(col(x).contains("<"), let(found, counted)).otherwise(F.filter(F.transform(found, lambda r: F.struct(r["line"].alias("line"), F.array().cast("array<int>").alias("numbers"))), lambda r: F.lit(False)))
+    return F.struct(F.array_join(F.transform(lines, lambda s: F.regexp_replace(s, tail, "")), "\n").alias("text"), marks.alias("marks"))
+
+
+def restore_callouts(x, marks: Column) -> Column:
+    """Lines with their callouts at the end again, as ``<b class="conum">(n)</b>``."""
+
+    def line(s: Column, i: Column) -> Column:
+        own = F.flatten(F.transform(F.filter(marks, lambda r: r["line"] == i), lambda r: r["numbers"]))
+        shown = F.array_join(F.transform(own, lambda n: F.concat(F.lit('<b class="conum">('), n.cast("string"), F.lit(")</b>"))), " ")
+        return F.when(F.size(own) > 0, F.concat_ws(" ", s, shown)).otherwise(s)
+
+    return F.array_join(F.transform(F.split(col(x), "\n"), line), "\n")
+
+
+#: The passes of each kind of block before ``subs`` changes them.
+NORMAL = ("specialcharacters", "quotes", "attributes", "replacements", "macros", "post_replacements")
+VERBATIM = ("specialcharacters", "callouts")
+
+
+def default_passes(context, style=None, highlighter: bool = False) -> Column:
+    """Names of the passes of a block of that context and style; with a highlighter, a source listing's special characters are left to it."""
+    c, s = col(context), F.lit(None).cast("string") if style is None else col(style)
+    names = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    listing = F.when((s == "source") & F.lit(highlighter), names(("highlight", "callouts"))).otherwise(names(VERBATIM))
+    return F.when(c == "listing", listing).when(c == "literal", names(VERBATIM)).when(c == "stem", names(VERBATIM[:1])).when(c.isin("pass", "comment", "table"), names(())).otherwise(names(NORMAL))

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.tables import cells_of, column_list, shares
+
 NODE = (
     "doc_id string, node_id int, parent_id int, ord array<int>, depth int, context string, style string, level int, id string, title string, "
     "source string, roles array<string>, attrs map<string,string>, marker string, line_no int"
@@ -35,6 +37,7 @@ ORDERED = re.compile(r"^[ \t]*(\.{1,5}|\d+\.|[a-zA-Z]\.|[IVXivx]+\))[ \t]+(\S.*)
 DESCRIBED = re.compile(r"^[ \t]*([^\s/].*?)(:{2,4}|;;)(?:[ \t]+(\S.*))?$")
 EXPLAINED = re.compile(r"^<(\d+|\.)>[ \t]+(\S.*)$")
 MACRO = re.compile(r"^(image|video|audio|toc)::(\S*?|\S.*?\S)\[(.*)\]$")
+CUSTOM = re.compile(r"^([a-z][\w-]*)::(\S*?|\S.*?\S)\[(.*)\]$")
 ENTRY = re.compile(r"^:(!?[\w][\w-]*!?):(?:[ \t]+(.*))?$")
 BREAKS = {"'''": "thematic_break", "---": "thematic_break", "***": "thematic_break", "<<<": "page_break"}
 
@@ -73,7 +76,10 @@ def attribute_list(text: str) -> dict[str, str]:
 
 
 class Parser:
-    def __init__(self, text: str):
+    """Parses one document. ``macros``: names of further block macros, whose nodes are custom_macro, with the name as style."""
+
+    def __init__(self, text: str, macros: tuple[str, ...] = ()):
+        self.macros = frozenset(macros)
         self.lines = [x.rstrip(" \t\n\x0b\x0c\r\0") for x in text.split("\n")]
         self.at, self.nodes, self.attributes = 0, [], {}
 
@@ -118,18 +124,24 @@ class Parser:
                 entry = ENTRY.match(line)
                 if entry:
                     self.entry(entry)
-                elif not line.startswith("//"):
+                    continue
+                if not line.startswith("//"):
                     self.attributes[("author-line", "revision-line")[min(row, 1)]] = line
                     row += 1
                 self.at += 1
         self.nodes[root]["attrs"] = self.attributes
 
     def entry(self, found) -> None:
-        name = found[1].strip("!").lower()
+        """An attribute entry at the current line, with the lines that a backslash at the end of one adds to it; moves on past them."""
+        name, value = found[1].strip("!").lower(), found[2] or ""
+        self.at += 1
+        while value.endswith(" \\") and self.at < len(self.lines):
+            value = value[:-1] + self.lines[self.at].lstrip()
+            self.at += 1
         if "!" in found[1]:
             self.attributes.pop(name, None)
         else:
-            self.attributes[name] = found[2] or ""
+            self.attributes[name] = value
 
     def block(self, parent: int, meta: dict, until) -> dict:
         """Parse one block at the current line into ``parent``; returns block metadata that waits for the next one."""
@@ -140,7 +152,6 @@ class Parser:
         entry = ENTRY.match(line)
         if entry:
             self.entry(entry)
-            self.at += 1
             return meta
         if line.startswith("//") and not line.startswith("////"):
             self.at += 1
@@ -174,6 +185,11 @@ class Parser:
             self.add(parent, macro[1], start, meta | {"attrs": meta.get("attrs", {}) | attrs | {"target": macro[2]}})
             self.at += 1
             return {}
+        custom = CUSTOM.match(line) if self.macros else None
+        if custom and custom[1] in self.macros:
+            self.add(parent, "custom_macro", start, meta | {"attrs": meta.get("attrs", {}) | attribute_list(custom[3]) | {"target": custom[2]}}, style=custom[1])
+            self.at += 1
+            return {}
         if EXPLAINED.match(line):
             self.explained(parent, meta)
             return {}
@@ -207,16 +223,51 @@ class Parser:
         self.at += 1
         if context == "comment":
             return
+        if context == "table":
+            self.tabled(parent, meta, mark, body, start)
+            return
         if context in VERBATIM:
             self.add(parent, context, start, meta, source="\n".join(body))
             return
-        key = self.add(parent, context, start, meta)
-        inner, self.lines, at, self.at = self.lines, body, self.at, 0
-        held: dict = {}
-        base = len(self.nodes)
+        self.inside(self.add(parent, context, start, meta), body, start)
+
+    def tabled(self, parent: int, meta: dict, mark: str, body: list[str], start: int) -> None:
+        """A table with its parts (head, body, foot), rows and cells as nodes; a cell of a document has that document's blocks below it."""
+        given = meta.get("attrs", {})
+        fmt = given.get("format") or {",": "csv", ":": "dsv"}.get(mark[0], "psv")
+        fmt = fmt if fmt in ("psv", "csv", "tsv", "dsv") else "psv"
+        separator = {"\\t": "\t"}.get(given.get("separator"), given.get("separator"))
+        while body and not body[0]:
+            body = body[1:]
+            given = given | {"noheader-option": ""}
+        header = True if "header-option" in given else False if "noheader-option" in given else None
+        specs = column_list(given.get("cols", ""))
+        cells, columns = cells_of("\n".join(body), fmt, len(specs), header, "footer-option" in given, separator)
+        specs = (specs + [{"width": 1, "halign": "left", "valign": "top", "style": "none"}] * columns)[:columns]
+        attrs = given | {"colcount": str(columns), "rowcount": str(1 + max((c[1] for c in cells), default=-1))}
+        if not any(x["width"] < 0 for x in specs) and "autowidth-option" not in given:
+            attrs["colwidths"] = " ".join(f"{x:g}" for x in shares([x["width"] for x in specs]))
+        key = self.add(parent, "table", start, meta | {"attrs": attrs}, source="\n".join(body))
+        part = row = at = None
+        for kind, r, c, wide, high, halign, valign, style, text in cells:
+            if part is None or self.nodes[part]["style"] != kind:
+                part, at = self.add(key, "table_part", start, {}, style=kind), None
+            if r != at:
+                row, at = self.add(part, "table_row", start, {}), r
+            spec = specs[min(c, columns - 1)]
+            style = "header" if kind == "head" else style or spec["style"]
+            marks = {"halign": halign or spec["halign"], "valign": valign or spec["valign"]} | ({"colspan": str(wide)} if wide > 1 else {}) | ({"rowspan": str(high)} if high > 1 else {})
+            cell = self.add(row, "table_cell", start, {"attrs": marks}, style=style, source=text if style != "document" else None)
+            if style == "document":
+                self.inside(cell, text.split("\n"), start)
+
+    def inside(self, parent: int, body: list[str], start: int) -> None:
+        """Blocks of other lines, below a node."""
+        outer, self.lines, at, self.at = self.lines, body, self.at, 0
+        base, held = len(self.nodes), {}
         while self.at < len(self.lines):
-            held = self.block(key, held, None)
-        self.lines, self.at = inner, at
+            held = self.block(parent, held, None)
+        self.lines, self.at = outer, at
         for node in self.nodes[base:]:
             node["line_no"] += start
 
@@ -350,11 +401,11 @@ class Parser:
             todo += [(n, [*path, k], depth + 1) for k, n in enumerate(own)]
 
 
-def parse_text(text: str | None) -> list[dict]:
-    return Parser(text or "").parse()
+def parse_text(text: str | None, macros: tuple[str, ...] = ()) -> list[dict]:
+    return Parser(text or "", macros).parse()
 
 
-def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", macros: tuple[str, ...] = ()) -> DataFrame:
     """The nodes of documents (null text: an empty document), a row each."""
     names = [x.split()[0] for x in NODE.split(", ")]
 
@@ -370,7 +421,7 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 rows = []
                 some = batch.slice(a, 500)
                 for key, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    rows += [n | {"doc_id": key, "attrs": list(n["attrs"].items())} for n in parse_text(body)]
+                    rows += [n | {"doc_id": key, "attrs": list(n["attrs"].items())} for n in parse_text(body, macros)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[n]) for n in names], names=names)
 
     return docs.select(F.col(doc_id).cast("string"), F.col(text).cast("string")).mapInArrow(run, NODE)

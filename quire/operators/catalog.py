@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.durable import durable
+
 
 def register(rows: DataFrame, key: list[str], order: str) -> tuple[DataFrame, DataFrame]:
     """(first registration of each key, later ones as duplicates)."""
@@ -19,10 +21,9 @@ def resolve(refs: DataFrame, targets: DataFrame, doc: str = "doc_id") -> DataFra
     title of the first target registered with it. ``targets``: doc, id,
     title, ord.
     """
-    ids, _ = register(targets.where(F.col("id").isNotNull()), [doc, "id"], "ord")
-    names, _ = register(targets.where(F.col("title").isNotNull()), [doc, "title"], "ord")
-    by_id = ids.select(F.col(doc).alias("i_doc"), F.col("id").alias("i_id"))
-    by_title = names.select(F.col(doc).alias("t_doc"), F.col("title").alias("t_title"), F.col("id").alias("t_id"))
+    # which is first only matters for titles; both are grouped with sums in each task first
+    by_id = targets.where(F.col("id").isNotNull()).groupBy(F.col(doc).alias("i_doc"), F.col("id").alias("i_id")).agg(F.lit(1).alias("once")).drop("once")
+    by_title = targets.where(F.col("title").isNotNull()).groupBy(F.col(doc).alias("t_doc"), F.col("title").alias("t_title")).agg(F.min_by("id", "ord").alias("t_id"))
     natural = F.col("target").rlike(r"[ \p{Lu}]")
     out = refs.join(by_id, (F.col(doc) == F.col("i_doc")) & (F.col("target") == F.col("i_id")), "left").join(by_title, (F.col(doc) == F.col("t_doc")) & (F.col("target") == F.col("t_title")) & natural, "left")
     how = F.when(F.col("i_id").isNotNull(), "id").when(F.col("t_id").isNotNull(), "title")
@@ -143,7 +144,7 @@ def smallest_cover(reach: DataFrame, cost: DataFrame, forced: tuple = ()) -> lis
         if not best:
             break
         chosen.append(best[0]["id"])
-        left = left.join(reach.where(F.col("id") == best[0]["id"]).select("item"), "item", "left_anti").checkpoint()
+        left = durable(left.join(reach.where(F.col("id") == best[0]["id"]).select("item"), "item", "left_anti"), "cover")
     price = {r["id"]: r["cost"] for r in cost.where(F.col("id").isin(chosen)).collect()}
     for key in sorted((x for x in chosen if x not in forced), key=lambda x: (-price.get(x, 0), str(x))):
         rest = [x for x in chosen if x != key]

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quire.durable import durable
+from quire.functions.kernel import kernel
 from quire.functions.text import BLANKS, leading_double, leading_int
 
-CONDITIONAL = r"^(\\)?(ifdef|ifndef|ifeval|endif)::(\S*?(?:([,+])\S*?)?)\[(.+)?\]$"
-INCLUDE = r"^(\\)?include::([^\[]*[^\[\s])\[(.*)\]$"
 ENTRY = r"^:(!?[\w][\w-]*!?):(?:[ \t]+(.*))?$"
 
 
+def directive(text: Column) -> Column:
+    """Struct of name, target, body and escaped of a line ``name::target[body]``; null if it is none. A backslash before it escapes it."""
+    bare = F.when(text.startswith("\\"), F.substr(text, F.lit(2))).otherwise(text)
+    head = F.substring_index(bare, "[", 1)
+    name = F.substring_index(head, "::", 1)
+    target = F.substr(head, F.length(name) + 3)
+    body = F.substr(bare, F.length(head) + 2, F.length(bare) - F.length(head) - 2)
+    whole = text.endswith("]") & bare.contains("::") & (F.length(name) + 2 <= F.length(head)) & name.rlike("^[a-z]+$") & ~target.rlike(r"^\s|\s$")
+    return F.when(whole, F.struct(name.alias("name"), target.alias("target"), body.alias("body"), text.startswith("\\").alias("escaped")))
+
+
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line_no (from 1), text: each line without white space at its end."""
     split = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n")
@@ -74,30 +86,49 @@ def evaluated(expression: Column, attrs: Column) -> Column:
     return F.when(op == "==", equal).when(op == "!=", ~equal).when(op == "<", less).when(op == "<=", ordered & (less | equal)).when(op == ">", ordered & ~less & ~equal).when(op == ">=", ordered & ~less).otherwise(False)
 
 
+def shown_lines(steps, truths):
+    """Whether each line stands, given what it does (1 opens a frame, -1 closes one, 0 neither) and the truth of the frame that it opens: nowhere inside a false one. Directives themselves do not stand."""
+    out, frames, false = [], [], 0
+    for step, truth in zip(steps, truths, strict=True):
+        if step > 0:
+            frames.append(bool(truth))
+            false += not truth
+        elif step < 0 and frames:
+            false -= not frames.pop()
+        out.append(step == 0 and not false)
+    return out
+
+
+def _by_document(rows: DataFrame, verdict: Column) -> DataFrame:
+    """Rows of documents for which ``verdict``, an array over ``line`` (structs of line_no and record, of a document in order), is true."""
+    record = F.struct("line_no", F.struct(*rows.columns).alias("record"))
+    listed = F.collect_list(record)
+    # maps have no order, so records with them are compared by their line alone
+    sorted_ = F.array_sort(listed, lambda a, b: a["line_no"] - b["line_no"]) if any(isinstance(f.dataType, T.MapType) for f in rows.schema.fields) else F.sort_array(listed)
+    grouped = rows.groupBy("doc_id").agg(sorted_.alias("line"))
+    kept = grouped.select(F.filter(F.arrays_zip("line", verdict.alias("keep")), lambda x: x["keep"]).alias("kept"))
+    return kept.select(F.explode("kept").alias("x")).select("x.line.record.*")
+
+
 def conditionals(rows: DataFrame, attrs: Column) -> DataFrame:
     """Lines that stand under true conditions only; directives go, single-line ones leave their text.
 
-    The attributes are those of the start (a map column of ``rows``); frames
-    nest as intervals, so a line stays if the sum of false frames open at it
-    is zero. Attributes that the text itself sets need ``attributes.apply``.
+    The attributes are those of the start (a map column of ``rows``). Frames
+    may nest to any depth: they are a stack over the lines of a document.
+    Attributes that the text itself sets need ``attributes.apply``.
     """
-    kind = F.regexp_extract("text", CONDITIONAL, 2)
-    target, body = F.regexp_extract("text", CONDITIONAL, 3), F.regexp_extract("text", CONDITIONAL, 5)
-    escaped = F.regexp_extract("text", CONDITIONAL, 1) == "\\"
+    d = directive(F.col("text"))
+    rows_with = rows.withColumn("directive", F.when(F.col("text").rlike(r"^\\?(?:ifdef|ifndef|ifeval|endif)::"), d))
+    kind = F.when(~F.col("directive.escaped"), F.col("directive.name"))
+    target, body = F.col("directive.target"), F.col("directive.body")
     truth = F.when(kind == "ifdef", defined(target, attrs)).when(kind == "ifndef", defined(target, attrs, True)).when(kind == "ifeval", evaluated(body, attrs))
-    single = kind.isin("ifdef", "ifndef") & (body != "")
-    marked = rows.withColumns({"kind": F.when(escaped, "").otherwise(kind), "truth": truth, "single": single, "body": body})
-    step = F.when(F.col("kind").isin("ifdef", "ifndef", "ifeval") & ~F.col("single"), 1).when(F.col("kind") == "endif", -1).otherwise(0)
-    marked = marked.withColumn("depth", F.sum(step).over(_by_line().rowsBetween(Window.unboundedPreceding, 0)))
-    # the frame at each depth that a line stands in was opened by the last opening line of that depth
-    opens = (F.col("kind") != "") & (F.col("kind") != "endif") & ~F.col("single")
-    falses = F.lit(0)
-    for d in range(1, 9):
-        last = F.last(F.when(opens & (F.col("depth") == d), F.col("truth")), True).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
-        falses = falses + F.when((F.col("depth") >= d) & ~last, 1).otherwise(0)
-    kept = marked.withColumn("falses", falses).where((F.col("falses") == 0) & ((F.col("kind") == "") | (F.col("single") & F.col("truth"))))
-    text = F.when(F.col("single"), F.col("body")).otherwise(F.regexp_replace("text", r"^\\(?=(?:ifdef|ifndef|ifeval|endif)::)", ""))
-    return kept.withColumn("text", text).drop("kind", "truth", "single", "body", "depth", "falses")
+    single = F.coalesce(kind.isin("ifdef", "ifndef") & (body != ""), F.lit(False))
+    step = F.when(single | kind.isNull(), 0).when(kind == "endif", -1).otherwise(1)
+    passed = F.when(single, body).otherwise(F.when(F.col("directive.escaped"), F.substr(F.col("text"), F.lit(2))).otherwise(F.col("text")))
+    marked = rows_with.select(*rows.columns, step.alias("step"), F.coalesce(truth, F.lit(False)).alias("truth"), (~single | F.coalesce(truth, F.lit(False))).alias("says"), passed.alias("passed"))
+    verdict = kernel("array<boolean>")(shown_lines)(F.transform("line", lambda x: x["record"]["step"]), F.transform("line", lambda x: x["record"]["truth"]))
+    kept = _by_document(marked, verdict).where("says")
+    return kept.select(*[F.col("passed").alias("text") if c == "text" else F.col(c) for c in rows.columns])
 
 
 def selected_lines(spec: str, column: str = "line_no") -> Column:
@@ -111,92 +142,282 @@ def selected_lines(spec: str, column: str = "line_no") -> Column:
     return out
 
 
+class TagFilter:
+    """Which regions a list such as ``a;!b;*;**`` takes: ``verdict(name, outer)`` of a region inside one that is taken or not (``None``: inside none), and ``base`` outside of all.
+
+    A named tag decides for itself. Others follow ``*``, if it is given (or
+    follows from ``**``), but never stand inside a region that is left out;
+    without it they are no regions. ``**`` decides for lines outside.
+    """
+
+    def __init__(self, spec: str):
+        self.named: dict[str, bool] = {}
+        for t in (x.strip() for x in spec.replace(",", ";").split(";")):
+            if t.strip("!"):
+                self.named[t.lstrip("!")] = not t.startswith("!")
+        order = list(self.named)
+        every, star = self.named.pop("**", None), self.named.pop("*", None)
+        if every is not None:
+            self.base = every
+            self.other = star if star is not None else True if not every and next(iter(self.named.values()), True) is False else None
+        elif star is not None:
+            self.other, self.base = star, not star if order[0] == "*" else False
+        else:
+            self.other, self.base = None, True not in self.named.values()
+
+    def verdict(self, name: str, outer):
+        if name in self.named:
+            return self.named[name]
+        if self.other is None:
+            return None
+        return False if outer is False else self.other
+
+
+def tag_of(line: str):
+    """(``tag`` or ``end``, name) of a line with a tag directive, else None."""
+    for kind in ("tag", "end"):
+        at = line.find(kind + "::")
+        while at >= 0:
+            stop = line.find("[]", at)
+            name = line[at + 5 : stop] if stop > 0 else ""
+            before, after = line[at - 1 : at], line[stop + 2 : stop + 3]
+            if name and not any(c in " \t[]" for c in name) and not before.replace("_", "a").isalnum() and (not after or after in " \t" or line[stop + 2 :].startswith(("-->", "*/"))):
+                return kind, name
+            at = line.find(kind + "::", at + 1)
+    return None
+
+
+def chosen_by_tags(texts: list[str], spec: str):
+    """(whether each line is chosen, problems): problems are (line from 1, kind, tag) of ends that close nothing or another region, of regions left open, and of wanted tags that never occur."""
+    tags, regions, out, problems, seen = TagFilter(spec), [], [], [], set()
+    for i, text in enumerate(texts, 1):
+        found = tag_of(text)
+        verdict = regions[-1][1] if regions else tags.base
+        if not found:
+            out.append(verdict)
+            continue
+        out.append(False)
+        kind, name = found
+        if kind == "tag":
+            taken = tags.verdict(name, regions[-1][1] if regions else None)
+            if taken is not None:
+                regions.append((name, taken, i))
+                seen.add(name)
+        elif regions and regions[-1][0] == name:
+            regions.pop()
+        elif name in tags.named:
+            at = next((k for k in range(len(regions) - 1, -1, -1) if regions[k][0] == name), None)
+            problems.append((i, "unexpected end" if at is None else "mismatched end", name))
+            if at is not None:
+                del regions[at]
+    problems += [(line, "not closed", name) for name, _, line in regions]
+    problems += [(None, "not found", name) for name, wanted in tags.named.items() if wanted and name not in seen]
+    return out, problems
+
+
 def tagged_lines(rows: DataFrame, tags: str) -> DataFrame:
-    """Lines selected by ``tags=a;!b;*;**``: the innermost open region decides; lines with tag directives never pass.
+    """Lines selected by ``tags=a;!b;*;**``: the innermost open region decides, at any depth; lines with tag directives never pass."""
+    verdict = kernel("array<boolean>")(lambda texts: chosen_by_tags(texts, tags)[0])(F.transform("line", lambda x: x["record"]["text"]))
+    return _by_document(rows, verdict).select(*rows.columns)
+
+
+def tag_problems(rows: DataFrame, tags: str) -> DataFrame:
+    """doc_id, line_no (null for tags that never occur), problem, tag: what is wrong with the tags of each document for that selection."""
+    grouped = rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("texts"))
+
+    def found(texts):
+        return [{"line_no": i, "problem": kind, "tag": name} for i, kind, name in chosen_by_tags(texts, tags)[1]]
 
-    Regions nest at most eight deep here. Without wildcards, lines outside
-    regions pass only if no tag is included.
+    problems = kernel("array<struct<line_no:int,problem:string,tag:string>>")(found)
+    return grouped.select("doc_id", F.explode(problems("texts")).alias("p")).select("doc_id", "p.*")
+
+
+def chosen_lines(texts: list[str], options: str) -> list[tuple[int, str]]:
+    """(number, text) of the lines that the options of an include choose: by ``lines``, else by ``tag`` or ``tags``, and set in by ``indent``.
+
+    Line numbers are taken in rising order, each once; an end that is open or
+    negative is the last line. As the list is walked along with the file, an
+    entry of 0 is never reached and holds up all after it.
     """
-    wanted = {}
-    for t in (x.strip() for x in tags.replace(",", ";").split(";")):
-        if t:
-            wanted[t.lstrip("!")] = not t.startswith("!")
-    base = wanted.pop("**", None)
-    star = wanted.pop("*", None)
-    if base is None:
-        base = not any(wanted.values()) and star is not True if wanted or star is not None else True
-        if star is False:
-            base = True
-    if star is None:
-        star = base if "**" in tags else (not any(wanted.values()) if wanted else base)
-    pattern = r"(?:^|\s|[^\w])(tag|end)::([^\s\[\]]+)\[\](?:\s|$|-->|\*/)"
-    kind, name = F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2)
-    step = F.when(kind == "tag", 1).when(kind == "end", -1).otherwise(0)
-    marked = rows.withColumns({"kind": kind, "name": name}).withColumn("depth", F.sum(step).over(_by_line().rowsBetween(Window.unboundedPreceding, 0)))
-    choice = F.lit(base)
-    known = F.create_map(*[F.lit(y) for kv in wanted.items() for y in kv]) if wanted else F.create_map().cast("map<string,boolean>")
-    for d in range(1, 9):
-        open_name = F.last(F.when((F.col("kind") == "tag") & (F.col("depth") == d), F.col("name")), True).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
-        own = F.coalesce(F.try_element_at(known, open_name), F.lit(star))
-        # an unnamed region inside a selected one stays with it
-        own = F.when(F.map_contains_key(known, open_name), own).otherwise(F.lit(star) if d == 1 else choice) if wanted else F.lit(star)
-        choice = F.when(F.col("depth") >= d, own).otherwise(choice)
-    return marked.withColumn("choice", choice).where(F.col("choice") & (F.col("kind") == "")).drop("kind", "name", "depth", "choice")
+    from quire.operators.blocks import attribute_list
+
+    asked = attribute_list(options or "")
+    numbered = list(enumerate(texts, 1))
+    if asked.get("lines"):
+        wanted: set[int] = set()
+        for part in asked["lines"].replace(",", ";").split(";"):
+            low, dots, high = (x.strip() for x in part.strip().partition(".."))
+            start, stop = _number(low), _number(high)
+            if dots:
+                wanted.update(range(start, (len(texts) if stop is None or stop < 0 else min(stop, len(texts))) + 1) if start is not None else ())
+            elif start is not None:
+                wanted.add(start)
+        numbered = [] if 0 in wanted else [x for x in numbered if x[0] in wanted]
+    elif asked.get("tags") or asked.get("tag"):
+        keep, _ = chosen_by_tags(texts, asked.get("tags") or asked["tag"])
+        numbered = [x for x, k in zip(numbered, keep, strict=True) if k]
+    if asked.get("indent", "").isdigit():
+        margin = min((len(t) - len(t.lstrip(" ")) for _, t in numbered if t.strip()), default=0)
+        numbered = [(i, " " * int(asked["indent"]) + t[margin:] if t.strip() else "") for i, t in numbered]
+    return numbered
+
+
+def _number(text: str):
+    try:
+        return int(text)
+    except ValueError:
+        return None
+
+
+@kernel("array<struct<line_no:int,text:string>>")
+def _chosen(texts, options):
+    return [{"line_no": i, "text": t} for i, t in chosen_lines(texts, options or "")]
 
 
 def include_targets(rows: DataFrame) -> DataFrame:
     """doc_id, line_no, target, options of each include directive that is not escaped."""
-    return rows.where(F.col("text").rlike(INCLUDE) & ~F.col("text").startswith("\\")).select("doc_id", "line_no", F.regexp_extract("text", INCLUDE, 2).alias("target"), F.regexp_extract("text", INCLUDE, 3).alias("options"))
+    found = rows.select("doc_id", "line_no", directive(F.col("text")).alias("d")).where("d.name = 'include' AND NOT d.escaped AND d.target <> ''")
+    return found.select("doc_id", "line_no", "d.target", F.col("d.body").alias("options"))
 
 
-def expand_includes(rows: DataFrame, files: DataFrame, depth: int = 64) -> DataFrame:
-    """doc_id, ord (array of line numbers), path, line_no, text with every include replaced by the lines of its file.
+def expand_includes(rows: DataFrame, files: DataFrame, depth: int = 64, resolver=None) -> DataFrame:
+    """doc_id, ord (array of line numbers), path, line_no, text with every include replaced by the chosen lines of its file.
 
-    ``files``: path, line_no, text. One self-join per level, until no
-    directive is left (or ``depth`` is reached); ``ord`` keeps nested order.
-    ``lines=`` is honoured; a missing file leaves a visible line.
+    ``files``: path, line_no, text. One join per level, until no directive is
+    left (or ``depth`` is reached, which leaves a visible line), each level
+    written once; ``ord`` keeps nested order. ``lines``, ``tag``, ``tags``,
+    ``indent``, ``leveloffset`` (added up over levels, shifting section
+    titles) and ``opts=optional`` are honoured. A missing file leaves a
+    visible line. ``resolver(targets)``: a DataFrame of path, line_no, text
+    for the targets (target) that ``files`` lacks.
     """
-    base = rows.select("doc_id", F.array(F.col("line_no").cast("int")).alias("ord"), F.lit(None).cast("string").alias("path"), "line_no", "text")
-    body = files.select(F.col("path").alias("f_path"), F.col("line_no").alias("f_line"), F.col("text").alias("f_text"))
-    names = body.select("f_path").distinct()
+    base = rows.select("doc_id", F.array(F.col("line_no").cast("int")).alias("ord"), F.lit(None).cast("string").alias("path"), F.col("line_no").cast("int").alias("line_no"), "text", F.lit(0).alias("shift"))
+    body = files.groupBy(F.col("path").alias("f_path")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("texts"))
     done = None
     for _ in range(depth):
-        is_include = F.col("text").rlike(INCLUDE) & ~F.col("text").startswith("\\")
-        plain = base.where(~is_include)
+        level = durable(base.withColumn("d", F.when(F.col("text").contains("include::"), directive(F.col("text")))), "includes")
+        asks = F.coalesce((F.col("d.name") == "include") & ~F.col("d.escaped") & (F.col("d.target") != ""), F.lit(False))
+        plain = _shifted(level.where(~asks))
         done = plain if done is None else done.unionByName(plain)
-        asked = base.where(is_include).withColumns({"target": F.regexp_extract("text", INCLUDE, 2), "options": F.regexp_extract("text", INCLUDE, 3)})
+        asked = level.where(asks).select("doc_id", "ord", "path", "line_no", "text", "shift", "d.target", F.col("d.body").alias("options"))
         if asked.isEmpty():
             return done
-        missing = asked.join(names, F.col("target") == F.col("f_path"), "left_anti")
-        optional = F.col("options").contains("optional")
-        shown = missing.where(~optional).select("doc_id", "ord", "path", "line_no", F.concat(F.lit("Unresolved directive: "), F.col("text")).alias("text"))
+        if resolver is not None:
+            lacking = asked.select("target").distinct().join(body.select("f_path"), F.col("target") == F.col("f_path"), "left_anti")
+            more = resolver(lacking).groupBy(F.col("path").alias("f_path")).agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("texts"))
+            body = durable(body.unionByName(more), "files")
+        joined = asked.join(body, F.col("target") == F.col("f_path"), "left")
+        optional = F.col("options").rlike(r"(?:^|[,%])\s*(?:(?:opts|options)=\"?[\w,]*)?optional")
+        shown = joined.where(F.col("f_path").isNull() & ~optional).select("doc_id", "ord", "path", "line_no", F.concat(F.lit("Unresolved directive: "), F.col("text")).alias("text"))
         done = done.unionByName(shown)
-        spec = F.regexp_extract("options", r"lines=\"?([0-9.;,]+)", 1)
-        ranges = F.transform(F.split(spec, "[;,]"), lambda p: F.struct(leading_int(p).alias("low"), F.when(p.contains(".."), F.coalesce(F.nullif(leading_int(F.regexp_extract(p, r"\.\.(\d+)", 1)), F.lit(0)), F.lit(1 << 40))).otherwise(leading_int(p)).alias("high")))
-        joined = asked.join(body, F.col("target") == F.col("f_path")).withColumn("ranges", ranges)
-        chosen = joined.where((spec == "") | F.exists("ranges", lambda r: (F.col("f_line") >= r["low"]) & (F.col("f_line") <= r["high"])))
-        base = chosen.select("doc_id", F.array_append("ord", F.col("f_line").cast("int")).alias("ord"), F.col("f_path").alias("path"), F.col("f_line").alias("line_no"), F.col("f_text").alias("text"))
-    left = base.select("doc_id", "ord", "path", "line_no", F.concat(F.lit("Include depth exceeded: "), F.col("text")).alias("text"))
-    return done.unionByName(left)
+        offset = F.coalesce(F.regexp_extract("options", r'leveloffset="?([+-]?\d+)', 1).try_cast("int"), F.lit(0))
+        lines_of = joined.where("f_path IS NOT NULL").select("doc_id", "ord", "f_path", (F.col("shift") + offset).alias("shift"), F.explode(_chosen("texts", "options")).alias("x"))
+        base = lines_of.select("doc_id", F.array_append("ord", F.col("x.line_no")).alias("ord"), F.col("f_path").alias("path"), F.col("x.line_no").alias("line_no"), F.col("x.text").alias("text"), "shift")
+    left = durable(base, "includes")
+    over = left.where(F.col("text").rlike(r"^include::"))
+    return done.unionByName(_shifted(left.where(~F.col("text").rlike(r"^include::")))).unionByName(over.select("doc_id", "ord", "path", "line_no", F.concat(F.lit("Include depth exceeded: "), F.col("text")).alias("text")))
+
+
+def _shifted(rows: DataFrame) -> DataFrame:
+    """Section titles moved by their rows' level offset, between one mark and six; escaped directives without their backslash."""
+    marks = F.regexp_extract("text", r"^(=+|#+)[ \t]+\S", 1)
+    count = F.greatest(F.lit(1), F.least(F.lit(6), F.length(marks) + F.col("shift")))
+    moved = F.concat(F.repeat(F.left(marks, F.lit(1)), count), F.substr(F.col("text"), F.length(marks) + 1))
+    text = F.when((F.col("shift") != 0) & (marks != ""), moved).otherwise(F.regexp_replace("text", r"^\\(?=include::)", ""))
+    return rows.select("doc_id", "ord", "path", "line_no", text.alias("text"))
 
 
 def attribute_entries(rows: DataFrame) -> DataFrame:
-    """doc_id, line_no, name, value, op (set or unset) of each attribute entry; a ``\\`` at a line's end continues its value."""
-    ahead = F.lead("text").over(_by_line())
-    raw = rows.withColumn("next", ahead).where(F.col("text").rlike(ENTRY))
-    name, value = F.regexp_extract("text", ENTRY, 1), F.regexp_extract("text", ENTRY, 2)
-    joined = F.when(value.rlike(r" \\$"), F.concat(F.regexp_replace(value, r"\\$", ""), F.ltrim(F.coalesce("next", F.lit(""))))).otherwise(value)
+    """doc_id, line_no, name, value, op (set or unset) of each attribute entry; a ``\\`` at a line's end continues its value, over any number of lines, and one after `` +`` keeps the line break. ``leveloffset`` may be relative: it adds to what came before."""
+    goes_on = F.coalesce(F.lag("text").over(_by_line()).rlike(r" \\$"), F.lit(False))
+    placed = rows.withColumn("island", F.sum((~goes_on).cast("int")).over(_by_line().rowsBetween(Window.unboundedPreceding, 0)))
+    whole = placed.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("parts")).where(F.col("parts")[0]["text"].rlike(ENTRY))
+    first = F.col("parts")[0]["text"]
+    name = F.regexp_extract(first, ENTRY, 1)
+    pieces = F.transform("parts", lambda p, i: F.when(i == 0, F.regexp_extract(p["text"], ENTRY, 2)).otherwise(F.ltrim(p["text"])))
+    value = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r" \+ \\$"), F.concat(F.regexp_replace(p, r" \+ \\$", " +"), F.lit("\n"))).otherwise(F.regexp_replace(p, r"\\$", ""))), "")
     unset = name.startswith("!") | name.endswith("!")
-    alias = F.create_map(*[F.lit(y) for kv in {"numbered": "sectnums", "hardbreaks": "hardbreaks-option", "showtitle": "showtitle"}.items() for y in kv])
     plain = F.lower(F.regexp_replace(name, "!", ""))
-    return raw.select("doc_id", "line_no", F.coalesce(F.try_element_at(alias, plain), plain).alias("name"), F.when(~unset, joined).alias("value"), F.when(unset, "unset").otherwise("set").alias("op"))
+    alias = F.create_map(*[F.lit(y) for kv in {"numbered": "sectnums", "hardbreaks": "hardbreaks-option"}.items() for y in kv])
+    out = whole.select("doc_id", F.col("parts")[0]["line_no"].alias("line_no"), F.coalesce(F.try_element_at(alias, plain), plain).alias("name"), F.when(~unset, value).alias("value"), F.when(unset, "unset").otherwise("set").alias("op"))
+    relative = (F.col("name") == "leveloffset") & F.col("value").rlike(r"^[+-]\d+$")
+    seed = F.sum(((F.col("name") == "leveloffset") & ~F.coalesce(relative, F.lit(False))).cast("int")).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
+    run = Window.partitionBy("doc_id", "name", "seed").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    added = F.sum(F.col("value").try_cast("int")).over(run)
+    return out.withColumn("seed", seed).withColumn("value", F.when(relative, added.cast("string")).otherwise(F.col("value"))).drop("seed")
 
 
 def attributes_at_end(entries: DataFrame, overrides: Column | None = None) -> DataFrame:
-    """doc_id and attrs: the last value of each name; hard overrides win over the document."""
+    """doc_id and attrs: the last value of each name, under ``precedence``."""
     latest = entries.groupBy("doc_id", "name").agg(F.max_by(F.struct("value", "op"), F.col("line_no")).alias("last")).where(F.col("last.op") == "set")
     out = latest.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("last.value").alias("value"))))).alias("attrs"))
-    return out if overrides is None else out.withColumn("attrs", F.map_concat(F.map_filter("attrs", lambda k, v: ~F.map_contains_key(overrides, k)), overrides))
+    return out if overrides is None else out.withColumn("attrs", precedence(F.col("attrs"), overrides))
+
+
+def _soft(overrides: Column) -> Column:
+    """Overrides that the document may change: those whose name or value ends in ``@``."""
+    return F.map_filter(overrides, lambda k, v: k.endswith("@") | F.coalesce(v.endswith("@"), F.lit(False)))
+
+
+def _bare(overrides: Column) -> Column:
+    named = F.transform_keys(overrides, lambda k, v: F.lower(F.btrim(k, F.lit("!@"))))
+    return F.transform_values(named, lambda k, v: F.regexp_replace(v, "@$", ""))
+
+
+def _unset(overrides: Column) -> Column:
+    """Names that overrides take away: ``!name``, ``name!``, or a null value."""
+    off = F.map_filter(overrides, lambda k, v: k.startswith("!") | F.rtrim(k, F.lit("@")).endswith("!") | v.isNull())
+    return F.transform(F.map_keys(off), lambda k: F.lower(F.btrim(k, F.lit("!@"))))
+
+
+def precedence(document: Column, overrides: Column) -> Column:
+    """The attributes that hold: hard overrides, then the document's, then soft overrides (``name@`` or a value that ends in ``@``). A hard ``!name`` keeps the name unset, a soft one until the document sets it."""
+    soft = _soft(overrides)
+    hard = F.map_filter(overrides, lambda k, v: ~F.map_contains_key(soft, k))
+    gone, weak = _unset(hard), _unset(soft)
+    set_soft = F.map_filter(_bare(soft), lambda k, v: ~F.array_contains(weak, k))
+    set_hard = F.map_filter(_bare(hard), lambda k, v: ~F.array_contains(gone, k))
+    own = F.map_filter(document, lambda k, v: ~F.array_contains(gone, k) & ~F.map_contains_key(set_hard, k))
+    beneath = F.map_filter(set_soft, lambda k, v: ~F.map_contains_key(own, k) & ~F.map_contains_key(set_hard, k))
+    return F.map_concat(beneath, own, set_hard)
+
+
+def locked(name, overrides: Column) -> Column:
+    """Whether a document may not change the attribute: a hard override sets or unsets it."""
+    n = F.lit(name) if isinstance(name, str) else name
+    soft = _soft(overrides)
+    hard = F.map_filter(overrides, lambda k, v: ~F.map_contains_key(soft, k))
+    return F.array_contains(F.transform(F.map_keys(hard), lambda k: F.lower(F.btrim(k, F.lit("!@")))), F.lower(n))
+
+
+def leading_blanks(rows: DataFrame) -> DataFrame:
+    """doc_id, skipped: blank lines at the start of each document."""
+    said = F.min(F.when(F.col("text") != "", F.col("line_no")))
+    return rows.groupBy("doc_id").agg(F.coalesce(said - 1, F.count(F.lit(1))).cast("int").alias("skipped"))
+
+
+def without_leading_blanks(rows: DataFrame) -> DataFrame:
+    said = F.max((F.col("text") != "").cast("int")).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("said", said).where("said = 1").drop("said")
+
+
+def lines_until(rows: DataFrame, terminator: str | None = None, break_on_blank: bool = False, break_on_continuation: bool = False, keep_last: bool = False, skip_comments: bool = False) -> DataFrame:
+    """The lines of each document up to the first that ends it: the terminator, a blank one, or a lone ``+``, as asked for; that line itself with ``keep_last``. Comment lines are left out with ``skip_comments``."""
+    ends = F.lit(False)
+    if terminator is not None:
+        ends = ends | (F.col("text") == terminator)
+    if break_on_blank:
+        ends = ends | (F.col("text") == "")
+    if break_on_continuation:
+        ends = ends | (F.col("text") == "+")
+    before = F.coalesce(F.sum(ends.cast("int")).over(_by_line().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.withColumns({"ended": before, "ends": ends}).where((F.col("ended") == 0) & (~F.col("ends") | F.lit(keep_last))).drop("ended", "ends")
+    return out.where(~F.col("text").rlike(r"^//(?!/)")) if skip_comments else out
+
+
+def expanded_tabs(text, size: int) -> Column:
+    """Tabs as blanks up to the next stop of ``size`` columns, line by line."""
+    return kernel("string")(lambda t: "\n".join(x.expandtabs(size) for x in t.split("\n")))(text)
 
 
 def reindented(text: Column, indent: int = 0) -> Column:

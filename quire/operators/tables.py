@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COLSPEC = r"^(?:(\d+(?:\.\d*)?|(?:\d*\.)?\d+)\*)?([<^>](?:\.[<^>])?|(?:[<^>]?\.)?[<^>])?(\d+%?|~)?([a-z])?$"
-CELLSPEC = r"(?:(\d+(?:\.\d*)?|(?:\d*\.)?\d+)([*+]))?([<^>](?:\.[<^>])?|(?:[<^>]?\.)?[<^>])?([a-z])?$"
 #: Alignment marks and style letters.
 ALIGN = {"<": "left", ">": "right", "^": "center"}
 VALIGN = {"<": "top", ">": "bottom", "^": "middle"}
 STYLES = {"d": "none", "s": "strong", "e": "emphasis", "m": "monospaced", "h": "header", "l": "literal", "v": "verse", "a": "document"}
-MOST_COLUMNS = 1000
 CELLS = "table_id string, part string, row int, col int, colspan int, rowspan int, halign string, valign string, style string, text string"
 
 
@@ -26,17 +23,20 @@ def column_specs(spec: Column) -> Column:
     entries = F.when(plain.rlike(r"^\d+$"), counted).otherwise(F.split(plain, F.when(plain.contains(","), F.lit(",")).otherwise(F.lit(";"))))
 
     def parsed(e: Column) -> Column:
-        ok = e.rlike(COLSPEC)
-        part = lambda k: F.when(ok, F.regexp_extract(e, COLSPEC, k)).otherwise("")
-        align, width = part(2), part(3)
+        # in this order, each of them optional: repeats and a star, alignment, a dot and vertical alignment, a width, a style
+        times, rest = F.regexp_extract(e, r"^(\d+)\*", 1), F.regexp_replace(e, r"^\d+\*", "")
+        halign, rest = F.regexp_extract(rest, "^([<^>])", 1), F.regexp_replace(rest, "^[<^>]", "")
+        valign, rest = F.regexp_extract(rest, r"^\.([<^>])", 1), F.regexp_replace(rest, r"^\.[<^>]", "")
+        width, rest = F.regexp_extract(rest, r"^(~|\d+)%?", 1), F.regexp_replace(rest, r"^(?:~|\d+%?)", "")
+        ok = rest.rlike("^[a-z]?$")
+        part = lambda c: F.when(ok, c)
         one = F.struct(
-            F.when(width == "~", -1).otherwise(F.coalesce(F.regexp_replace(width, "%", "").try_cast("int"), F.lit(1))).alias("width"),
-            F.coalesce(_lookup(ALIGN, F.regexp_extract(align, r"^([<^>])", 1)), F.lit("left")).alias("halign"),
-            F.coalesce(_lookup(VALIGN, F.regexp_extract(align, r"\.([<^>])$", 1)), F.lit("top")).alias("valign"),
-            F.coalesce(_lookup(STYLES, part(4)), F.lit("none")).alias("style"),
+            F.when(ok & (width == "~"), -1).otherwise(F.coalesce(part(width).try_cast("int"), F.lit(1))).alias("width"),
+            F.coalesce(_lookup(ALIGN, part(halign)), F.lit("left")).alias("halign"),
+            F.coalesce(_lookup(VALIGN, part(valign)), F.lit("top")).alias("valign"),
+            F.coalesce(_lookup(STYLES, part(rest)), F.lit("none")).alias("style"),
         )
-        times = F.coalesce(F.nullif(part(1), F.lit("")).try_cast("int"), F.lit(1))
-        return F.array_repeat(one, F.least(times, F.lit(MOST_COLUMNS)))
+        return F.array_repeat(one, F.coalesce(part(times).try_cast("int"), F.lit(1)))
 
     return F.flatten(F.transform(entries, parsed))
 
@@ -55,6 +55,34 @@ def column_widths(rows: DataFrame, table: str = "table_id", order: str = "idx",
     return placed.withColumn("pcwidth", F.when(last, F.round(F.lit(100.0) - others, 4)).otherwise(F.col("share"))).drop("share")
 
 
+class Spec:
+    """What stands before a cell's mark: ``3*`` (copies) or ``2.3+`` (columns and rows that it spans), then alignment, a dot and vertical alignment, and a style letter."""
+
+    def __init__(self, text: str):
+        rest, number = text, ""
+        while rest and (rest[0].isdigit() or rest[0] == "."):
+            if rest[0] == "." and rest[1:2] in ALIGN:
+                break
+            number, rest = number + rest[0], rest[1:]
+        mark = rest[:1] if number and rest[:1] in ("*", "+") else ""
+        rest = rest[len(mark) :]
+        wide, _, high = number.partition(".")
+        self.copies = int(wide) if mark == "*" and wide.isdigit() else 1
+        self.wide, self.high = (int(wide or 1), int(high or 1)) if mark == "+" else (1, 1)
+        self.halign = ALIGN.get(rest[:1])
+        rest = rest[1:] if self.halign else rest
+        self.valign = VALIGN.get(rest[1:2]) if rest[:1] == "." else None
+        rest = rest[2:] if self.valign else rest
+        self.style = STYLES.get(rest) if rest else None
+        self.valid = (not number or bool(mark)) and number.count(".") <= 1 and (len(rest) == 0 or len(rest) == 1 and rest.islower())
+
+
+def trailing_spec(body: str) -> str:
+    """The specification that ends a cell's text, for the next cell: its last word (or all of it), if it is one."""
+    last = body[max(body.rfind(c) for c in " \t\n") + 1 :]
+    return last if last and Spec(last).valid else ""
+
+
 def split_records(text: str, fmt: str, separator: str | None = None):
     """Rows of (text, spec) of a table's text; PSV yields one row of all cells, as its rows follow from the column count."""
     import re
@@ -102,13 +130,12 @@ def split_records(text: str, fmt: str, separator: str | None = None):
             at += 1 + len(sep)
         elif text.startswith(sep, at):
             body = "".join(held)
-            found = re.search(r"(?:^|(?<=[ \t\n]))" + CELLSPEC, body) if spec is not None or body.strip() else re.match("$", "")
-            mark = found[0] if found else ""
+            mark = trailing_spec(body)
             if spec is not None:
                 cells.append((body[: len(body) - len(mark)].strip(), spec))
                 spec = mark
             else:
-                spec = body.strip() if re.fullmatch(CELLSPEC[:-1], body.strip()) else ""
+                spec = body.strip() if Spec(body.strip()).valid else ""
             held = []
             at += len(sep)
         else:
@@ -121,8 +148,6 @@ def split_records(text: str, fmt: str, separator: str | None = None):
 
 def grid(records: list, columns: int, fmt: str):
     """(row, col, colspan, rowspan, spec, text) of each placed cell, and problems. Spans take the next free columns; rows that overflow or stay unfinished are dropped."""
-    import re
-
     out, problems = [], []
     if fmt != "psv":
         for r, cells in enumerate(records):
@@ -139,14 +164,9 @@ def grid(records: list, columns: int, fmt: str):
         return sum(x[2] for x in now) + covered.get(row, 0) >= columns
 
     for text, spec in records[0] if records else []:
-        found = re.fullmatch(CELLSPEC[:-1], spec)
-        size, kind = (found[1], found[2]) if found else (None, None)
-        times = int(size) if kind == "*" and size and size.isdigit() else 1
-        wide, high = 1, 1
-        if kind == "+" and size:
-            a, _, b = size.partition(".")
-            wide, high = int(a or 1), int(b or 1)
-        for _ in range(times):
+        marks = Spec(spec)
+        wide, high = marks.wide, marks.high
+        for _ in range(marks.copies):
             if col + wide + covered.get(row, 0) > columns:
                 problems.append((row, "cell exceeds the columns"))
                 continue
@@ -162,6 +182,29 @@ def grid(records: list, columns: int, fmt: str):
     return out, problems
 
 
+def cells_of(text: str, fmt: str, columns: int = 0, header=None, footer=False, separator: str | None = None):
+    """(cells, columns) of a table's text: part, row, col, colspan, rowspan, halign, valign, style, text of each; columns 0: as many as the first row has; header None: if the first line stands alone before a blank one."""
+    records = split_records(text, fmt, separator)
+    if not columns:
+        first = records[0] if records else []
+        if fmt == "psv":
+            line = next((x for x in text.split("\n") if x.strip()), "")
+            first = split_records(line, "psv", separator)[0]
+        columns = sum(m.wide * m.copies for m in (Spec(spec) for _, spec in first))
+    columns = max(columns, 1)
+    placed, _ = grid(records, columns, fmt)
+    rows = 1 + max((c[0] for c in placed), default=-1)
+    if header is None:
+        lines = text.split("\n")
+        header = rows > 1 and bool(lines[0].strip()) and len(lines) > 1 and not lines[1].strip()
+    out = []
+    for r, c, wide, high, spec, body in placed:
+        marks = Spec(spec)
+        part = "head" if header and r == 0 else "foot" if footer and r == rows - 1 and rows > 1 + bool(header) else "body"
+        out.append((part, r, c, wide, high, marks.halign, marks.valign, marks.style, body))
+    return out, columns
+
+
 def parse(tables: DataFrame) -> DataFrame:
     """Cells of tables given as table_id, text, format (psv, csv, tsv, dsv), columns (0: by the first row), header and footer (booleans).
 
@@ -171,46 +214,53 @@ def parse(tables: DataFrame) -> DataFrame:
     kind = CELLS
 
     def run(batches):
-        import re
-
         import pyarrow as pa
 
         names = [x.split()[0] for x in kind.split(", ")]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             out = []
             for key, text, fmt, columns, header, footer in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                text = text or ""
-                records = split_records(text, fmt)
-                if not columns:
-                    first = records[0] if records else []
-                    if fmt == "psv":
-                        line = next((x for x in text.split("\n") if x.strip()), "")
-                        first = split_records(line, "psv")[0]
-                    columns = len(first)
-                    for _, spec in first:
-                        m = re.match(r"(\d+)(?:\.\d+)?\+", spec)
-                        columns += int(m[1]) - 1 if m else 0
-                        m = re.match(r"(\d+)\*", spec)
-                        columns += int(m[1]) - 1 if m else 0
-                cells, _ = grid(records, max(columns, 1), fmt)
-                rows = 1 + max((c[0] for c in cells), default=-1)
-                if header is None:  # implicit: the first line directly, a blank one after it
-                    lines = text.split("\n")
-                    header = rows > 1 and bool(lines[0].strip()) and len(lines) > 1 and not lines[1].strip()
-                for r, c, wide, high, spec, body in cells:
-                    m = re.fullmatch(CELLSPEC[:-1], spec)
-                    align = (m[3] if m else None) or ""
-                    part = "head" if header and r == 0 else "foot" if footer and r == rows - 1 and rows > 1 + bool(header) else "body"
-                    level = re.search(r"\.([<^>])$", align)
-                    out.append((key, part, r, c, wide, high, ALIGN.get(align[:1]), VALIGN.get(level[1]) if level else None, STYLES.get(m[4]) if m and m[4] else None, body))
+                out += [(key, *cell) for cell in cells_of(text or "", fmt, columns or 0, header, bool(footer))[0]]
             columns_out = list(zip(*out, strict=True)) or [()] * len(names)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_out, kinds, strict=True)], names=names)
 
     given = tables.select(F.col("table_id").cast("string"), "text", "format", F.col("columns").cast("int"), "header", "footer")
     return given.mapInArrow(run, kind)
 
 
+def column_list(spec: str) -> list[dict]:
+    """The columns of a specification as ``column_specs`` has them, for the block parser."""
+    plain = spec.replace(" ", "")
+    if not plain:
+        return []
+    entries = [""] * int(plain) if plain.isdigit() else plain.split("," if "," in plain else ";")
+    out = []
+    for e in entries:
+        times, star, rest = e.partition("*")
+        times, rest = (int(times), rest) if star and times.isdigit() else (1, e)
+        halign = ALIGN.get(rest[:1])
+        rest = rest[1:] if halign else rest
+        valign = VALIGN.get(rest[1:2]) if rest[:1] == "." else None
+        rest = rest[2:] if valign else rest
+        style = STYLES.get(rest[-1:]) if rest[-1:].isalpha() else None
+        width = rest[:-1] if rest[-1:].isalpha() else rest
+        width = width.rstrip("%")
+        one = {"width": -1 if width == "~" else int(width) if width.isdigit() else 1, "halign": halign or "left", "valign": valign or "top", "style": style or "none"}
+        out += [one] * times
+    return out
+
+
+def shares(widths: list[int]) -> list[float]:
+    """Percentages of widths, cut to four places, the last taking the balance; automatic ones (-1) share what the others leave."""
+    import math
+
+    fixed, autos = sum(w for w in widths if w >= 0), sum(w < 0 for w in widths)
+    cut = lambda x: math.floor(round(x * 10000, 6)) / 10000
+    out = [cut((100 - fixed) / autos) if w < 0 else cut(w * 100 / (100 if autos else fixed)) for w in widths]
+    return [*out[:-1], round(100 - sum(out[:-1]), 4)] if out else out
+
+
 def counts(cells: DataFrame) -> DataFrame:
     """table_id, rows, columns."""
     return cells.groupBy("table_id").agg((F.max("row") + 1).alias("rows"), F.max(F.col("col") + F.col("colspan")).alias("columns"))

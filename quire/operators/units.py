@@ -83,11 +83,11 @@ def stepped(events: DataFrame) -> DataFrame:
 
 
 def intervals(units: DataFrame, order: str = "pos") -> DataFrame:
-    """Adds end_pos (exclusive, null at the end): a unit ends where the next of its own or a shallower depth starts."""
+    """Adds end_pos (exclusive, null at the end): a unit ends where the next of its own or a shallower depth starts. One window per depth that occurs."""
+    deepest = units.agg(F.max("depth")).head()[0] or 0
     after = Window.partitionBy("doc_id").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    depths = 6
-    firsts = [F.first(F.when(F.col("depth") <= d, F.col(order)), True).over(after) for d in range(depths)]
-    return units.withColumn("end_pos", F.coalesce(*[F.when(F.col("depth") == d, firsts[d]) for d in range(depths)]))
+    ends = [F.when(F.col("depth") == d, F.first(F.when(F.col("depth") <= d, F.col(order)), True).over(after)) for d in range(int(deepest) + 1)]
+    return units.withColumn("end_pos", F.coalesce(*ends))
 
 
 def sequence_check(units: DataFrame, group: list[str], order: str, number: str) -> DataFrame:

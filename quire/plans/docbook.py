@@ -48,6 +48,12 @@ def xml(inside: Column) -> Column:
         .when(c == "verse", F.concat(F.lit("<blockquote>\n<literallayout>"), text, F.lit("</literallayout>\n</blockquote>\n")))
         .when(c == "admonition", _tag(F.lower(F.coalesce("style", F.lit("note"))), F.concat(para, inside)))
         .when(c == "image", F.concat(F.lit('<informalfigure>\n<mediaobject>\n<imageobject>\n<imagedata fileref="'), F.try_element_at("attrs", F.lit("target")), F.lit('"/>\n</imageobject>\n<textobject><phrase>'), F.try_element_at("attrs", F.lit("alt")), F.lit("</phrase></textobject>\n</mediaobject>\n</informalfigure>\n")))
+        .when(c == "table", F.concat(F.when(F.col("title").isNotNull(), F.concat(F.lit("<table>\n<title>"), "title_xml", F.lit("</title>\n"))).otherwise("<informaltable>\n"), F.lit('<tgroup cols="'), F.coalesce(F.try_element_at("attrs", F.lit("colcount")), F.lit("1")), F.lit('">\n'), inside, F.lit("</tgroup>\n"), F.when(F.col("title").isNotNull(), "</table>\n").otherwise("</informaltable>\n")))
+        .when(c == "table_part", F.concat(F.lit("<t"), F.col("style"), F.lit(">\n"), inside, F.lit("</t"), F.col("style"), F.lit(">\n")))
+        .when(c == "table_row", F.concat(F.lit("<row>\n"), inside, F.lit("</row>\n")))
+        .when(c == "table_cell", F.concat(F.lit('<entry align="'), F.coalesce(F.try_element_at("attrs", F.lit("halign")), F.lit("left")), F.lit('" valign="'), F.coalesce(F.try_element_at("attrs", F.lit("valign")), F.lit("top")), F.lit('"'), F.when(F.map_contains_key("attrs", F.lit("rowspan")), F.concat(F.lit(' morerows="'), (F.try_element_at("attrs", F.lit("rowspan")).cast("int") - 1).cast("string"), F.lit('"'))).otherwise(""), F.lit(">"), F.when(F.col("source").isNotNull() & (F.col("source") != ""), F.when(F.col("style") == "header", text).otherwise(F.concat(F.lit("<simpara>"), text, F.lit("</simpara>")))).otherwise(inside), F.lit("</entry>\n")))
+        .when(c.isin("audio", "video"), F.concat(F.lit("<informalfigure>\n<mediaobject>\n<"), c, F.lit("object>\n<"), c, F.lit('data fileref="'), F.try_element_at("attrs", F.lit("target")), F.lit('"/>\n</'), c, F.lit("object>\n</mediaobject>\n</informalfigure>\n")))
+        .when(c == "stem", F.concat(F.lit("<informalequation>\n<mathphrase>"), raw, F.lit("</mathphrase>\n</informalequation>\n")))
         .when(c == "pass", F.coalesce("source", F.lit("")))
         .when(c == "page_break", F.lit("<?asciidoc-pagebreak?>\n"))
         .when(c == "thematic_break", F.lit("<?asciidoc-hr?>\n"))

@@ -28,6 +28,34 @@ def _classes(*names) -> Column:
     return F.concat(F.lit('<div class="'), F.array_join(F.concat(F.array(*names), "roles"), " "), F.lit('"'), F.when(F.col("id").isNotNull(), F.concat(F.lit(' id="'), "id", F.lit('"'))).otherwise(""), F.lit(">\n"))
 
 
+def _attr(name: str) -> Column:
+    return F.try_element_at("attrs", F.lit(name))
+
+
+def _table(inside: Column) -> Column:
+    width = F.when(F.map_contains_key("attrs", F.lit("autowidth-option")), "fit-content").otherwise("stretch")
+    classes = F.array_join(F.concat(F.array(F.lit("tableblock"), F.concat(F.lit("frame-"), F.coalesce(_attr("frame"), F.lit("all"))), F.concat(F.lit("grid-"), F.coalesce(_attr("grid"), F.lit("all")))), F.array(width), F.when(_attr("stripes").isNotNull(), F.array(F.concat(F.lit("stripes-"), _attr("stripes")))).otherwise(F.array().cast("array<string>")), "roles"), " ")
+    ident = F.when(F.col("id").isNotNull(), F.concat(F.lit(' id="'), "id", F.lit('"'))).otherwise("")
+    caption = F.when(F.col("title").isNotNull(), F.concat(F.lit('<caption class="title">'), F.col("title_html"), F.lit("</caption>\n"))).otherwise("")
+    sized = F.transform(F.split(_attr("colwidths"), " "), lambda w: F.concat(F.lit('<col style="width: '), w, F.lit('%;">\n')))
+    columns = F.when(_attr("colwidths").isNotNull(), F.array_join(sized, "")).otherwise(F.repeat(F.lit("<col>\n"), F.coalesce(_attr("colcount").try_cast("int"), F.lit(0))))
+    return F.concat(F.lit("<table"), ident, F.lit(' class="'), classes, F.lit('">\n'), caption, F.lit("<colgroup>\n"), columns, F.lit("</colgroup>\n"), inside, F.lit("</table>\n"))
+
+
+def _cell(inside: Column) -> Column:
+    style = F.coalesce("style", F.lit("none"))
+    tag = F.when(style == "header", "th").otherwise("td")
+    span = lambda name: F.when(_attr(name).isNotNull(), F.concat(F.lit(f' {name}="'), _attr(name), F.lit('"'))).otherwise("")
+    around = lambda name: F.concat(F.lit(f'<p class="tableblock"><{name}>'), F.regexp_replace("text", r"\n{2,}", f'</{name}></p>\n<p class="tableblock"><{name}>'), F.lit(f"</{name}></p>"))
+    plain = F.concat(F.lit('<p class="tableblock">'), F.regexp_replace("text", r"\n{2,}", '</p>\n<p class="tableblock">'), F.lit("</p>"))
+    body = (
+        F.when(F.coalesce("source", F.lit("")) == "", F.when(style == "document", F.concat(F.lit('<div class="content">'), inside, F.lit("</div>"))).otherwise(""))
+        .when(style == "header", F.col("text")).when(style == "strong", around("strong")).when(style == "emphasis", around("em")).when(style == "monospaced", around("code"))
+        .when(style == "literal", F.concat(F.lit('<div class="literal"><pre>'), F.col("raw"), F.lit("</pre></div>"))).when(style == "verse", F.concat(F.lit('<div class="verse">'), F.col("text"), F.lit("</div>"))).otherwise(plain)
+    )
+    return F.concat(F.lit("<"), tag, F.lit(' class="tableblock halign-'), F.coalesce(_attr("halign"), F.lit("left")), F.lit(" valign-"), F.coalesce(_attr("valign"), F.lit("top")), F.lit('"'), span("colspan"), span("rowspan"), F.lit(">"), body, F.lit("</"), tag, F.lit(">\n"))
+
+
 def html(inside: Column) -> Column:
     """The node's HTML around that of its children."""
     text, raw = F.col("text"), F.col("raw")
@@ -64,6 +92,11 @@ def html(inside: Column) -> Column:
         .when(c == "example", box("exampleblock"))
         .when(c == "open", box("openblock"))
         .when(c == "image", F.concat(_classes(F.lit("imageblock")), F.lit('<div class="content">\n<img src="'), F.try_element_at("attrs", F.lit("target")), F.lit('" alt="'), F.try_element_at("attrs", F.lit("alt")), F.lit('">\n</div>\n'), _title(), F.lit("</div>\n")))
+        .when(c == "table", _table(inside))
+        .when(c == "table_part", F.concat(F.lit("<t"), F.col("style"), F.lit(">\n"), inside, F.lit("</t"), F.col("style"), F.lit(">\n")))
+        .when(c == "table_row", F.concat(F.lit("<tr>\n"), inside, F.lit("</tr>\n")))
+        .when(c == "table_cell", _cell(inside))
+        .when(c.isin("audio", "video"), F.concat(F.lit('<div class="'), c, F.lit('block">\n<div class="content">\n<'), c, F.lit(' src="'), _attr("target"), F.lit('"'), F.when(F.map_contains_key("attrs", F.lit("width")), F.concat(F.lit(' width="'), _attr("width"), F.lit('"'))).otherwise(""), F.when(F.map_contains_key("attrs", F.lit("autoplay-option")), " autoplay").otherwise(""), F.when(F.map_contains_key("attrs", F.lit("nocontrols-option")), "").otherwise(" controls"), F.when(F.map_contains_key("attrs", F.lit("loop-option")), " loop").otherwise(""), F.lit(">\nYour browser does not support the "), c, F.lit(" tag.\n</"), c, F.lit(">\n</div>\n</div>\n")))
         .when(c == "thematic_break", F.lit("<hr>\n"))
         .when(c == "page_break", F.lit('<div style="page-break-after: always;"></div>\n'))
         .otherwise(inside)
@@ -79,8 +112,19 @@ def assemble(made: DataFrame, name: str) -> DataFrame:
     return events.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event")), lambda r: r["piece"]), "").alias(name))
 
 
+def verbatim(source: Column) -> Column:
+    """The text of a listing: special characters as entities, callouts at lines' ends as numbers."""
+    shown = lambda x: inline.restore_callouts(let(x["text"], special_characters), x["marks"])
+    return F.when(source.contains("<"), let(inline.extract_callouts(source), shown)).otherwise(special_characters(source))
+
+
+def ready(nodes: DataFrame) -> DataFrame:
+    """Nodes with text, raw and title_html, what their passes make of source and title."""
+    source = F.replace(F.coalesce("source", F.lit("")), F.lit(HERE), F.lit(""))
+    listing = F.col("context").isin("listing", "literal")
+    return nodes.withColumns({"text": F.when(~listing, inline.normal(source)), "raw": F.when(listing, verbatim(source)).otherwise(special_characters(source)), "title_html": inline.normal("title")})
+
+
 def to_html(nodes: DataFrame) -> DataFrame:
     """doc_id, html: the embedded HTML of each document."""
-    source = F.replace(F.coalesce("source", F.lit("")), F.lit(HERE), F.lit(""))
-    ready = nodes.withColumns({"text": inline.normal(source), "raw": let(source, special_characters), "title_html": inline.normal("title")})
-    return assemble(ready.select("doc_id", "ord", html(F.lit(HERE)).alias("made")), "html")
+    return assemble(ready(nodes).select("doc_id", "ord", html(F.lit(HERE)).alias("made")), "html")
