@@ -182,6 +182,28 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def gathered(batches, most: int, column: int = 1):
+    """Batches put together while their column's bytes stay within ``most``: fewer, larger ones where each has costs of its own."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + n > most:
+            yield whole()
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += n
+    if held:
+        yield whole()
+
+
 #: Bytes of texts that an Arrow function works on at a time: their words and numbers take many times that.
 SLICE_BYTES = 2 << 20
 

@@ -15,12 +15,14 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, shared_table, small_batches, text_or_empty, tidy, worker_cache
+from .common import gathered, row_slices, shared_table, small_batches, text_or_empty, tidy, worker_cache
 
 WINDOW = 2048
 END = 1
 #: Marks that may end a word.
 MARKS = ".,!?;:"
+#: Bytes of texts that are encoded at a time: the more, the more often a word is met again.
+SLICE = 6 << 20
 #: Words held by a Python worker.
 CACHED = 200_000
 #: Windows whose pieces one merging task takes.
@@ -223,10 +225,9 @@ def pack_online(docs: DataFrame, tokenizer: str, window: int, most_open: int) ->
         memo = worker_cache("words", tokenizer, lambda: word_ids(tokenizer))
         base = TaskContext.get().partitionId() << 32
         windows, rows, made, held = Windows(most_open, window), [], 0, 0
-        for batch in batches:
+        for batch in gathered(batches, SLICE):
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = [0] if not len(texts) else _sizes(texts)
-            for a, b in row_slices(sizes) if len(texts) else ():
+            for a, b in row_slices(_sizes(texts), SLICE):
                 ids, bounds = token_arrays(texts.slice(a, b - a), memo)
                 for k in range(b - a):
                     begin, end = int(bounds[k]), int(bounds[k + 1])
