@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, jaccard, langid, packing, quality
 from quire.llm.common import shared_table
+from quire.llm.families import small
 from quire.llm.queries import tokenizer_path
 
 #: Rows that go, up to which their numbers are broadcast (8 bytes each); beyond, they are joined by a shuffle.
@@ -36,12 +37,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by a number of their own, so ids may be null or occur twice; of a group, the row of the least id stays (null ids last, then by number)."""
     record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
     numbered = shared_table(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), record), "numbered")
-    classes = jaccard.similar_documents(numbered.select("row", "record.text"), "row", "text").select(F.col("id").alias("of"), "component_id")
-    linked = shared_table(classes.join(classes.groupBy(F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.col("component_id") == F.col("c")).select("of", "component_id"), "linked")
+    classes = jaccard.similar_documents(numbered.select("row", "record.text"), "row", "text")
+    linked = shared_table(classes.where("linked").select(F.col("id").alias("of"), "component_id"), "linked")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     members = numbered.select("row", "id").join(linked, F.col("row") == F.col("of"))
-    stays = members.groupBy("component_id").agg(F.min(place)["row"].alias("stays"))
-    gone = shared_table(linked.join(stays, "component_id").where("of <> stays").select(F.col("of").alias("gone")), "gone")
+    stays = shared_table(members.groupBy(F.col("component_id").alias("class")).agg(F.min(place)["row"].alias("stays")), "stays")
+    gone = linked.join(small(stays), F.col("component_id") == F.col("class")).where("of <> stays").select(F.col("of").alias("gone"))
+    gone = shared_table(gone, "gone")
     few = gone.count() <= ROWS_BROADCAST
     return numbered.join(F.broadcast(gone) if few else gone, F.col("row") == F.col("gone"), "left_anti").select("record.*")
 

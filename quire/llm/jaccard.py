@@ -350,7 +350,7 @@ def connecting_links(nodes, sets, other_nodes=None, other_sets=None):
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the least id reachable by links, its own included).
+    """One row per input row: id, n_shingles, component_id (the least id reachable by links, its own included), linked (whether it links with another row).
 
     Words are lower-cased (A-Z) and separated by space or tab to carriage
     return. Null texts and texts without words have an empty set and link
@@ -368,7 +368,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts_of = lambda postings: max(least, -(-int(postings) * 20 // PART_BYTES))
     counts = shared_counts(rows, frequent, parts_of(size * 5 / 16))
-    nodes = shared_table(owned.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("needed").alias("needed")), "node-ids")
+    nodes = shared_table(owned.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("needed").alias("needed"), (F.count(F.lit(1)) > 1).alias("copied")), "node-ids")
     able = nodes.join(counts, "node", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("needed"))
     able = shared_table(able.select("node", F.col("least").alias("able_id"), "n"), "candidates")
     count, total = able.agg(F.count(F.lit(1)), F.sum("n")).head()
@@ -390,6 +390,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = parts.join(nodes, "node")
     names = shared_table(named.groupBy(F.col("component").alias("of_component")).agg(F.min("least").alias("component_id")), "class-ids")
     of_node = parts.join(small(names), F.col("component") == F.col("of_component")).select(F.col("node").alias("linked"), F.col("component_id").alias("linked_id"))
-    of_node = nodes.join(of_node, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("of"), F.coalesce("linked_id", "least").alias("component_id"))
+    of_node = nodes.join(of_node, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("of"), F.coalesce("linked_id", "least").alias("component_id"), (F.col("copied") | F.col("linked").isNotNull()).alias("is_linked"))
     of_node = shared_table(of_node, "component-ids")
-    return owned.join(of_node, F.col("node") == F.col("of"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return owned.join(of_node, F.col("node") == F.col("of"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("is_linked", F.lit(False)).alias("linked"))
