@@ -38,7 +38,7 @@ QUOTES = [
     ("subscript", "~", "~", None, None, "<sub>", "</sub>"),
 ]
 
-#: Typographic replacements after special characters, in order: guard, pattern, result.
+#: Typographic replacements after special characters, in order: what they are for, pattern, result.
 REPLACEMENTS = [
     ("(C)", r"(?<!\\)\(C\)", "&#169;"),
     ("(R)", r"(?<!\\)\(R\)", "&#174;"),
@@ -94,15 +94,12 @@ def _quoted(rule: tuple):
     return applied
 
 
-def _replaced(guard: str, pattern: str, result: str):
-    return lambda t: F.when(t.contains(guard), F.regexp_replace(t, pattern, result)).otherwise(t)
-
-
 def replacements(x) -> Column:
+    """Typographic replacements, one after the other: without guards, as each text is one expression then and most texts that come here have one of the signs."""
     out = col(x)
-    for rule in REPLACEMENTS:
-        out = let(out, _replaced(*rule))
-    return let(out, lambda t: F.when(t.contains("\\"), F.regexp_replace(t, ESCAPED, "")).otherwise(t))
+    for _, pattern, result in REPLACEMENTS:
+        out = F.regexp_replace(out, pattern, result)
+    return F.regexp_replace(out, ESCAPED, "")
 
 
 def post_replacements(x, hardbreaks: bool = False) -> Column:

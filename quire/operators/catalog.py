@@ -152,3 +152,33 @@ def smallest_cover(reach: DataFrame, cost: DataFrame, forced: tuple = ()) -> lis
         if alone.isEmpty():
             chosen = rest
     return chosen
+
+
+def page_map(uses: DataFrame) -> DataFrame:
+    """doc_id, map: JSON of the pages' labels and of each block (at) with its first and last page: uses has doc_id, at, page (from 0), label."""
+    blocks = uses.groupBy("doc_id", "at").agg(F.min("page").alias("first"), F.max("page").alias("last"))
+    listed = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "at"))).alias("b"))
+    labels = uses.groupBy("doc_id", "page").agg(F.min("label").alias("label")).groupBy(F.col("doc_id").alias("l_doc")).agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "label"))), lambda x: x["label"]).alias("labels"))
+    joined = listed.join(labels, F.col("doc_id") == F.col("l_doc"))
+    ordered = F.transform("b", lambda x: F.struct(x["at"].alias("at"), x["first"].alias("first"), x["last"].alias("last")))
+    return joined.select("doc_id", F.to_json(F.struct("labels", ordered.alias("blocks"))).alias("map"))
+
+
+def index_links(entries: DataFrame) -> DataFrame:
+    """Index entries with see_id and see_also_ids: the ids of the primary entries (doc_id, t1, entry_id) whose plain terms they point to; null where there is none."""
+    primary = entries.where("t2 IS NULL").groupBy(F.col("doc_id").alias("p_doc"), F.col("t1").alias("p_term")).agg(F.min("entry_id").alias("p_id"))
+    seen = entries.join(primary, (F.col("doc_id") == F.col("p_doc")) & (F.col("see") == F.col("p_term")), "left").withColumn("see_id", F.col("p_id")).drop("p_doc", "p_term", "p_id")
+    also = seen.select("doc_id", "entry_id", F.explode("see_also").alias("term")).join(primary, (F.col("doc_id") == F.col("p_doc")) & (F.col("term") == F.col("p_term")))
+    listed = also.groupBy(F.col("doc_id").alias("a_doc"), F.col("entry_id").alias("a_id")).agg(F.sort_array(F.collect_set("p_id")).alias("see_also_ids"))
+    return seen.join(listed, (F.col("doc_id") == F.col("a_doc")) & (F.col("entry_id") == F.col("a_id")), "left").drop("a_doc", "a_id")
+
+
+def collation_key(term) -> "F.Column":
+    """What index entries are sorted by: capitals A-Z as small letters, then the term as it is."""
+    t = F.col(term) if isinstance(term, str) else term
+    return F.struct(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("folded"), t.alias("term"))
+
+
+def sorted_entries(entries: DataFrame, group: str = "doc_id", term: str = "term") -> DataFrame:
+    """Adds place (from 1) of each entry in its document's index."""
+    return entries.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(collation_key(term))))

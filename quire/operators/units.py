@@ -128,3 +128,10 @@ def callers(notes: DataFrame, reset: list[str], order: str) -> DataFrame:
     from quire.functions.text import to_alpha
 
     return notes.withColumn("caller", to_alpha(F.row_number().over(Window.partitionBy(*reset).orderBy(order))))
+
+
+def best(readings: DataFrame, key: list[str], score: str, order: str) -> DataFrame:
+    """The reading of highest score of each key, the first in order among equals: one aggregate, sums of which meet in each task first."""
+    kept = [c for c in readings.columns if c not in key]
+    found = readings.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(F.col(score), -F.col(order))).alias("best"))
+    return found.select(*key, "best.*")

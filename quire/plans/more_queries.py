@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import layout, text
@@ -23,10 +22,12 @@ def innermost_unit(spark, sf_dir):
     return units.innermost(e.where("event_id % 10 <> 0").select("event_id", "user_id", "ts"), starts, "user_id", "ts").select("event_id", "unit_id")
 
 
-@query("SELECT conv_id, turn, CASE WHEN p IS NULL OR turn = p + 1 THEN NULL WHEN turn = p THEN 'repeat' WHEN turn < p THEN 'backward' ELSE 'gap' END AS problem FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE (conv_id + turn) % 5 > 0)")
+@query("SELECT conv_id, turn, number, CASE WHEN p IS NULL OR number = p + 1 THEN NULL WHEN number = p THEN 'repeat' WHEN number < p THEN 'backward' ELSE 'gap' END AS problem FROM (SELECT conv_id, turn, number, lag(number) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, turn + CASE WHEN (conv_id + turn) % 5 = 0 THEN 2 WHEN (conv_id + turn) % 7 = 0 THEN -1 ELSE 0 END AS number FROM conversations))")
 def sequence_check(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where((F.col("conv_id") + F.col("turn")) % 5 > 0)
-    return units.sequence_check(c, ["conv_id"], "turn", "turn").select("conv_id", "turn", "problem")
+    """Turns with some of their numbers moved up or down."""
+    at = F.col("conv_id") + F.col("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("number", F.col("turn") + F.when(at % 5 == 0, 2).when(at % 7 == 0, -1).otherwise(0))
+    return units.sequence_check(c, ["conv_id"], "turn", "number").select("conv_id", "turn", "number", "problem")
 
 
 @query("SELECT c_custkey AS passage_id, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderkey BETWEEN c_custkey AND c_custkey * 50")
@@ -35,16 +36,16 @@ def passages(spark, sf_dir):
     return units.passages(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), c, "o_custkey", "o_orderkey").select("passage_id", "o_orderkey")
 
 
-@query("SELECT o_custkey AS doc_id, o_orderkey, chr((96 + (row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey)))::INT) AS caller FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT doc_id, o_orderkey, CASE WHEN n <= 26 THEN chr((96 + n)::INT) ELSE chr((96 + (n - 1) // 26)::INT) || chr((97 + (n - 1) % 26)::INT) END AS caller FROM (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders)")
 def note_callers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").withColumnRenamed("o_custkey", "doc_id")
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "doc_id")
     return units.callers(o, ["doc_id", "o_orderstatus"], "o_orderkey").select("doc_id", "o_orderkey", "caller")
 
 
 @query("SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 4 AS number FROM orders")
 def stepped_markers(spark, sf_dir):
     """Orders of a customer as bare markers after a labelled one."""
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("@5 first\n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("o_orderkey")), 2, 10000), lambda k: F.concat(F.lit("@ order "), k.cast("string"))), "\n")).alias("text"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.concat(F.lit("@5 first\n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("o_orderkey")), F.lit(2), F.size(F.collect_list("o_orderkey"))), lambda k: F.concat(F.lit("@ order "), k.cast("string"))), "\n")).alias("text"))
     return units.stepped(units.markers(preprocess.lines(o))).select("doc_id", "number")
 
 
@@ -139,23 +140,34 @@ def data_uris(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", readers.data_uri(F.lit("a/b.PNG"), F.encode("n_name", "UTF-8")).alias("uri"))
 
 
-@query("SELECT l_orderkey AS doc_id, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS blocks FROM lineitem GROUP BY 1")
+@query("""
+WITH b AS (SELECT l_orderkey AS doc_id, l_suppkey % 3 AS k, min(l_linenumber) AS f, max(l_linenumber) AS t FROM lineitem GROUP BY 1, 2),
+c AS (SELECT doc_id, string_agg('{"at":"b' || k || '","first":' || f || ',"last":' || t || '}', ',' ORDER BY f, t, k) AS body FROM b GROUP BY doc_id),
+p AS (SELECT l_orderkey AS doc_id, string_agg('"p' || l_linenumber || '"', ',' ORDER BY l_linenumber) AS labels FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1)
+SELECT c.doc_id, '{"labels":[' || labels || '],"blocks":[' || body || ']}' AS map FROM c JOIN p ON p.doc_id = c.doc_id
+""")
 def page_map(spark, sf_dir):
-    """First and last page of each block."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last"), F.count(F.lit(1)).alias("blocks"))
+    """Pages of blocks as JSON: orders as documents, lines as pages, suppliers as blocks."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    return catalog.page_map(l.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("b"), (F.col("l_suppkey") % 3).cast("string")).alias("at"), F.col("l_linenumber").alias("page"), F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("label")))
 
 
-@query("SELECT doc_id, sha256(text) AS digest, length(text) AS letters, len(string_split(text, chr(10))) AS lines FROM documents")
+@query(r"SELECT event_id, sha256('made TIME' || chr(10) || regexp_replace('Last updated today', '(?m)^Last updated .*$', 'Last updated TIME') || event_type) AS digest FROM (SELECT event_id, chr(10) || event_type AS event_type FROM events)")
 def checksums(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").cast("bigint").alias("letters"), F.size(F.split("text", "\n")).cast("bigint").alias("lines"))
+    """Outputs that say when they were made, by what is the same from run to run."""
+    out = F.concat(F.lit("made "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC\nLast updated today\n"), "event_type")
+    return table(spark, sf_dir, "events").select("event_id", text.golden(out).alias("digest"))
+
+
+#: Codes and the patterns of their messages.
+RULES = [("overdue", "^1-"), ("soon", "^[23]-"), ("late", "^4")]
 
 
-@query("SELECT o_orderkey, o_orderpriority[1:1]::BIGINT AS number, CASE WHEN o_orderpriority = '1-URGENT' THEN 'error' WHEN o_orderpriority = '2-HIGH' THEN 'warning' ELSE 'info' END AS severity FROM orders")
+@query("SELECT o_orderkey, o_orderpriority[1:1]::BIGINT AS number, CASE WHEN o_orderpriority LIKE '1-%' THEN 'overdue' WHEN o_orderpriority LIKE '2-%' OR o_orderpriority LIKE '3-%' THEN 'soon' WHEN o_orderpriority LIKE '4%' THEN 'late' ELSE 'other' END AS code FROM orders WHERE o_orderstatus = 'F'")
 def diagnostics(spark, sf_dir):
-    """Messages classified by pattern, with a leading number."""
-    p = F.col("o_orderpriority")
-    severity = F.when(p.rlike("^1-URGENT$"), "error").when(p.rlike("^2-HIGH$"), "warning").otherwise("info")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.leading_int(p).alias("number"), severity.alias("severity"))
+    """Messages with the code of the first rule that matches, those of one severity."""
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "severity")
+    return select.diagnostics(o, RULES, severity="F", message="o_orderpriority").select("o_orderkey", text.leading_int("o_orderpriority").alias("number"), "code")
 
 
 @query("SELECT l_orderkey AS doc_id, l_linenumber AS ordinal, count(*) AS callouts FROM lineitem GROUP BY 1, 2")
@@ -186,7 +198,8 @@ def hyphenated_words(spark, sf_dir):
     return layout.hyphenate(words, ["1na", "n2d", "a1t", "1te", "e1r", ".in1", "1tion."])
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS place FROM lineitem")
+@query("SELECT l_orderkey, arg_max(l_partkey, l_quantity * 100000000 - l_partkey) AS l_partkey FROM lineitem GROUP BY 1")
 def best_reading(spark, sf_dir):
-    """Readings ranked by score, ties alike."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", F.rank().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_quantity"))).alias("place"))
+    """The reading of highest score, the lowest part among equals."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")  # noqa: E741
+    return units.best(l, ["l_orderkey"], "l_quantity", "l_partkey").select("l_orderkey", "l_partkey")

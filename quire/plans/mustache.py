@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.kernel import kernel
+from quire.operators import select
 from quire.plans import render
 
+#: Kinds of nodes that have none below them.
+LEAVES = {"paragraph", "listing", "literal", "pass", "stem", "verse", "image", "audio", "video", "thematic_break", "page_break", "floating_title", "dlist_term"}
+
 
 def parse_template(text: str) -> list:
     """A template as a tree: strings, and (kind, name, parts) of its tags. A tag of a section, comment or partial that stands alone takes its line along."""
@@ -134,4 +138,10 @@ def to_html(nodes: DataFrame, *converters, override=None) -> DataFrame:
     ready = render.ready(nodes)
     usual = render.html(F.lit(render.HERE))
     made = composite(*[c.column() for c in converters], *([override(F, usual)] if override else []), usual)
-    return render.assemble(ready.select("doc_id", "ord", made.alias("made")), "html")
+    out = ready.withColumn("made", made)
+    # what a template does not let in is left out, with all below it
+    closed = [n.partition(":")[0] for c in converters for n, t in c.templates.items() if "content" not in t]
+    parents = [n for n in closed if n not in LEAVES]
+    if parents:
+        out = select.pruned(out, out.where(F.col("context").isin(parents) & ~F.col("made").contains(render.HERE)))
+    return render.assemble(out.select("doc_id", "ord", "made"), "html")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.durable import durable
 from quire.functions import inline
 from quire.functions.kernel import kernel
 from quire.functions.text import let, section_id, strip_tags
@@ -174,12 +175,14 @@ ANCHOR = r"\[\[([\p{L}_:][\w:.-]*)(?:, *[^\]]+)?\]\]|anchor:([\p{L}_:][\w:.-]*)\
 
 def facts_and_nodes(nodes: DataFrame, style: str = "basic", numbers: int = 0):
     """(section facts, footnote facts, nodes ready to be rendered): ids, numbers, captions, links, anchors and footnotes in their texts."""
-    facts = section_facts(nodes)
+    # several tables are made of the nodes and of their texts: both are written once
+    nodes = durable(nodes, "nodes")
+    facts = durable(section_facts(nodes), "sections")
     captioned = catalog.captions(nodes)
     texts = reference_texts(facts, captioned.select("doc_id", "id", "title", "caption").where("id IS NOT NULL"), style)
     anchors = nodes.where(F.col("source").contains("[[")).select("doc_id", F.explode(inline.anchors("source")).alias("a")).select("doc_id", "a.id", F.coalesce("a.text", F.concat(F.lit("["), F.col("a.id"), F.lit("]"))).alias("text"))
     known = texts.unionByName(anchors).where("id IS NOT NULL").groupBy("doc_id", "id").agg(F.min("text").alias("text")).groupBy(F.col("doc_id").alias("k_doc")).agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("known"))
-    made = render.ready(captioned)
+    made = durable(render.ready(captioned), "texts")
     placed = facts.select(F.col("doc_id").alias("s_doc"), F.col("node_id").alias("s_node"), "sect_id", F.col("number").alias("sect_number"))
     joined = made.join(placed, (F.col("doc_id") == F.col("s_doc")) & (F.col("node_id") == F.col("s_node")), "left").join(known, F.col("doc_id") == F.col("k_doc"), "left")
     names = F.coalesce("known", F.create_map().cast("map<string,string>"))
@@ -188,6 +191,7 @@ def facts_and_nodes(nodes: DataFrame, style: str = "basic", numbers: int = 0):
     numbered = F.when((F.col("context") == "section") & (F.col("level") <= numbers) & F.col("sect_number").isNotNull(), F.concat("sect_number", F.lit(" "), "title_html"))
     title = F.coalesce(numbered, F.when(F.col("caption").isNotNull() & (F.col("context") != "section"), F.concat("caption", "title_html")), F.col("title_html"))
     out = joined.withColumns({"text": text, "title_html": title, "id": F.coalesce("id", "sect_id")}).drop("s_doc", "s_node", "sect_id", "sect_number", "k_doc", "known", "number", "caption")
+    out = durable(out, "linked")
     notes = footnote_facts(out)
     return facts, notes, _with_footnotes(out, notes)
 

@@ -150,18 +150,19 @@ def attribute_entries(spark, sf_dir):
 
 
 WORDS = "list_filter(string_split(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'), ' '), lambda w: w <> '')"
+#: Marks, and what they open and close, in the order in which a text's words take them.
 MARKS = [("*", "<strong>", "</strong>"), ("_", "<em>", "</em>"), ("`", "<code>", "</code>"), ("#", "<mark>", "</mark>"), ("**", "<strong>", "</strong>"), ("__", "<em>", "</em>"), ("``", "<code>", "</code>"), ("##", "<mark>", "</mark>"), ("^", "<sup>", "</sup>"), ("~", "<sub>", "</sub>")]
-_MARKED = " || ' ' || ".join(f"'{o}' || coalesce(w[{i + 1}], 'x') || '{c}'" for i, (_, o, c) in enumerate(MARKS))
+_MARKED = "CASE (i - 1) % 10 " + " ".join(f"WHEN {i} THEN '{o}' || w[i] || '{c}'" for i, (_, o, c) in enumerate(MARKS)) + " END"
 
 
-@query(f"WITH x AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, {_MARKED} || ' &#8220;' || coalesce(w[11], 'x') || ' ' || coalesce(w[12], 'x') || '&#8221; &#8216;' || coalesce(w[13], 'x') || '&#8217; <strong class=\"lead\">' || coalesce(w[14], 'x') || '</strong> a*b*c' AS html FROM x")
+@query(f"WITH x AS (SELECT doc_id, {WORDS} AS w FROM documents), y AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM x) SELECT doc_id, string_agg({_MARKED}, ' ' ORDER BY i) || ' <strong class=\"lead\">x</strong> a*b*c' AS html FROM y GROUP BY doc_id")
 def quote_marks(spark, sf_dir):
+    """All words of each text, marked in turns."""
     w = F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z]+", " "), " "), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
-    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("x"))
-    parts = [F.concat(F.lit(m), word(i), F.lit(m)) for i, (m, _, _) in enumerate(MARKS)]
-    parts += [F.concat(F.lit('"`'), word(10), F.lit(" "), word(11), F.lit('`"')), F.concat(F.lit("'`"), word(12), F.lit("`'")), F.concat(F.lit("[.lead]*"), word(13), F.lit("*")), F.lit("a*b*c")]
-    return d.select("doc_id", inline.quotes(F.concat_ws(" ", *parts)).alias("html"))
+    mark = F.array(*[F.lit(m) for m, _, _ in MARKS])
+    marked = F.transform(w, lambda x, i: F.concat(F.get(mark, i % len(MARKS)), x, F.get(mark, i % len(MARKS))))
+    d = table(spark, sf_dir, "documents").where(F.size(w) > 0)
+    return d.select("doc_id", inline.quotes(F.concat(F.array_join(marked, " "), F.lit(" [.lead]*x* a*b*c"))).alias("html"))
 
 
 @query("SELECT p_partkey, p_name || '&#169; &#174; &#8482;&#8201;&#8212;&#8201;' || p_brand || '&#8230;&#8203; it&#8217;s &#8594; &#8656; &copy; &amp; a&#8212;&#8203;b (C)' AS html FROM part")
@@ -311,11 +312,11 @@ def index_catalog(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'), ' ')) AS w FROM documents WHERE lang = 'en')
+WITH w AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g'), ' ')) AS w FROM documents)
 SELECT upper(w[1:1]) AS letter, count(*) AS uses, count(DISTINCT lower(w)) AS terms FROM w WHERE w <> '' GROUP BY 1
 """)
 def index_letters(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split(F.regexp_replace("text", "[^a-zA-Z]+", " "), " ")).alias("w")).where("w <> ''")
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace("text", "[^a-zA-Z]+", " "), " ")).alias("w")).where("w <> ''")
     return w.groupBy(catalog.index_letter("w").alias("letter")).agg(F.count(F.lit(1)).alias("uses"), F.countDistinct(F.lower("w")).alias("terms"))
 
 
