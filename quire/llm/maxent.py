@@ -309,11 +309,22 @@ def _contexts(words, bounds):
     return tuple((x >> np.uint64(34)).astype(np.int32) for x in mixed)
 
 
+def distinct(codes):
+    """(place of the first of each distinct code, which of them each code is)."""
+    import numpy as np
+    import pandas as pd
+
+    which, kinds = pd.factorize(codes)
+    first = np.empty(len(kinds), np.int64)
+    first[which[::-1]] = np.arange(len(codes))[::-1]
+    return first, which
+
+
 def _by_class(truth):
     """(class, indices of its tokens) of what occurs."""
     import numpy as np
 
-    by = np.argsort(truth, kind="stable")
+    by = np.argsort(truth.astype(np.int16), kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], truth[by][1:] != truth[by][:-1], [True]])) if len(by) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield int(truth[by[a]]), by[a:b]
@@ -340,9 +351,9 @@ def train(rows: DataFrame, model: Model) -> None:
                 for a in range(0, len(place), BATCH):
                     some = np.arange(a, min(a + BATCH, len(place)))
                     # contexts are few beside tokens: a row for each, its share times its tokens, less the classes that came
-                    kinds, first, which = np.unique(features[0][some] * model.rows + features[1][some], return_index=True, return_inverse=True)
+                    first, which = distinct(features[0][some] * model.rows + features[1][some])
                     chosen, scale = [f[some[first]] for f in features], 1 / len(some) ** 0.5
-                    slope = np.exp(model.log_shares(weights, chosen)) * np.bincount(which, minlength=len(kinds))[:, None].astype(np.float32)
+                    slope = np.exp(model.log_shares(weights, chosen)) * np.bincount(which, minlength=len(first))[:, None].astype(np.float32)
                     slope -= np.bincount(which * model.kinds_of_class + truth[some], minlength=slope.size).reshape(slope.shape)
                     for f in chosen:
                         by = np.argsort(f, kind="stable")
@@ -404,14 +415,10 @@ def text_scores(model: Model, tokens):
     words, place = hashes[codes], model.places(hashes)[codes]
     features, truth, slots, contexts = model.features(place, bounds), model.classes[place], model.slots_of(place, words), _contexts(words, bounds)
     score = np.empty(len(place))
-    kinds, first, which = np.unique(features[0] * model.rows + features[1], return_index=True, return_inverse=True)
-    by, at = np.argsort(which, kind="stable"), np.arange(0, len(kinds) + BATCH, BATCH)
-    cuts = np.searchsorted(which[by], at)
-    for a, low, high in zip(at[:-1], cuts[:-1], cuts[1:], strict=True):
-        some = by[low:high]
-        score[some] = model.log_shares(model.weights, [f[first[a : a + BATCH]] for f in features])[which[some] - a, truth[some]]
-    for a in range(0, len(place), 2 * BATCH):
-        some = np.arange(a, min(a + 2 * BATCH, len(place)))
+    for a in range(0, len(place), 4 * BATCH):
+        some = np.arange(a, min(a + 4 * BATCH, len(place)))
+        first, which = distinct(features[0][some] * model.rows + features[1][some])
+        score[some] = model.log_shares(model.weights, [f[some[first]] for f in features])[which, truth[some]]
         for kind, own in _by_class(truth[some]):
             if len(model.members[kind]) > 1:
                 shares, _ = model.member_shares(model.inside, kind, [c[some[own]] for c in contexts])
