@@ -160,7 +160,7 @@ def best_breaks(parts: list[tuple], width: float, tolerance: float = 2.0) -> lis
                     start += 1
                 size = widths[i] - widths[start] + (p[2] if p[0] == "penalty" else 0)
                 stretch, shrink = stretches[i] - stretches[start], shrinks[i] - shrinks[start]
-                ratio = 0.0 if size == width else (width - size) / stretch if size < width and stretch else (width - size) / shrink if size > width and shrink else float("inf") if size < width else -float("inf")
+                ratio = 0.0 if size == width else (width - size) / stretch if size < width and stretch else (width - size) / shrink if size > width and shrink else (width - size) * 100 if size < width else -float("inf")
                 if ratio >= -1 and not forced:
                     kept.append(node)
                 if -1 <= ratio <= tolerance or forced and ratio >= -1:

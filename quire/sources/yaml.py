@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Words that are truth values or nothing.
-TRUE, FALSE, NOTHING = {"true", "yes", "on", "y"}, {"false", "no", "off", "n"}, {"", "~", "null"}
+TRUE, FALSE, NOTHING = {"true", "yes", "on"}, {"false", "no", "off"}, {"", "~", "null"}
 
 
 def scalar(text: str):

@@ -78,7 +78,7 @@ def test_catalog(spark):
 def test_units_and_layout(spark):
     assert one(spark, units.folio_key(F.lit("12vb"))) == [12, 1, 2] and one(spark, units.line_key(F.lit("1094a12"))) == [1094, 1, 12] and one(spark, units.int_key(F.lit("x"))) is None
     table = layout.pattern_table([".hy3p", "he2n", "hena4", "hen5at", "1na", "n2at", "1tio", "2io", "o2n"])
-    assert layout.break_points("hyphenation", table) == [2, 6, 7] or layout.break_points("hyphenation", table)
+    assert layout.break_points("hyphenation", table) == [2, 6]
     assert layout.first_fit("aa bb cc dddddd".split(), 5) == [0, 0, 1, 2]
     assert layout.total_fit("aaa bb cc ddddd".split(), 6) == [0, 1, 1, 2]
 
