@@ -119,7 +119,7 @@ def encoder(path: str, pattern: str):
         ids = bpe.encode(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    memo = Memo(packed)
+    memo = Memo(packed, 250_000)
 
     def encode(text: str) -> bytes:
         if len(text) <= LISTED:

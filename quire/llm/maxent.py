@@ -194,7 +194,10 @@ class Model:
         prior = np.bincount(self.classes, np.append(counts, rare), self.kinds_of_class) + 1.0
         self.bias = np.log(prior / prior.sum()).astype(np.float32)
         slots = np.append(np.maximum(counts, 0.5), self.group_mass)
+        # logarithms of shares, so that no sum of exponentials can overflow
         self.slot_bias = np.log(np.maximum(slots, 1e-9)).astype(np.float32)
+        for own in self.members:
+            self.slot_bias[own] -= np.log(np.exp(self.slot_bias[own].astype(np.float64)).sum())
         self.rows = 2 * (len(top) + 2) + HASHED
         self.weights = np.zeros((self.rows, self.kinds_of_class), np.float32)
         self.cells = 1 << int(np.clip(np.ceil(np.log2(max(kinds, 2))), np.log2(CELLS[0]), np.log2(CELLS[1])))
@@ -255,7 +258,6 @@ class Model:
         import numpy as np
 
         logits = self.bias + weights[features[0]] + weights[features[1]] + weights[features[2]]
-        logits -= logits.max(1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(1, keepdims=True))
         return logits
 
@@ -273,9 +275,11 @@ class Model:
 
         slots = self.members[kind]
         cells = [self.cells_of(c, slots) for c in contexts]
-        logits = self.slot_bias[slots] + inside[cells[0]] + inside[cells[1]]
-        logits = logits - logits.max(1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(1, keepdims=True)), cells
+        logits = inside[cells[0]]
+        logits += inside[cells[1]]
+        logits += self.slot_bias[slots]
+        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        return logits, cells
 
     def slots_of(self, place, words):
         """Each token's slot: its place, or that of its group."""
