@@ -84,12 +84,12 @@ def _quoted(rule: tuple):
         done = t
         if opens.startswith("<"):
             tag = opens.strip("<>")
-            named = "span" if tag == "mark" else tag
-            done = F.regexp_replace(done, rf"{lead}\[\.([^\]#.\s]+)\]{m}{inside}{c}{follow}", f'$1<{named} class="$2">$3</{named}>')
-            done = F.regexp_replace(done, rf"{lead}\[#([^\]#.\s]+)\]{m}{inside}{c}{follow}", f'$1<{tag} id="$2">$3</{tag}>')
+            span = "span" if tag == "mark" else tag
+            classed = F.regexp_replace(t, rf"{lead}\[\.([^\]#.\s]+)\]{m}{inside}{c}{follow}", f'$1<{span} class="$2">$3</{span}>')
+            done = F.when(t.contains("]" + mark), F.regexp_replace(classed, rf"{lead}\[#([^\]#.\s]+)\]{m}{inside}{c}{follow}", f'$1<{tag} id="$2">$3</{tag}>')).otherwise(t)
         done = F.regexp_replace(done, f"{lead}{m}{inside}{c}{follow}", f"$1{opens}$2{closes}")
-        done = F.regexp_replace(done, rf"\\(?={m}{inside}{c}{follow})", "")
-        return F.when(t.contains(mark), done).otherwise(t)
+        whole = F.when(t.contains("\\"), F.regexp_replace(done, rf"\\(?={m}{inside}{c}{follow})", "")).otherwise(done)
+        return F.when(t.contains(mark), whole).otherwise(t)
 
     return applied
 

@@ -36,22 +36,20 @@ SPECIAL = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;
 
 
 @query("""
-WITH h AS (SELECT n_nationkey AS doc_id, n_name, c_custkey, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey),
-k AS (SELECT doc_id, n_name, c_custkey, c_name, row_number() OVER (PARTITION BY doc_id, c_custkey % 3 ORDER BY c_custkey) AS ord, c_custkey % 3 AS g FROM h),
+WITH k AS (SELECT c_custkey // 50 AS doc_id, c_custkey, c_name, row_number() OVER (PARTITION BY c_custkey // 50, c_custkey % 3 ORDER BY c_custkey) AS ord, c_custkey % 3 AS g FROM customer),
 g AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS nth FROM (SELECT DISTINCT doc_id, g FROM k))
 SELECT doc_id, 1 AS level, nth || '.' AS sectnum, 'Group ' || g AS title FROM g
 UNION ALL SELECT k.doc_id, 2, nth || '.' || ord || '.', c_name FROM k JOIN g ON g.doc_id = k.doc_id AND g.g = k.g
 """)
 def section_outline(spark, sf_dir):
-    """Flagship: numbered tables of contents of documents made of nations, groups and customers."""
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    c = c.select(F.col("n_nationkey").alias("doc_id"), "n_name", "c_custkey", "c_name", (F.col("c_custkey") % 3).alias("g"))
-    item = F.array_sort(F.collect_list(F.struct("g", "c_custkey", "c_name")))
-    body = F.array_join(F.transform(item, lambda r: F.concat(F.lit("=== "), r["c_name"], F.lit("\nText.\n"))), "\n")
-    groups = c.groupBy("doc_id", "n_name", "g").agg(body.alias("body"))
-    part = F.concat(F.lit("== Group "), F.col("g").cast("string"), F.lit("\n\n"), "body")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", part.alias("part")))), lambda r: r["part"]), "\n")
-    docs = groups.groupBy("doc_id", "n_name").agg(F.concat(F.lit("= "), "n_name", F.lit("\n\n"), whole).alias("text"))
+    """Flagship: numbered tables of contents of documents made of groups of customers, fifty to a document, so that documents grow in number with the table."""
+    c = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 50).alias("doc_id"), "c_custkey", "c_name", (F.col("c_custkey") % 3).alias("g"))
+    body = lambda items: F.array_join(F.transform(items, lambda r: F.concat(F.lit("=== "), r["c_name"], F.lit("\nText.\n"))), "\n")
+    # one grouping by document: its groups are parts of one sorted list
+    listed = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("g", "c_custkey", "c_name"))).alias("all"))
+    part = lambda g: F.concat(F.lit("== Group "), g.cast("string"), F.lit("\n\n"), body(F.filter("all", lambda r: r["g"] == g)))
+    whole = F.array_join(F.transform(F.array_distinct(F.transform("all", lambda r: r["g"])), part), "\n")
+    docs = listed.select("doc_id", F.concat(F.lit("= Book "), F.col("doc_id").cast("string"), F.lit("\n\n"), whole).alias("text"))
     return sections.outline(preprocess.lines(docs), 2).select("doc_id", "level", "sectnum", "title")
 
 
