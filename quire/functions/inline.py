@@ -424,3 +424,41 @@ def default_passes(context, style=None, highlighter: bool = False) -> Column:
     names = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
     listing = F.when((s == "source") & F.lit(highlighter), names(("highlight", "callouts"))).otherwise(names(VERBATIM))
     return F.when(c == "listing", listing).when(c == "literal", names(VERBATIM)).when(c == "stem", names(VERBATIM[:1])).when(c.isin("pass", "comment", "table"), names(())).otherwise(names(NORMAL))
+
+
+def biblio_anchors(x) -> Column:
+    """Structs of id and label of ``[[[id,label]]]`` at the start of a bibliography's entries; the label is the id without one."""
+    found = F.regexp_extract_all(col(x), F.lit(r"\[\[\[([\p{L}_:][\w:.-]*(?:, *[^\]]+)?)\]\]\]"), F.lit(1))
+    return F.transform(found, lambda m: F.struct(F.substring_index(m, ",", 1).alias("id"), F.coalesce(F.nullif(F.btrim(F.regexp_extract(m, ", *(.+)$", 1)), F.lit("")), F.substring_index(m, ",", 1)).alias("label")))
+
+
+def inline_tree(html) -> Column:
+    """The inline elements of converted text: structs of id, parent (null at the top), kind, start and stop, their places in the text without its tags (in characters, entities counting one)."""
+    from quire.functions.kernel import kernel
+
+    def tree(t):
+        import html as entities
+        import re
+
+        out, opened, at, place = [], [], 0, 0
+        for m in re.finditer(r"<(/?)([a-zA-Z][\w-]*)([^<>]*?)(/?)>", t):
+            place += len(entities.unescape(t[at : m.start()]))
+            at = m.end()
+            if m[1]:
+                names = [out[k]["kind"] for k in opened]
+                if m[2] in names:
+                    while opened:
+                        k = opened.pop()
+                        out[k]["stop"] = place
+                        if out[k]["kind"] == m[2]:
+                            break
+                continue
+            out.append({"id": len(out), "parent": opened[-1] if opened else None, "kind": m[2], "start": place, "stop": place})
+            if not m[4] and m[2] not in ("br", "img", "hr", "input"):
+                opened.append(len(out) - 1)
+        place += len(entities.unescape(t[at:]))
+        for k in opened:
+            out[k]["stop"] = place
+        return out
+
+    return kernel("array<struct<id:int,parent:int,kind:string,start:int,stop:int>>")(tree)(html)

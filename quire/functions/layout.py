@@ -269,3 +269,46 @@ def table_widths(least: list[float], most: list[float], room: float) -> list[flo
         return [x * room / sum(least) for x in least] if sum(least) else list(least)
     spare, wish = room - sum(least), sum(most) - sum(least)
     return [a + spare * (b - a) / wish for a, b in zip(least, most, strict=True)]
+
+
+def hyphenator_for(tag: str, sets: dict[str, list[str]], aliases: dict[str, str] | None = None) -> dict[str, list[int]] | None:
+    """The pattern table of a language tag: of the tag itself, of what it is another name of, or of its first part; None without any."""
+    low = tag.lower().replace("_", "-")
+    for name in (low, (aliases or {}).get(low), low.partition("-")[0], (aliases or {}).get(low.partition("-")[0])):
+        if name and name in sets:
+            return pattern_table(sets[name])
+    return None
+
+
+def runs(markup: str) -> list[dict]:
+    """Inline markup as runs of text with their fonts: bold, italic, mono, raised (1 up, -1 down), link; entities are decoded, unknown elements pass their text on."""
+    import html
+    import re
+
+    out: list[dict] = []
+    state: list[tuple[str, dict]] = [("", {"bold": False, "italic": False, "mono": False, "raised": 0, "link": None})]
+    marks = {"strong": {"bold": True}, "b": {"bold": True}, "em": {"italic": True}, "i": {"italic": True}, "code": {"mono": True}, "sup": {"raised": 1}, "sub": {"raised": -1}}
+
+    def say(text: str) -> None:
+        if text:
+            now = state[-1][1]
+            if out and {k: v for k, v in out[-1].items() if k != "text"} == now:
+                out[-1]["text"] += text
+            else:
+                out.append({"text": text} | now)
+
+    at = 0
+    for m in re.finditer(r"<(/?)([a-zA-Z]+)([^<>]*?)(/?)>", markup):
+        say(html.unescape(markup[at : m.start()]))
+        at, name = m.end(), m[2].lower()
+        if name == "br":
+            say("\n")
+        elif m[1]:
+            depth = next((i for i in range(len(state) - 1, 0, -1) if state[i][0] == name), 0)
+            if depth:
+                del state[depth:]
+        elif not m[4]:
+            href = re.search(r'href="([^"]*)"', m[3])
+            state.append((name, state[-1][1] | marks.get(name, {}) | ({"link": html.unescape(href[1])} if href else {})))
+    say(html.unescape(markup[at:]))
+    return out

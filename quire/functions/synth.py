@@ -236,3 +236,28 @@ def coverage(reach: DataFrame, pool: str = "profile") -> DataFrame:
 def uncovered(reachable: DataFrame, reached: DataFrame) -> DataFrame:
     """Items that could be reached but are not."""
     return reachable.select("item").distinct().join(reached.select("item").distinct(), "item", "left_anti")
+
+
+def fuzz(spark, check, seeds: list[str], rounds: int = 4, each: int = 64, seed: int = 1, seconds: float = 60.0) -> DataFrame:
+    """text, problem: mutated texts for which ``check(text)`` gives a problem or raises. Every round mutates the texts of the round before that were found to be new to ``check`` (it may give ``new:<what>`` for those), in parallel, until the time is up."""
+    import time
+
+    began, pool, found = time.time(), list(seeds), []
+
+    def tried(text, s):
+        made = mutated_text(text, s)
+        try:
+            said = check(made)
+        except Exception as e:  # whatever is raised is what is looked for
+            said = type(e).__name__
+        return {"text": made, "problem": said}
+
+    for turn in range(rounds):
+        if not pool or time.time() - began > seconds:
+            break
+        rows = [(t, seed * 1_000_003 + turn * 1_000_000 + i * each + k) for i, t in enumerate(pool) for k in range(each)]
+        out = spark.createDataFrame(rows, "text string, seed long").select(kernel("struct<text:string,problem:string>")(tried)("text", "seed").alias("r")).select("r.*").where("problem IS NOT NULL")
+        said = out.dropDuplicates(["problem"]).limit(1000).collect()
+        found += [(r["text"], r["problem"]) for r in said if not r["problem"].startswith("new:")]
+        pool = [r["text"] for r in said if r["problem"].startswith("new:")]
+    return spark.createDataFrame(found, "text string, problem string").dropDuplicates(["problem"])

@@ -311,6 +311,8 @@ class Parser:
             if not now or now[:2] != (context, marker):
                 break
             start, text = self.at + 1, [now[2]]
+            ordered = ORDERED.match(self.lines[self.at])
+            given = ordered[1].rstrip(".)") if context == "olist" and not ordered[1].startswith(".") else None
             self.at += 1
             while self.at < len(self.lines) and self.lines[self.at] and self.lines[self.at] != "+" and not kind(self.lines[self.at]) and not ATTRLIST.match(self.lines[self.at]) and not DESCRIBED.match(self.lines[self.at]):
                 text.append(self.lines[self.at].strip())
@@ -320,6 +322,8 @@ class Parser:
             if checked and context == "ulist":
                 text[0] = text[0][4:]
                 attrs = {"checkbox": ""} | ({} if checked[1] == " " else {"checked": ""})
+            if given is not None:
+                attrs = attrs | {"ordinal": given}
             item = self.add(key, "list_item", start, {"attrs": attrs}, source="\n".join(text), marker=marker)
             while self.at < len(self.lines):
                 skip = self.at

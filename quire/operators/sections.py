@@ -121,3 +121,24 @@ def xref_text(style: str, signifier: Column, number: Column, title: Column) -> C
     full = F.concat_ws(" ", signifier, number)
     quoted = F.concat(F.lit("&#8220;"), title, F.lit("&#8221;"))
     return F.when(number.isNull(), title).otherwise({"full": F.concat(full, F.lit(", "), quoted), "short": full, "basic": title}[style])
+
+
+def marker_problems(nodes: DataFrame) -> DataFrame:
+    """doc_id, line_no, expected, found of items of ordered lists whose written number (or letter, or numeral) is not the one after that before; a list may begin with any."""
+    from quire.functions.text import from_roman
+
+    given = F.try_element_at("attrs", F.lit("ordinal"))
+    items = nodes.where(F.col("context") == "list_item").select("doc_id", "parent_id", "ord", "line_no", given.alias("given")).where("given IS NOT NULL")
+    by = Window.partitionBy("doc_id", "parent_id").orderBy("ord")
+    first = F.first("given").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    number = F.when(F.col("given").rlike(r"^\d+$"), F.col("given").try_cast("int")).when(first.rlike("^[ivxIVX]+$") & F.col("given").rlike("^[ivxIVX]+$"), from_roman("given")).otherwise(F.ascii(F.lower("given")) - 96)
+    numbered_ = items.withColumn("number", number)
+    before = F.lag("number").over(by)
+    return numbered_.withColumn("expected", before + 1).where("expected IS NOT NULL AND number <> expected").select("doc_id", "line_no", "expected", F.col("number").alias("found"))
+
+
+def list_numbers(style: str, ordinal) -> Column:
+    """How an item of an ordered list is marked: arabic, loweralpha, upperalpha, lowerroman, upperroman or lowergreek."""
+    n = F.col(ordinal) if isinstance(ordinal, str) else ordinal
+    greek = F.array(*[F.lit(chr(c)) for c in (*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA))])
+    return {"arabic": n.cast("string"), "loweralpha": to_alpha(n), "upperalpha": to_alpha(n, True), "lowerroman": F.lower(to_roman(n)), "upperroman": to_roman(n), "lowergreek": F.get(greek, (n - 1).cast("int"))}[style]

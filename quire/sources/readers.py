@@ -80,21 +80,11 @@ def resolve_path(base: Column, target: Column, jail: str | None = None) -> Colum
 
 
 def archive_entries(archives: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
-    """key, name, size, crc32, data: a row per entry of each ZIP archive, streamed per archive."""
+    """key, name, size, crc32, data: a row per entry of each ZIP archive; none for what is no archive or is broken."""
+    from quire.functions import codec
 
-    def run(batches):
-        import io
-        import zipfile
-
-        import pyarrow as pa
-
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for e in z.infolist():
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([e.filename], pa.string()), pa.array([e.file_size], pa.int64()), pa.array([e.CRC], pa.int64()), pa.array([z.read(e)], pa.binary())], names=["key", "name", "size", "crc32", "data"])
-
-    return archives.where(F.col(content).isNotNull()).select(F.col(key).cast("string"), content).mapInArrow(run, "key string, name string, size long, crc32 long, data binary")
+    found = archives.select(F.col(key).cast("string").alias("key"), F.explode(codec.zip_entries(content)).alias("e"))
+    return found.select("key", "e.name", F.octet_length("e.content").cast("bigint").alias("size"), F.crc32("e.content").alias("crc32"), F.col("e.content").alias("data"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -108,18 +98,94 @@ def page_map(text: Column) -> Column:
     return F.from_json(text, T.StructType([T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("at", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))]))
 
 
+def frame_of(data: bytes):
+    """(kind, width, height) from the header of a PNG, GIF or JPEG file, None for others; a JPEG's markers are walked one by one."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return "png", int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return "gif", int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    if data[:3] != b"\xff\xd8\xff":
+        return None
+    at = 2
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        marker = data[at + 1]
+        if marker == 0xFF:
+            at += 1
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return "jpeg", int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return "jpeg", None, None
+
+
 def image_sizes(files: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
-    """key, kind, width, height of PNG, GIF and JPEG files, from their first bytes' headers; null where unknown."""
-    data = F.col(content)
-    number = lambda start, n: F.conv(F.hex(F.substring(data, start, n)), 16, 10).cast("int")
-    swapped = lambda start: F.conv(F.concat(F.hex(F.substring(data, start + 1, 1)), F.hex(F.substring(data, start, 1))), 16, 10).cast("int")
-    head = F.hex(F.substring(data, 1, 8))
-    # a JPEG's frame header: marker C0-CF but C4, C8 and CC, then length, depth, height, width
-    frame = F.regexp_extract(F.hex(data), "^FFD8(?:FF(?:[0-9ABDEF].|C[48C])(?:..)*?)*?FFC[0-35-79-BD-F].{6}(.{8})", 1)
-    kind = F.when(head == "89504E470D0A1A0A", "png").when(head.startswith("47494638"), "gif").when(head.startswith("FFD8FF"), "jpeg")
-    hexed = lambda a: F.conv(F.nullif(F.substring(frame, a, 4), F.lit("")), 16, 10).cast("int")
-    return files.select(
-        F.col(key).alias("key"), kind.alias("kind"),
-        F.when(kind == "png", number(17, 4)).when(kind == "gif", swapped(7)).when(kind == "jpeg", hexed(5)).alias("width"),
-        F.when(kind == "png", number(21, 4)).when(kind == "gif", swapped(9)).when(kind == "jpeg", hexed(1)).alias("height"),
-    )
+    """key, kind, width, height, orientation (by EXIF; 1 without) of PNG, GIF and JPEG files; width and height as shown, turned where the orientation says so. Kind is null for others."""
+    from quire.functions import codec
+    from quire.functions.kernel import kernel
+
+    def facts(data):
+        found = frame_of(bytes(data))
+        return None if found is None else dict(zip(("kind", "width", "height"), found, strict=True))
+
+    read = files.select(F.col(key).alias("key"), kernel("struct<kind:string,width:int,height:int>")(facts)(content).alias("f"), codec.exif_orientation(content).alias("turn"))
+    turned = F.col("turn") > 4
+    return read.select("key", F.col("f.kind").alias("kind"), F.when(turned, F.col("f.height")).otherwise(F.col("f.width")).alias("width"), F.when(turned, F.col("f.width")).otherwise(F.col("f.height")).alias("height"), F.coalesce("turn", F.lit(1)).alias("orientation"))
+
+
+def by_path(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files with ``ord``, the arrays of their folders' names and then their own, by which they are ordered folder by folder."""
+    return files.withColumn("ord", F.split(F.col(path), "/"))
+
+
+def cases(spark: SparkSession, path: str, source: str = "input.adoc", settings: str = "case.yml") -> DataFrame:
+    """case (its folder), text, settings (JSON of its YAML file; null without) of each folder below a path that holds a source."""
+    import json
+
+    from quire.functions.kernel import kernel
+    from quire.sources import yaml
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", decode(F.col("content")).alias("text"))
+    folder_of, name = F.regexp_replace("path", r"/[^/]*$", ""), F.element_at(F.split("path", "/"), -1)
+    inputs = found.where(name == source).select(folder_of.alias("case"), "text")
+    more = found.where(name == settings).select(folder_of.alias("s_case"), kernel("string")(lambda t: json.dumps(yaml.load(t)))("text").alias("settings"))
+    return inputs.join(more, F.col("case") == F.col("s_case"), "left").drop("s_case")
+
+
+def heredocs(rows: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """key, nth, text: the documents that source files hold as heredocs (``<<~END`` to ``END``), without their common indentation."""
+    pattern = r"<<[~-]?['\"]?([A-Z_]+)['\"]?[^\n]*\n([\s\S]*?)\n[ \t]*\1\b"
+    found = rows.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2))).alias("nth", "text"))
+    from quire.operators.preprocess import reindented
+
+    return found.select("key", "nth", reindented(F.col("text")).alias("text"))
+
+
+def pool(spark: SparkSession, path: str, code: str = "*.{rb,py,dart}") -> DataFrame:
+    """path, nth (null: a file of its own), text: documents below a path, and those that code files hold."""
+    own = folder(spark, path).select("path", F.lit(None).cast("int").alias("nth"), "text")
+    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", code).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return own.unionByName(heredocs(files).withColumnRenamed("key", "path"))
+
+
+#: Safe modes, from all to nothing allowed.
+MODES = ("unsafe", "safe", "server", "secure")
+
+
+def safe_path(base: Column, target: Column, jail: str, mode: str = "safe") -> Column:
+    """A target as a safe mode has it: as it is written (unsafe), kept inside the jail by dropping what climbs out of it (safe and server), or null (secure, which includes nothing)."""
+    if mode not in MODES:
+        raise ValueError(f"unknown safe mode: {mode}")
+    if mode == "secure":
+        return F.lit(None).cast("string")
+    inside = resolve_path(base, target, None if mode == "unsafe" else jail)
+    if mode == "unsafe":
+        return inside
+    kept = F.array_join(F.filter(F.split(target, "/"), lambda p: ~p.isin("..", ".", "")), "/")
+    return F.coalesce(inside, F.concat(F.lit(jail.rstrip("/") + "/"), kept))
+
+
+def relative_path(path: Column, start: Column) -> Column:
+    """A path as seen from a folder, both without ``.`` and ``..``."""
+    a, b = F.split(F.btrim(path, F.lit("/")), "/"), F.split(F.btrim(start, F.lit("/")), "/")
+    same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(b) - same), F.slice(a, same + 1, F.size(a))), "/")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quire.plans import format_queries, more_queries  # noqa: F401  registers their queries
+from quire.plans import format_queries, more_queries, scalar_queries  # noqa: F401  registers their queries
 from quire.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
