@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, jaccard, langid, packing, quality
-from quire.llm.common import shared_table
+from quire.llm.common import discard, shared_table
 from quire.llm.families import small
 from quire.llm.queries import tokenizer_path
 
@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over all documents; each stage's result is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, shared_table(stage(spark, docs, sf_dir), "stage")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, ascii_lower, let, shared_table, text_or_empty
+from .common import SPACE_CLASS, SPACES, ascii_lower, discard, let, shared_table, text_or_empty
 
 QUOTED = r"^[ \t]*(?:>[ \t]*)+"
 
@@ -101,7 +101,8 @@ def reply_roots(parents: DataFrame, rows: DataFrame) -> DataFrame:
     while not state.where("up IS NOT NULL").isEmpty():
         above = state.select(F.col("row").alias("a_row"), F.col("up").alias("a_up"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"))
         joined = state.join(above, F.col("up") == F.col("a_row"), "left")
-        state = shared_table(joined.select("row", F.col("a_up").alias("up"), F.coalesce("a_root", "root").alias("root"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")), "replies")
+        before, state = state, shared_table(joined.select("row", F.col("a_up").alias("up"), F.coalesce("a_root", "root").alias("root"), (F.col("depth") + F.coalesce("a_depth", F.lit(0))).alias("depth")), "replies")
+        discard(before)
     return state.select("row", "root", "depth")
 
 

@@ -60,13 +60,22 @@ def _remove(spark: SparkSession, path: str) -> None:
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back: lineage ends there, and any executor can read it again.
 
-    The table lives until the application ends (the result is lazy and may be read at any time before).
+    The table lives until the application ends (the result is lazy and may be read at any time before), or until ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["quire_path"] = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a shared table, once all that was made of it is written."""
+    path = table.__dict__.get("quire_path")
+    if path:
+        _remove(table.sparkSession, path)
 
 
 def most_counted(table: DataFrame, most: int, n: str = "n") -> DataFrame:

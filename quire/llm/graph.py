@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import discard, shared_table
 
 #: Contracted edges (16 bytes each) up to which one task finishes the work.
 FINISH = 1_000_000
@@ -68,13 +68,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``node`` and ``component`` (its least node) for every node of an edge (a, b) of two different nodes, the least node itself included. No edges: no rows."""
     edges = shared_table(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long"), label)
     if edges.count() <= FINISH:
-        edges = shared_table(edges.coalesce(1).mapInArrow(_contracted, "a long, b long"), label)
+        parts, edges = edges, shared_table(edges.coalesce(1).mapInArrow(_contracted, "a long, b long"), label)
+        discard(parts)
     else:
         while True:
             # in a forest of stars no node has two parents, and none is both a parent and a child
             ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
             if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
                 break
-            edges = shared_table(_star(_star(edges, True), False).distinct(), label)
+            before, edges = edges, shared_table(_star(_star(edges, True), False).distinct(), label)
+            discard(before)
     whole = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return whole.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

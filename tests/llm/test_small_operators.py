@@ -357,6 +357,18 @@ def test_maxent_against_a_plain_loop(spark, monkeypatch):
         assert sum(p(w, one, two) for w in counts) + sum(p(w, one, two) for w in unknown.values()) == pytest.approx(1, abs=2e-3)
 
 
+def test_gathered_and_most_counted(spark):
+    from quire.llm import common
+
+    batches = [pa.RecordBatch.from_pydict({"id": [i], "text": ["x" * n]}) for i, n in enumerate([3, 4, 2, 9, 1, 0])]
+    assert [b.column(0).to_pylist() for b in common.gathered(batches, 9)] == [[0, 1, 2], [3], [4, 5]]
+    assert list(common.gathered([], 9)) == [] and [list(x) for x in common.row_slices([3, 4, 2, 9, 1], 9)] == [[0, 3], [3, 4], [4, 5]]
+    counts = common.shared_table(spark.createDataFrame([(i, 2**i) for i in range(12)], "word long, n long"), "counts")
+    assert sorted(r.word for r in common.most_counted(counts, 5).collect()) == [7, 8, 9, 10, 11] and common.most_counted(counts, 99).count() == 12
+    common.discard(counts)
+    common.discard(spark.range(1))
+
+
 def test_empty_tables(spark):
     docs = table(spark, [(1, "x", "en", "s")]).where("doc_id = 2")
     assert exact_dedup.mark_duplicates(docs).count() == 0
