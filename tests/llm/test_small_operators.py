@@ -77,6 +77,17 @@ def test_sharding_is_written_in_order_and_repeatable(spark, rows, tmp_path):
     assert [placed[0, i] for i in range(5)] != [(k, t) for k, t, *_ in rows[:5]]
 
 
+def test_many_equal_rows_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 100)
+    rows = [(1, "same")] * 1200 + [(1, "SAME")] * 3 + [(i, f"t{i}") for i in range(200)] + [(None, None)] * 300
+    key, size = F.struct("doc_id", F.lower("text")), sharding.text_size(F.col("text"))
+    deal = lambda n: sharding.shuffle_records(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), key, size, least_buckets=8).collect()
+    out = deal(3)
+    assert sorted(r.position for r in out) == list(range(len(rows))) and collections.Counter((r.record.doc_id, r.record.text) for r in out) == collections.Counter(rows)
+    assert max(collections.Counter(r.bucket for r in out).values()) < 400
+    assert {r.position: (r.record.doc_id, r.record.text) for r in deal(5)} == {r.position: (r.record.doc_id, r.record.text) for r in out}
+
+
 def brute_quality(text):
     t = text or ""
     w = [x for x in "".join(" " if c in SPACES else c for c in t).split(" ") if x]
