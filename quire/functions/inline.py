@@ -38,6 +38,12 @@ QUOTES = [
     ("subscript", "~", "~", None, None, "<sub>", "</sub>"),
 ]
 
+#: What stands in place of the first six in the older notation.
+OLD_QUOTES = [
+    QUOTES[0], QUOTES[1], ("double", "``", "''", ";:}", "", "&#8220;", "&#8221;"), ("emphasis", "'", "'", ";:}", "", "<em>", "</em>"), ("single", "`", "'", ";:}", "", "&#8216;", "&#8217;"),
+    ("monospaced", "++", "++", None, None, "<code>", "</code>"), ("monospaced", "+", "+", ";:}", "", "<code>", "</code>"), *QUOTES[6:],
+]
+
 #: Typographic replacements after special characters, in order: what they are for, pattern, result.
 REPLACEMENTS = [
     ("(C)", r"(?<!\\)\(C\)", "&#169;"),
@@ -58,14 +64,14 @@ ESCAPED = r"\\(?=\(C\)|\(R\)|\(TM\)|\.\.\.|`'|-&gt;|=&gt;|&lt;-|&lt;=|&amp;[a-zA
 
 
 def _literal(mark: str) -> str:
-    return "".join("\\" + c if c in "*^~`\"'_#" else c for c in mark).replace("\\_", "_").replace("\\#", "#").replace("\\`", "`").replace("\\'", "'").replace('\\"', '"')
+    return "".join("\\" + c if c in "*^~+`\"'_#" else c for c in mark).replace("\\_", "_").replace("\\#", "#").replace("\\`", "`").replace("\\'", "'").replace('\\"', '"')
 
 
-def quotes(x) -> Column:
-    """Formatting marks as tags. A mark may carry ``[.role]`` or ``[#id]``; a backslash before it leaves it as written."""
+def quotes(x, old: bool = False) -> Column:
+    """Formatting marks as tags, in the notation of today or the older one. A mark may carry ``[.role]`` or ``[#id]``; a backslash before it leaves it as written."""
     # each rule's input is bound once: it is looked at by a guard and, if the mark occurs, by the patterns
     out = col(x)
-    for rule in QUOTES:
+    for rule in OLD_QUOTES if old else QUOTES:
         out = let(out, _quoted(rule))
     return out
 
@@ -162,6 +168,27 @@ def images(x) -> Column:
     return F.regexp_replace(t, r"image:(?!:)((?:[^\s\[]*/)?([^\s\[/]+?)(?:\.[^.\s\[/]+)?)(\.[^.\s\[/]+)?\[\]", '<span class="image"><img src="$1$3" alt="$2"></span>')
 
 
+def icons(x) -> Column:
+    """``icon:name[]`` as its name in brackets, or its alt text."""
+    named = F.regexp_replace(col(x), r"icon:(?!:)([^\s\[]+)\[(?:[^\]]*,)?alt=([^\],]+)[^\]]*\]", '<span class="icon">[$2&#93;</span>')
+    return F.regexp_replace(named, r"icon:(?!:)([^\s\[]+)\[[^\]]*\]", '<span class="icon">[$1&#93;</span>')
+
+
+def mailto(x) -> Column:
+    """``mailto:a@b.c[Text,Subject,Body]``: a link to an address, with subject and body in it."""
+    t = col(x)
+    pattern = r"mailto:([^\s\[]+)\[([^\],]*)(?:,([^\],]*))?(?:,([^\]]*))?\]"
+    encoded = lambda v: F.replace(F.url_encode(F.btrim(v)), F.lit("+"), F.lit("%20"))
+
+    def link(m: Column) -> Column:
+        part = lambda k: F.regexp_extract(m, pattern, k)
+        query = F.concat_ws("&amp;", F.when(part(3) != "", F.concat(F.lit("subject="), encoded(part(3)))), F.when(part(4) != "", F.concat(F.lit("body="), encoded(part(4)))))
+        return F.concat(F.lit('<a href="mailto:'), part(1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.lit('">'), F.when(part(2) == "", part(1)).otherwise(part(2)), F.lit("</a>"))
+
+    made = lambda ms: F.array_join(F.zip_with(F.split(t, pattern), F.transform(ms, link), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(t.contains("mailto:"), let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), made)).otherwise(t)
+
+
 def links(x) -> Column:
     """URLs, alone or with ``[text]``, and ``link:target[text]``."""
     t = col(x)
@@ -217,7 +244,7 @@ def callouts(x) -> Column:
 
 def macros(x) -> Column:
     out = col(x)
-    for step in (kbd, buttons, menus, images, links, emails):
+    for step in (kbd, buttons, menus, images, icons, mailto, links, emails):
         out = let(out, step)
     return out
 
@@ -304,7 +331,7 @@ def restore_targets(x, targets: Column) -> Column:
 
 def formatted(x) -> Column:
     """``quotes`` that leaves targets as they are."""
-    return let(protect_targets(x), lambda p: restore_targets(let(p["text"], quotes), p["targets"]))
+    return let(protect_targets(x), lambda p: restore_targets(let(p["text"], lambda t: quotes(t)), p["targets"]))
 
 
 #: A text without any of these is the same after all passes.
@@ -347,7 +374,7 @@ def title(x) -> Column:
 
 def reftext(x) -> Column:
     """The text of a reference: special characters, formatting and replacements."""
-    return _chain(special_characters, quotes, replacements)(x)
+    return _chain(special_characters, lambda t: quotes(t), replacements)(x)
 
 
 def quoted_attributes(x) -> Column:

@@ -137,10 +137,10 @@ def attribute_references(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", inline.attributes(t, attrs).alias("kept"), inline.attributes(t, attrs, "drop").alias("dropped"))
 
 
-@query("SELECT o_custkey % 50 AS doc_id, count(*) AS entries, max(o_orderkey) AS last FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS doc_id, count(*) AS entries, max(o_orderkey) AS last FROM orders GROUP BY 1")
 def attribute_entries(spark, sf_dir):
     """The last of a document's entries of one name stands at its end."""
-    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit(":order: "), k.cast("string"))), "\n").alias("text"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit(":order: "), k.cast("string"))), "\n").alias("text"))
     entries = preprocess.attribute_entries(preprocess.lines(o))
     counts = entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"))
     ends = preprocess.attributes_at_end(entries).select(F.col("doc_id").alias("d"), F.col("attrs")["order"].cast("bigint").alias("last"))
@@ -183,7 +183,7 @@ def hard_breaks(spark, sf_dir):
 
 
 def _supplier_tables(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").cast("string").alias("k"), "s_name", F.col("s_nationkey").cast("string").alias("n"))
+    s = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 20).alias("nation"), F.col("s_suppkey").cast("string").alias("k"), "s_name", F.col("s_nationkey").cast("string").alias("n"))
 
     def build(fmt, line, head):
         lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("k").cast("int").alias("o"), line.alias("line")))), lambda r: r["line"]), "\n")
@@ -197,18 +197,18 @@ def _supplier_tables(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT s_nationkey AS n, s_suppkey AS k, s_name AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier),
+WITH s AS (SELECT s_suppkey // 20 AS t, s_nationkey AS n, s_suppkey AS k, s_name AS v, row_number() OVER (PARTITION BY s_suppkey // 20 ORDER BY s_suppkey) AS r FROM supplier),
 f AS (SELECT unnest(['csv', 'tsv', 'dsv', 'psv']) AS f),
-c AS (SELECT f || '-' || n AS table_id, 'body' AS part, r AS row, unnest([0, 1, 2]) AS col, unnest([k::VARCHAR, v || CASE f WHEN 'csv' THEN ' "x", y' || chr(10) || 'z' WHEN 'dsv' THEN ':d' WHEN 'psv' THEN '|p' ELSE '' END, n::VARCHAR]) AS text FROM s, f)
+c AS (SELECT f || '-' || t AS table_id, 'body' AS part, r AS row, unnest([0, 1, 2]) AS col, unnest([k::VARCHAR, v || CASE f WHEN 'csv' THEN ' "x", y' || chr(10) || 'z' WHEN 'dsv' THEN ':d' WHEN 'psv' THEN '|p' ELSE '' END, n::VARCHAR]) AS text FROM s, f)
 SELECT table_id, part, row::INT AS row, col::INT AS col, text FROM c
-UNION ALL SELECT f || '-' || n, 'head', 0, unnest([0, 1, 2]), unnest(['key', 'name', 'nation']) FROM (SELECT DISTINCT n FROM s), f
+UNION ALL SELECT f || '-' || t, 'head', 0, unnest([0, 1, 2]), unnest(['key', 'name', 'nation']) FROM (SELECT DISTINCT t FROM s), f
 """)
 def table_cells(spark, sf_dir):
     """Suppliers written as CSV, TSV, DSV and PSV tables with an implicit header, and read back."""
     return tables.parse(_supplier_tables(spark, sf_dir)).select("table_id", "part", "row", "col", "text")
 
 
-@query("SELECT f || '-' || s_nationkey AS table_id, (count(*) + 1)::INT AS rows, 3 AS columns FROM supplier, (SELECT unnest(['csv', 'tsv', 'dsv', 'psv']) AS f) GROUP BY 1")
+@query("SELECT f || '-' || s_suppkey // 20 AS table_id, (count(*) + 1)::INT AS rows, 3 AS columns FROM supplier, (SELECT unnest(['csv', 'tsv', 'dsv', 'psv']) AS f) GROUP BY 1")
 def table_sizes(spark, sf_dir):
     return tables.counts(tables.parse(_supplier_tables(spark, sf_dir)))
 

@@ -100,3 +100,48 @@ def test_attribute_fold():
     lines = [":x: 1", "a {x} {nope} {counter:n} {counter:n}", "{set:y:2}", "{y} {counter:l:az} {counter:l} {amp}", ":!x:", "{x}", r"\{y}"]
     assert fold(lines, {}) == ["a 1 {nope} 1 2", "2 az ba &", "{x}", "{y}"]
     assert fold(["{nope} a", "b {nope}"], {}, "drop-line") == [] and fold(["b {nope}"], {}, "drop") == ["b "]
+
+
+def test_fill_and_hyphenate_against_loops(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = [" ".join("x" * draw.randrange(1, 14) for _ in range(draw.randrange(0, 60))) for _ in range(40)] + [None, ""]
+
+    def loop(t, width):
+        lines = []
+        for w in (t or "").split():
+            if lines and len(lines[-1]) + 1 + len(w) <= width:
+                lines[-1] += " " + w
+            else:
+                lines.append(w)
+        return "\n".join(lines)
+
+    out = {r.doc_id: r for r in layout.fill(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 20).collect()}
+    assert all(out[i].filled == loop(t, 20) and out[i].lines == (loop(t, 20).count("\n") + 1 if t else 0) for i, t in enumerate(texts))
+
+    def brute(word, patterns):
+        marked, digits = f".{word}.", [0] * (len(word) + 3)
+        for p in patterns:
+            letters = "".join(c for c in p if not c.isdigit())
+            values, k = [0] * (len(letters) + 1), 0
+            for c in p:
+                if c.isdigit():
+                    values[k] = int(c)
+                else:
+                    k += 1
+            for at in range(len(marked) - len(letters) + 1):
+                if marked[at : at + len(letters)] == letters:
+                    digits[at : at + len(values)] = [max(a, b) for a, b in zip(digits[at : at + len(values)], values, strict=True)]
+        return "".join(("-" if 2 <= i <= len(word) - 2 and digits[i + 1] % 2 else "") + c for i, c in enumerate(word))
+
+    patterns = ["1na", "n2d", "a1t", "1te", "e1r", ".in1", "1tion."]
+    words = ["intention", "inand", "natter", "a", "banana", "terminate"]
+    parts = {r.word: r.parts for r in layout.hyphenate(spark.createDataFrame([(w,) for w in words], "word string"), patterns).collect()}
+    assert parts == {w: brute(w, patterns) for w in words}
+
+
+def test_older_marks_and_macros(spark):
+    t = F.col("t")
+    assert one(spark, inline.quotes(t, True), "``a b'' 'c' `d' +e+ ++f++g *h* _i_") == "&#8220;a b&#8221; <em>c</em> &#8216;d&#8217; <code>e</code> <code>f</code>g <strong>h</strong> <em>i</em>"
+    assert one(spark, inline.macros(t), "icon:heart[] mailto:a@b.org[Me,Hi you]") == '<span class="icon">[heart&#93;</span> <a href="mailto:a@b.org?subject=Hi%20you">Me</a>'
