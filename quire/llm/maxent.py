@@ -5,9 +5,11 @@ softmaxes. Classes are bins of the most frequent words, the end token, and
 one class of all rarer words. The class features are the word before, the
 word two before (a skip) and a hash of both; those inside a class are hashes
 of the member with the word before and with the word two before, whatever
-words these are. Members of the rare class are hashed groups of words; in its
-group a word has its discounted share of the exact counts, and the discounted
-mass is the unknown word's.
+words these are. Members of the rare class are hashed groups of the words
+whose counts are broadcast; in its group a word has its discounted share of
+the exact counts. A fixed share of the class is left to all other words by
+their discounted counts, and to the unknown word, which has what was
+discounted.
 
 Counts are exact and cover every training document. The most counted words
 are broadcast with their counts; of all others, postings meet by word, so
@@ -29,13 +31,14 @@ PART_BYTES = 12 << 20
 #: Words whose counts are broadcast, at most (16 bytes each).
 COUNTED = 100_000
 #: Words with a place of their own, bins of equal mass, members of a class at most, groups of rarer words, and hashed rows for pairs of words.
-TOP, CLASSES, MEMBERS, GROUPS, HASHED = 1024, 16, 32, 16, 1 << 13
+TOP, CLASSES, MEMBERS, GROUPS, HASHED = 2048, 16, 32, 16, 1 << 13
 #: Hashed weights inside classes: as many as there are words, between these bounds.
 CELLS = (1 << 14, 1 << 18)
 #: Taken off each count of a rare word, for the unknown one.
 DISCOUNT = 0.75
 #: Rounds; each takes its share of the documents, so that together they train on every position of every training document once.
-ROUNDS, BATCH, RATE = 2, 1 << 14, 0.3
+#: Positions of an update: few at first, doubled after every STEPS updates up to BATCH, so that short partitions learn too.
+ROUNDS, FIRST, STEPS, BATCH, RATE, RATE_INSIDE = 2, 512, 16, 1 << 14, 0.1, 0.02
 END = 1
 #: Weights of a table that travel and are averaged together.
 BLOCK = 1 << 16
@@ -112,7 +115,7 @@ DOCUMENTS = "key long, tokens long, known long, base double, rare double"
 
 
 def rare_sums(rows: DataFrame, listed, unknown, parts: int) -> DataFrame:
-    """Per document (key), sums over its words that are not ``listed`` (sorted hashes): tokens, known ones, base (log10 of the count and one), rare (log10 of the discounted count, or of an unknown word's mass in its group, ``unknown``). Postings of (key, text, held) meet by word; the sums are added up by document."""
+    """Per document (key), sums over its words that are not ``listed`` (sorted hashes): tokens, known ones, base (log10 of the count and one), rare (log10 of the discounted count, or of the unknown word's mass, ``unknown``). Postings of (key, text, held) meet by word; the sums are added up by document."""
     sent = rows.sparkSession.sparkContext.broadcast((listed, unknown))
 
     def pack(batches):
@@ -142,8 +145,7 @@ def rare_sums(rows: DataFrame, listed, unknown, parts: int) -> DataFrame:
         c = np.bincount(of, times * learned, len(kinds))[of]
         docs, at = np.unique(keys, return_inverse=True)
         total = lambda x: np.bincount(at, times * x, len(docs))
-        mass = sent.value[1][group_of(words)]
-        columns = {"keys": docs, "tokens": total(1).astype(np.int64), "known": total(c > 0).astype(np.int64), "base": total(np.log10(c + 1.0)), "rare": total(np.log10(np.where(c > 0, c - DISCOUNT, mass)))}
+        columns = {"keys": docs, "tokens": total(1).astype(np.int64), "known": total(c > 0).astype(np.int64), "base": total(np.log10(c + 1.0)), "rare": total(np.log10(np.where(c > 0, c - DISCOUNT, sent.value[1])))}
         bucket = docs.view(np.uint64) % np.uint64(parts)
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(parts + 1, dtype=np.uint64))
@@ -174,9 +176,9 @@ def group_of(words):
 
 
 class Model:
-    """Words and classes, and the weights of both softmaxes. ``listed``: (word, count) of the broadcast words; ``masses``: (counts less discounts, kinds) of all words of each group."""
+    """Words and classes, and the weights of both softmaxes. ``listed``: (word, count) of the broadcast words, the end token among them; ``tokens``, ``kinds``: of all training words."""
 
-    def __init__(self, listed: list[tuple[int, int]], tokens: int, kinds: int, masses=None):
+    def __init__(self, listed: list[tuple[int, int]], tokens: int, kinds: int):
         import numpy as np
 
         listed = sorted((w % 2**64, int(c)) for w, c in listed)
@@ -189,7 +191,7 @@ class Model:
         self.words = np.asarray([w for w, _ in top], np.uint64)
         counts = np.asarray([c for _, c in top], np.float64)
         self._make_classes(counts)
-        self._make_groups(counts, masses)
+        self._make_groups(counts)
         rare = max(tokens - counts.sum(), 0.0)
         prior = np.bincount(self.classes, np.append(counts, rare), self.kinds_of_class) + 1.0
         self.bias = np.log(prior / prior.sum()).astype(np.float32)
@@ -228,17 +230,18 @@ class Model:
         for own in self.members:
             self.position[own] = np.arange(len(own))
 
-    def _make_groups(self, counts, masses) -> None:
-        """Of each group of rare words: its mass, and the unknown word's part of it."""
+    def _make_groups(self, counts) -> None:
+        """Discounted counts of the groups of listed words that have no place; share of the rare class that is left to words that are not listed, their mass, and the unknown word's part of it."""
         import numpy as np
 
-        if masses is None:
-            masses = np.bincount(group_of(self.listed), np.maximum(self.listed_counts - DISCOUNT, 0), GROUPS), np.bincount(group_of(self.listed), self.listed_counts > 0, GROUPS)
-        group, known = group_of(self.words), counts > 0
-        mass = masses[0] - np.bincount(group, np.where(known, counts - DISCOUNT, 0), GROUPS)
-        kinds = masses[1] - np.bincount(group, known, GROUPS)
-        self.unknown = np.maximum(DISCOUNT * kinds, 0.5)
-        self.group_mass = np.maximum(mass, 0) + self.unknown
+        known = self.listed_counts > 0
+        placed = np.isin(self.listed, self.words)
+        self.group_mass = np.bincount(group_of(self.listed), np.where(known & ~placed, self.listed_counts - DISCOUNT, 0), GROUPS)
+        self.unknown = max(DISCOUNT * (self.kinds - int((counts > 0).sum())), 0.5)
+        rest = max(self.tokens - self.listed_counts.sum() - DISCOUNT * (self.kinds - int(known.sum())), 0.0)
+        self.other_mass = rest + self.unknown
+        self.other_share = self.other_mass / (self.other_mass + self.group_mass.sum())
+        self.group_mass = np.maximum(self.group_mass, 1e-9)  # groups without words get next to nothing
 
     def places(self, hashes):
         """Place among the top words of each distinct word, or the number of top words."""
@@ -334,6 +337,15 @@ def _by_class(truth):
         yield int(truth[by[a]]), by[a:b]
 
 
+def strides(size: int, done: int):
+    """(start, stop) of the updates over ``size`` positions, after ``done`` updates before them."""
+    a = 0
+    while a < size:
+        b = min(size, a + min(BATCH, FIRST << (done // STEPS)))
+        yield a, b
+        a, done = b, done + 1
+
+
 def train(rows: DataFrame, model: Model) -> None:
     """Rounds of gradient updates: each partition descends (Adagrad) from the same weights over its share of the round; changes are averaged by the tokens behind them."""
     import numpy as np
@@ -347,13 +359,14 @@ def train(rows: DataFrame, model: Model) -> None:
 
             model = sent.value
             weights, inside = model.weights.copy(), model.inside.copy()
-            seen, seen_inside, used = np.full(model.rows, 1e-6, np.float32), np.full(model.cells, 1e-6, np.float32), 0
+            seen, seen_inside, used, steps = np.full(model.rows, 1e-6, np.float32), np.full(model.cells, 1e-6, np.float32), 0, 0
             for _, (hashes, codes, bounds) in _slices(batches):
                 words, place = hashes[codes], model.places(hashes)[codes]
                 features, truth, slots = model.features(place, bounds), model.classes[place], model.slots_of(place, words)
                 contexts = _contexts(words, bounds)
-                for a in range(0, len(place), BATCH):
-                    some = np.arange(a, min(a + BATCH, len(place)))
+                inner = np.where((find(model.listed, hashes) == len(model.listed))[codes], -1, truth)
+                for a, b in strides(len(place), steps):
+                    some, steps = np.arange(a, b), steps + 1
                     # contexts are few beside tokens: a row for each, its share times its tokens, less the classes that came
                     first, which = distinct(features[0][some] * model.rows + features[1][some])
                     chosen, scale = [f[some[first]] for f in features], 1 / len(some) ** 0.5
@@ -367,8 +380,8 @@ def train(rows: DataFrame, model: Model) -> None:
                         seen[own] += (change**2).mean(1)
                         weights[own] -= RATE * change / np.sqrt(seen[own])[:, None]
                     at, slopes = [], []
-                    for kind, own in _by_class(truth[some]):
-                        if len(model.members[kind]) < 2:
+                    for kind, own in _by_class(inner[some]):
+                        if kind < 0 or len(model.members[kind]) < 2:
                             continue
                         shares, cells = model.member_shares(inside, kind, [c[some[own]] for c in contexts])
                         slope = np.exp(shares)
@@ -378,7 +391,7 @@ def train(rows: DataFrame, model: Model) -> None:
                     if at:
                         change = np.bincount(np.concatenate(at), np.concatenate(slopes), model.cells).astype(np.float32) * np.float32(scale)
                         seen_inside += change**2
-                        inside -= RATE * change / np.sqrt(seen_inside)
+                        inside -= RATE_INSIDE * change / np.sqrt(seen_inside)
                     used += len(some)
             tables = [(0, weights - model.weights), (1, inside - model.inside)]
             parts = [(kind, a // BLOCK, change.ravel()[a : a + BLOCK].astype(np.float16).tobytes()) for kind, change in tables for a in range(0, change.size, BLOCK)]
@@ -418,22 +431,23 @@ def text_scores(model: Model, tokens):
     hashes, codes, bounds = tokens
     words, place = hashes[codes], model.places(hashes)[codes]
     features, truth, slots, contexts = model.features(place, bounds), model.classes[place], model.slots_of(place, words), _contexts(words, bounds)
+    listed = find(model.listed, hashes)[codes]
+    other = listed == len(model.listed)
+    inner = np.where(other, -1, truth)
     score = np.empty(len(place))
     for a in range(0, len(place), 4 * BATCH):
         some = np.arange(a, min(a + 4 * BATCH, len(place)))
         first, which = distinct(features[0][some] * model.rows + features[1][some])
         score[some] = model.log_shares(model.weights, [f[some[first]] for f in features])[which, truth[some]]
-        for kind, own in _by_class(truth[some]):
-            if len(model.members[kind]) > 1:
+        for kind, own in _by_class(inner[some]):
+            if kind >= 0 and len(model.members[kind]) > 1:
                 shares, _ = model.member_shares(model.inside, kind, [c[some[own]] for c in contexts])
                 score[some[own]] += shares[np.arange(len(own)), model.position[slots[some[own]]]]
     score /= np.log(10)
-    listed = find(model.listed, hashes)[codes]
-    other = listed == len(model.listed)
     count = np.append(model.listed_counts, 0)[listed]
-    rare = place == len(model.words)
-    score -= np.where(rare, np.log10(model.group_mass)[group_of(words)], 0)
-    score += np.where(rare & ~other, np.log10(np.maximum(count - DISCOUNT, 0.25)), 0)
+    grouped = (place == len(model.words)) & ~other
+    score += np.where(grouped, np.log10(max(1 - model.other_share, 1e-12)) + np.log10(np.maximum(count - DISCOUNT, 0.25)) - np.log10(model.group_mass)[group_of(words)], 0)
+    score += np.where(other, np.log10(model.other_share) - np.log10(model.other_mass), 0)
     total = lambda x: np.add.reduceat(x, bounds[:-1])
     return np.diff(bounds), total(other.astype(np.int64)), total((count > 0).astype(np.int64)), total(np.where(other, 0, np.log10(count + 1))), total(score)
 
@@ -454,19 +468,13 @@ def class_scores(rows: DataFrame, model: Model) -> DataFrame:
 
 def fit(rows: DataFrame) -> Model:
     """The model of rows (key, text, held): counts over all training texts, then weights."""
-    import numpy as np
-
     counts = shared_table(word_counts(rows), "word-counts")
     kinds, tokens = counts.agg(F.count(F.lit(1)), F.sum("n")).head()
-    group = F.shiftrightunsigned("word", 60).cast("int")
-    masses = np.zeros((2, GROUPS))
-    for r in counts.groupBy(group.alias("g")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"), F.count(F.lit(1)).alias("kinds")).collect():
-        masses[:, r["g"]] = r["mass"], r["kinds"]
     listed = most_counted(counts, COUNTED).select("word", "n").toArrow()
     pairs = dict(zip(listed.column("word").to_pylist(), listed.column("n").to_pylist(), strict=True))
     pairs |= {r["word"]: r["n"] for r in counts.where(F.col("word") == END).collect()}  # the end token always, as every text has it
     pairs.setdefault(END, 0)
-    model = Model(list(pairs.items()), tokens or 0, kinds or 0, masses)
+    model = Model(list(pairs.items()), tokens or 0, kinds or 0)
     train(rows, model)
     return model
 

@@ -323,11 +323,17 @@ def test_maxent_against_a_plain_loop(spark, monkeypatch):
     counts = collections.Counter(w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2 for w in [*t.split(), None])
     hash_of = lambda w: np.uint64(maxent.END) if w is None else maxent.token_codes(pa.array([w]))[0][0]
     place = lambda w: int(model.places(np.asarray([hash_of(w)], np.uint64))[0])
-    groups = collections.defaultdict(lambda: [0.0, 0])
-    for w, c in counts.items():
-        if place(w) == len(model.words):
-            g = groups[int(maxent.group_of(np.asarray([hash_of(w)]))[0])]
-            g[0], g[1] = g[0] + c - maxent.DISCOUNT, g[1] + 1
+    listed = {int(h) for h in model.listed}
+    is_listed = lambda w: int(hash_of(w)) in listed
+    group = lambda w: int(maxent.group_of(np.asarray([hash_of(w)]))[0])
+    rare = [w for w in counts if place(w) == len(model.words)]
+    assert any(map(is_listed, rare)) and not all(map(is_listed, rare))
+    mass = collections.Counter()
+    for w in rare:
+        mass[group(w) if is_listed(w) else "other"] += counts[w] - maxent.DISCOUNT
+    unknown = maxent.DISCOUNT * len(rare)
+    mass["other"] += unknown
+    share_of_other = mass["other"] / sum(mass.values())
 
     def softmax(x):
         return np.exp(x - np.log(np.exp(np.asarray(x, np.float64)).sum()))
@@ -345,27 +351,20 @@ def test_maxent_against_a_plain_loop(spark, monkeypatch):
             mine = [c[-1:] for c in maxent._contexts(np.asarray([hash_of(x) for x in start], np.uint64), np.asarray([0, len(start)]))]
         slots = model.members[kind]
         inner = softmax(model.slot_bias[slots] + sum(model.inside[model.cells_of(c, slots)][0] for c in mine))
-        group = int(maxent.group_of(np.asarray([hash_of(word)]))[0])
         if place(word) < len(model.words):
             return classes[kind] * inner[list(slots).index(place(word))]
-        mass, kinds = groups[group]
-        unknown = max(maxent.DISCOUNT * kinds, 0.5)
-        share = (counts[word] - maxent.DISCOUNT if counts[word] else unknown) / (mass + unknown)
-        return classes[kind] * inner[list(slots).index(len(model.words) + group)] * share
+        if not is_listed(word):
+            return classes[kind] * share_of_other * (counts[word] - maxent.DISCOUNT if counts[word] else unknown) / mass["other"]
+        return classes[kind] * (1 - share_of_other) * inner[list(slots).index(len(model.words) + group(word))] * (counts[word] - maxent.DISCOUNT) / mass[group(word)]
 
     for k, t in enumerate(texts[:25]):
         tokens = t.split()
         before = ["start", "start", *tokens]
         want = sum(math.log10(p(w, before[i + 1], before[i])) for i, w in enumerate([*tokens, None]))
         assert out[k].score == pytest.approx(want, rel=1e-3)
-    # known words, the end, and what is left to the unknown in each group add up to one
+    # known words, the end and the unknown word add up to one
     for one, two in (("start", "start"), ("w3", "w1"), ("w59", "nowhere")):
-        unknown = {}
-        for i in range(3000):
-            if len(unknown) == maxent.GROUPS:
-                break
-            unknown.setdefault(int(maxent.group_of(np.asarray([hash_of(f"new{i}")]))[0]), f"new{i}")
-        assert sum(p(w, one, two) for w in counts) + sum(p(w, one, two) for w in unknown.values()) == pytest.approx(1, abs=2e-3)
+        assert sum(p(w, one, two) for w in [*counts, "unheard"]) == pytest.approx(1, abs=1e-3)
 
 
 def test_gathered_and_most_counted(spark):
