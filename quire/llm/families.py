@@ -31,9 +31,10 @@ def small(table: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
-def _compared(placed: DataFrame, keys: list[str], compare, tasks: int) -> DataFrame:
-    """Edges (a, b) from groups of rows (node, payload, side) with the same keys: left (side -1) against right (side 1), or all of them (side 0) with each other."""
-    task = F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int").alias("task")
+def _compared(placed: DataFrame, keys: list[str], compare, tasks: int, nth=None) -> DataFrame:
+    """Edges (a, b) from groups of rows (node, payload, side) with the same keys: left (side -1) against right (side 1), or all of them (side 0) with each other. ``nth``: number of a group in its family; those of one family are dealt to tasks in turns."""
+    turn = F.lit(0) if nth is None else F.pmod(nth, F.lit(tasks))
+    task = F.pmod(F.pmod(F.xxhash64("component"), F.lit(tasks)) + turn, F.lit(tasks)).cast("int").alias("task")
 
     def run(table):
         import pyarrow as pa
@@ -74,7 +75,7 @@ def family_components(items: DataFrame, families: DataFrame, compare, tasks: int
     members = big.select("node", "payload", F.lit(1).alias("side"), "component", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
     leads = F.pmod(F.xxhash64(F.lit(7), "node"), F.ceil(F.col("size") / LEADERS)) == 0
     leaders = big.where(leads).select("node", "payload", F.lit(-1).alias("side"), "component", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    led = shared_table(_compared(members.unionByName(leaders), ["component", "chunk"], compare, tasks), f"{label}-led")
+    led = shared_table(_compared(members.unionByName(leaders), ["component", "chunk"], compare, tasks, F.col("chunk")), f"{label}-led")
     joined = components(led, f"{label}-led").select(F.col("node").alias("led_node"), F.col("component").alias("led_class"))
     state = big.select("node", "band", "component").join(joined, F.col("node") == F.col("led_node"), "left").select("node", "band", "component", F.coalesce("led_class", "node").alias("class"))
     state = shared_table(state, f"{label}-classes")
@@ -94,5 +95,5 @@ def family_components(items: DataFrame, families: DataFrame, compare, tasks: int
     of_all = of_all.select("node", F.lit(1).alias("side"), key, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("columns")).cast("int").alias("j"))
     cells = of_others.unionByName(of_all).withColumnRenamed("node", "member")
     cells = cells.join(big.select("node", "payload"), F.col("node") == F.col("member")).select("node", "payload", "side", "cell.*", "i", "j")
-    rest = _compared(cells, ["component", "low", "high", "i", "j"], compare, tasks)
+    rest = _compared(cells, ["component", "low", "high", "i", "j"], compare, tasks, F.col("low") * 31 + F.col("high") * 7 + F.col("i").cast("long") * 1009 + F.col("j"))
     return components(edges.unionByName(led).unionByName(rest), f"{label}-links")
