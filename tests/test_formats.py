@@ -161,3 +161,50 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "u.adoc").write_text("@1 one\n@2 two\n@4 four\n")
     assert cli.main(["check", "--scheme", str(tmp_path / "s.yml"), str(tmp_path / "u.adoc")]) == 1
     assert "chapter: 3\nline 3: gap" in capsys.readouterr().out
+
+
+def test_sources(spark, tmp_path):
+    from quire.sources import readers
+
+    (tmp_path / "c" / "one").mkdir(parents=True)
+    (tmp_path / "c" / "two").mkdir()
+    (tmp_path / "c" / "one" / "input.adoc").write_text("= One")
+    (tmp_path / "c" / "one" / "case.yml").write_text("expect: [a, 1]\n")
+    (tmp_path / "c" / "two" / "input.adoc").write_text("= Two")
+    (tmp_path / "c" / "code.rb").write_text("x = <<~EOS\n  = In\n    code\nEOS\n")
+    found = {r.case.rsplit("/", 1)[-1]: (r.text, r.settings) for r in readers.cases(spark, str(tmp_path / "c")).collect()}
+    assert found == {"one": ("= One", '{"expect": ["a", 1]}'), "two": ("= Two", None)}
+    pooled = sorted((r.nth is None, r.text) for r in readers.pool(spark, str(tmp_path / "c")).collect())
+    assert pooled == [(False, "= In\n  code"), (True, "= One"), (True, "= Two")]
+    paths = spark.createDataFrame([("a/b.txt",), ("a-b/c.txt",), ("a/a.txt",)], "path string")
+    assert [r.path for r in readers.by_path(paths).orderBy("ord").collect()] == ["a/a.txt", "a/b.txt", "a-b/c.txt"]
+    t = F.col("t")
+    assert one(spark, readers.safe_path(F.lit("docs/x"), t, "docs"), "../y.txt") == "docs/y.txt" and one(spark, readers.safe_path(F.lit("docs"), t, "docs"), "../../etc/p") == "docs/etc/p" and one(spark, readers.safe_path(F.lit("docs"), t, "docs", "unsafe"), "../etc") == "etc"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab" + b"\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01\x01\x11\x00"
+    files = spark.createDataFrame([("a", bytearray(jpeg)), ("b", bytearray(b"no image"))], "path string, content binary")
+    assert sorted(tuple(r) for r in readers.image_sizes(files).collect()) == [("a", "jpeg", 32, 16, 1), ("b", None, None, None, 1)]
+
+
+def test_runs_hyphenators_and_fuzz(spark):
+    from quire.functions import layout, synth
+
+    assert layout.runs('a <strong>b <em>c</em></strong> &amp; <a href="u">d</a>') == [
+        {"text": "a ", "bold": False, "italic": False, "mono": False, "raised": 0, "link": None}, {"text": "b ", "bold": True, "italic": False, "mono": False, "raised": 0, "link": None}, {"text": "c", "bold": True, "italic": True, "mono": False, "raised": 0, "link": None},
+        {"text": " & ", "bold": False, "italic": False, "mono": False, "raised": 0, "link": None}, {"text": "d", "bold": False, "italic": False, "mono": False, "raised": 0, "link": "u"},
+    ]
+    sets = {"en": ["a1b"], "de": ["c1d"]}
+    assert layout.hyphenator_for("en_US", sets) == layout.pattern_table(["a1b"]) and layout.hyphenator_for("nds", sets, {"nds": "de"}) == layout.pattern_table(["c1d"]) and layout.hyphenator_for("fr", sets) is None
+    found = synth.fuzz(spark, lambda t: "has a listing" if "----" in t else None, ["a\nb", "c"], rounds=1, each=400).collect()
+    assert [r.problem for r in found] == ["has a listing"] and "----" in found[0].text
+    cut = synth.reduced(spark.createDataFrame([(1, "a\n\nb\nkey\nc\n\nd"), (2, "none")], "doc_id int, text string"), lambda t: "key" in t).collect()
+    assert [(r.doc_id, r.text) for r in cut] == [(1, "key")]
+
+
+def test_fonts_by_table(spark):
+    from quire.functions import fonts
+
+    index = spark.createDataFrame([("r", "Face", 400, 5, False), ("b", "Face", 700, 5, False), ("i", "Face", 400, 5, True), ("n", "Face", 400, 3, False)], "path string, family string, weight int, width int, italic boolean")
+    asked = spark.createDataFrame([(1, "face", False, False, None), (2, "Face", True, False, None), (3, "Face", True, True, None), (4, "Face", False, False, 3), (5, "Other", False, False, None)], "ask_id int, family string, bold boolean, italic boolean, width int")
+    assert {r.ask_id: r.path for r in fonts.matched(asked, index).collect()} == {1: "r", 2: "b", 3: "i", 4: "n", 5: None}
+    parts = spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("f", 4, 5), ("g", 1, 9)], "font string, glyph int, part int")
+    assert sorted(r.glyph for r in fonts.glyph_closure(parts, spark.createDataFrame([("f", 1)], "font string, glyph int")).collect()) == [1, 2, 3]
