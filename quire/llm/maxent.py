@@ -31,14 +31,14 @@ PART_BYTES = 12 << 20
 #: Words whose counts are broadcast, at most (16 bytes each).
 COUNTED = 100_000
 #: Words with a place of their own, bins of equal mass, members of a class at most, groups of rarer words, and hashed rows for pairs of words.
-TOP, CLASSES, MEMBERS, GROUPS, HASHED = 2048, 16, 32, 16, 1 << 13
+TOP, CLASSES, MEMBERS, GROUPS, HASHED = 1024, 16, 32, 16, 1 << 13
 #: Hashed weights inside classes: as many as there are words, between these bounds.
 CELLS = (1 << 14, 1 << 18)
 #: Taken off each count of a rare word, for the unknown one.
 DISCOUNT = 0.75
 #: Rounds; each takes its share of the documents, so that together they train on every position of every training document once.
 #: Positions of an update: few at first, doubled after every STEPS updates up to BATCH, so that short partitions learn too.
-ROUNDS, FIRST, STEPS, BATCH, RATE, RATE_INSIDE = 2, 512, 16, 1 << 14, 0.1, 0.02
+ROUNDS, FIRST, STEPS, BATCH, RATE, RATE_INSIDE = 2, 1024, 8, 1 << 14, 0.1, 0.02
 END = 1
 #: Weights of a table that travel and are averaged together.
 BLOCK = 1 << 16
