@@ -122,8 +122,8 @@ def target_of(refid: Column, suffix: str = ".html") -> Column:
 XREF = r"&lt;&lt;((?:(?!&gt;&gt;)[\s\S])+?)&gt;&gt;|xref:([^\s\[]+)\[((?:[^\]\\]|\\.)*+)\]"
 
 
-def linked(text: Column, known: Column, own: Column | None = None) -> Column:
-    """References in converted text as links. ``known``: map of ids to their texts in this document; ``own``: names under which this document (and what it includes) may be named, so that a reference to it stays inside."""
+def linked(text: Column, known: Column, own: Column | None = None, titles: Column | None = None) -> Column:
+    """References in converted text as links. ``known``: map of ids to their texts in this document; ``titles``: map of titles to ids, for references by title; ``own``: names under which this document (and what it includes) may be named, so that a reference to it stays inside."""
 
     def link(m: Column) -> Column:
         body = F.regexp_extract(m, r"^&lt;&lt;([\s\S]*)&gt;&gt;$", 1)
@@ -132,8 +132,8 @@ def linked(text: Column, known: Column, own: Column | None = None) -> Column:
         given = F.nullif(F.btrim(F.when(short, F.regexp_extract(body, r"^[^,]*,([\s\S]*)$", 1)).otherwise(F.replace(F.regexp_extract(m, r"\[([\s\S]*)\]$", 1), F.lit("\\]"), F.lit("]")))), F.lit(""))
 
         def made(t: Column) -> Column:
-            named = F.filter(F.map_entries(known), lambda e: e["value"] == refid)
-            natural = F.when(refid.rlike(r"[ \p{Lu}]") & ~F.map_contains_key(known, refid) & (F.size(named) > 0), F.get(named, F.lit(0))["key"])
+            by_title = F.try_element_at(titles, refid) if titles is not None else F.lit(None).cast("string")
+            natural = F.when(refid.rlike(r"[ \p{Lu}]") & ~F.map_contains_key(known, refid), by_title)
             inside = t["path"].isNull() if own is None else t["path"].isNull() | F.array_contains(own, F.regexp_replace(t["path"], r"\.[^./]+$", ""))
             fragment = F.coalesce(natural, t["fragment"])
             here = F.concat(F.lit('<a href="#'), F.coalesce(fragment, F.lit("")), F.lit('">'), F.coalesce(given, F.try_element_at(known, fragment), F.concat(F.lit("["), F.coalesce(fragment, F.lit("^top")), F.lit("]"))), F.lit("</a>"))
@@ -182,15 +182,18 @@ def facts_and_nodes(nodes: DataFrame, style: str = "basic", numbers: int = 0):
     texts = reference_texts(facts, captioned.select("doc_id", "id", "title", "caption").where("id IS NOT NULL"), style)
     anchors = nodes.where(F.col("source").contains("[[")).select("doc_id", F.explode(inline.anchors("source")).alias("a")).select("doc_id", "a.id", F.coalesce("a.text", F.concat(F.lit("["), F.col("a.id"), F.lit("]"))).alias("text"))
     known = texts.unionByName(anchors).where("id IS NOT NULL").groupBy("doc_id", "id").agg(F.min("text").alias("text")).groupBy(F.col("doc_id").alias("k_doc")).agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("known"))
+    said = facts.select("doc_id", "title_html", "sect_id", "ord").unionByName(captioned.where("id IS NOT NULL AND title IS NOT NULL AND context <> 'section'").select("doc_id", inline.title("title").alias("title_html"), F.col("id").alias("sect_id"), "ord"))
+    titles = said.groupBy("doc_id", "title_html").agg(F.min_by("sect_id", "ord").alias("id")).groupBy(F.col("doc_id").alias("n_doc")).agg(F.map_from_entries(F.collect_list(F.struct("title_html", "id"))).alias("titles"))
     made = durable(render.ready(captioned), "texts")
     placed = facts.select(F.col("doc_id").alias("s_doc"), F.col("node_id").alias("s_node"), "sect_id", F.col("number").alias("sect_number"))
     joined = made.join(placed, (F.col("doc_id") == F.col("s_doc")) & (F.col("node_id") == F.col("s_node")), "left").join(known, F.col("doc_id") == F.col("k_doc"), "left")
-    names = F.coalesce("known", F.create_map().cast("map<string,string>"))
-    text = linked(F.col("text"), names)
+    joined = joined.join(titles, F.col("doc_id") == F.col("n_doc"), "left")
+    none = F.create_map().cast("map<string,string>")
+    text = linked(F.col("text"), F.coalesce("known", none), titles=F.coalesce("titles", none))
     text = F.when(text.contains("[[") | text.contains("anchor:"), F.regexp_replace(text, ANCHOR, '<a id="$1$2"></a>')).otherwise(text)
     numbered = F.when((F.col("context") == "section") & (F.col("level") <= numbers) & F.col("sect_number").isNotNull(), F.concat("sect_number", F.lit(" "), "title_html"))
     title = F.coalesce(numbered, F.when(F.col("caption").isNotNull() & (F.col("context") != "section"), F.concat("caption", "title_html")), F.col("title_html"))
-    out = joined.withColumns({"text": text, "title_html": title, "id": F.coalesce("id", "sect_id")}).drop("s_doc", "s_node", "sect_id", "sect_number", "k_doc", "known", "number", "caption")
+    out = joined.withColumns({"text": text, "title_html": title, "id": F.coalesce("id", "sect_id")}).drop("s_doc", "s_node", "sect_id", "sect_number", "k_doc", "known", "n_doc", "titles", "number", "caption")
     out = durable(out, "linked")
     notes = footnote_facts(out)
     return facts, notes, _with_footnotes(out, notes)

@@ -12,7 +12,7 @@ Pre footnote:[One _n_]. See <<_b>> and <<sec,that>> and xref:other.adoc#z[Z] foo
 
 == A
 
-[[sec]]Text <<tab>>.
+[[sec]]Text <<tab>>. <<Sub>>
 
 .Cap
 [#tab]
@@ -48,7 +48,7 @@ def test_pages(spark):
     d = html["d"]
     for part in (
         '<li><a href="#_a">1. A</a>\n<ul class="sectlevel2">\n<li><a href="#_sub">1.1. Sub</a></li>', 'See <a href="#_b">Chapter 2, <em>B</em></a> and <a href="#sec">that</a> and <a href="other.html#z">Z</a>',
-        '<a id="sec"></a>Text <a href="#tab">Table 1, &#8220;Cap&#8221;</a>.', '<caption class="title">Table 1. Cap</caption>', '<th class="tableblock halign-left valign-top">a</th>', "<video src=\"v.mp4\" controls>", 'x &lt; 1 <b class="conum">(1)</b>',
+        '<a id="sec"></a>Text <a href="#tab">Table 1, &#8220;Cap&#8221;</a>. <a href="#_sub">Section 1.1, &#8220;Sub&#8221;</a>', '<caption class="title">Table 1. Cap</caption>', '<th class="tableblock halign-left valign-top">a</th>', "<video src=\"v.mp4\" controls>", 'x &lt; 1 <b class="conum">(1)</b>',
         '<sup class="footnoteref">[<a class="footnote" href="#_footnotedef_2" title="View footnote.">2</a>]</sup>', '<a href="#_footnoteref_1">1</a>. One <em>n</em>\n', "<title>Doc T</title>\n<meta x>\n</head>", '<h3 id="_sub">1.1. Sub</h3>',
     ):
         assert part in d, part
