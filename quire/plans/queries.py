@@ -100,8 +100,7 @@ def conditionals(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     body = "ifdef::click,purchase[]\nifeval::[{value} > 50]\nhigh\nendif::[]\nifeval::[{value} <= 50]\nlow\nendif::[]\nendif::[]\nifndef::click,view[seen]\nifdef::click+view[]\nnever\nendif::[]"
     docs = e.select(F.col("event_id").alias("doc_id"), "event_type", F.lit(body).alias("text"), F.map_from_arrays(F.array("event_type", F.lit("value")), F.array(F.lit(""), F.format_string("%.9f", "value"))).alias("attrs"))
-    rows = preprocess.lines(docs).join(docs.select(F.col("doc_id").alias("d"), "event_type", "attrs"), F.col("doc_id") == F.col("d")).drop("d")
-    return preprocess.conditionals(rows, F.col("attrs")).select(F.col("doc_id").alias("event_id"), "event_type", "text")
+    return preprocess.conditional_texts(docs, F.col("attrs")).select(F.col("doc_id").alias("event_id"), "event_type", "text")
 
 
 @query(f"WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) SELECT doc_id, line_no, {TRIMMED} AS text FROM x WHERE line_no BETWEEN 2 AND 3 OR line_no = 5 OR line_no >= 8")
